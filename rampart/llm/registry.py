@@ -7,13 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .language_id import op8_language_id
+from .line_dedup import OP2_SQL, op2_line_dedup
+from .quality_rules import op5_quality_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_line_dedup": op2_line_dedup,
+        "op5_quality_rules": op5_quality_rules,
         "op8_language_id": op8_language_id,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_line_dedup": OP2_SQL,
+    }
