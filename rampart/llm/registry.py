@@ -8,14 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .language_id import op8_language_id
 from .line_dedup import OP2_SQL, op2_line_dedup
+from .media import op10_media_columns
+from .packing import op3_packing
 from .quality_rules import op5_quality_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_line_dedup": op2_line_dedup,
+        "op3_packing": op3_packing,
         "op5_quality_rules": op5_quality_rules,
         "op8_language_id": op8_language_id,
+        "op10_media_columns": op10_media_columns,
     }
 
 
