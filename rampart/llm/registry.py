@@ -11,6 +11,7 @@ from .line_dedup import OP2_SQL, op2_line_dedup
 from .media import op10_media_columns
 from .packing import op3_packing
 from .quality_rules import op5_quality_rules
+from .warc import OP9_SQL, op9_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_packing": op3_packing,
         "op5_quality_rules": op5_quality_rules,
         "op8_language_id": op8_language_id,
+        "op9_warc": op9_warc,
         "op10_media_columns": op10_media_columns,
     }
 
@@ -26,4 +28,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_line_dedup": OP2_SQL,
+        "op9_warc": OP9_SQL,
     }
