@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .language_id import op8_language_id
 from .line_dedup import OP2_SQL, op2_line_dedup
 from .media import op10_media_columns
+from .mixing import OP6_SQL, op6_mixing
 from .packing import op3_packing
 from .quality_rules import op5_quality_rules
 from .warc import OP9_SQL, op9_warc
@@ -19,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_line_dedup": op2_line_dedup,
         "op3_packing": op3_packing,
         "op5_quality_rules": op5_quality_rules,
+        "op6_mixing": op6_mixing,
         "op8_language_id": op8_language_id,
         "op9_warc": op9_warc,
         "op10_media_columns": op10_media_columns,
@@ -28,5 +30,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_line_dedup": OP2_SQL,
+        "op6_mixing": OP6_SQL,
         "op9_warc": OP9_SQL,
     }
