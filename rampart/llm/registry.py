@@ -11,6 +11,7 @@ from .line_dedup import OP2_SQL, op2_line_dedup
 from .media import op10_media_columns
 from .mixing import OP6_SQL, op6_mixing
 from .packing import op3_packing
+from .quality_crf import op7_quality_classifier
 from .quality_rules import op5_quality_rules
 from .warc import OP9_SQL, op9_warc
 
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_packing": op3_packing,
         "op5_quality_rules": op5_quality_rules,
         "op6_mixing": op6_mixing,
+        "op7_quality_classifier": op7_quality_classifier,
         "op8_language_id": op8_language_id,
         "op9_warc": op9_warc,
         "op10_media_columns": op10_media_columns,
