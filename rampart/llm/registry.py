@@ -14,6 +14,7 @@ from .mixing import OP6_SQL, op6_mixing
 from .packing import op3_packing
 from .quality_crf import op7_quality_classifier
 from .quality_rules import op5_quality_rules
+from .suffix_dedup import op4_suffix_dedup
 from .warc import OP9_SQL, op9_warc
 
 
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_minhash": op1_minhash,
         "op2_line_dedup": op2_line_dedup,
         "op3_packing": op3_packing,
+        "op4_suffix_dedup": op4_suffix_dedup,
         "op5_quality_rules": op5_quality_rules,
         "op6_mixing": op6_mixing,
         "op7_quality_classifier": op7_quality_classifier,
