@@ -54,30 +54,31 @@ def boilerplate(pages: DataFrame, host: str, text: str = "text", max_percent: in
 
 
 def dedup_lines(pages: DataFrame, host: str = "source", text: str = "text", max_percent: int = MAX_PERCENT, min_pages: int = MIN_PAGES) -> DataFrame:
-    """pages with `text` less its boilerplate lines, and _n_lines and _n_dropped."""
+    """row (the other columns of pages, as a struct, so that no name clashes), text less its boilerplate lines, n_lines and n_dropped."""
     drop = materialise(boilerplate(pages, host, text, max_percent, min_pages), "boilerplate")
     hashes = drop.agg(F.sum(F.size("_drop"))).first()[0] or 0
     side = F.broadcast(drop) if hashes <= BROADCAST_HASHES else drop
-    joined = pages.withColumn("_host", F.coalesce(F.col(host), F.lit(""))).join(side, "_host", "left")
-    lines = _lines(F.col(text))
+    others = F.struct(*(F.col(f"`{c}`") for c in pages.columns if c != text)).alias("row")
+    joined = pages.select(others, F.col(text).alias("text"), F.coalesce(F.col(host), F.lit("")).alias("_host")).join(side, "_host", "left")
+    lines = _lines(F.col("text"))
     kept = F.when(F.col("_drop").isNull(), lines).otherwise(F.filter(lines, lambda x: _blank(x) | ~F.array_contains(F.col("_drop"), _key(x))))
-    split = joined.withColumn("_kept", kept).withColumn("_n_lines", F.coalesce(F.size(lines).cast("long"), F.lit(0)))
-    split = split.withColumn("_n_dropped", F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.col("_n_lines") - F.size("_kept")).cast("long"))
-    split = split.withColumn("_n_lines", F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.col("_n_lines")))
-    return split.withColumn(text, F.when(F.col("_n_dropped") == 0, F.col(text)).otherwise(F.array_join("_kept", "\n"))).drop("_host", "_drop", "_kept")
+    split = joined.select("row", "text", F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"), kept.alias("_kept"))
+    split = split.withColumn("n_dropped", F.when(F.col("text").isNull(), 0).otherwise(F.col("n_lines") - F.size("_kept")).cast("long"))
+    return split.select("row", F.when(F.col("n_dropped") == 0, F.col("text")).otherwise(F.array_join("_kept", "\n")).alias("text"), "n_lines", "n_dropped")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    return docs.select("doc_id", "source", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("kept_chars"), F.sha2(F.col("text"), 256).alias("kept_sha256"))
+    return docs.select("row.doc_id", "row.source", "n_lines", "n_dropped", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("kept_chars"), F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
     """documents in, documents out: the text without boilerplate lines and n_chars to match."""
     found = dedup_lines(docs)
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        found = found.withColumn("n_chars", F.when(F.col("_n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return found.select(*docs.columns)
+        new["n_chars"] = F.when(F.col("n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return found.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 OP2_SQL = f"""

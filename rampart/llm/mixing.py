@@ -47,10 +47,11 @@ def topic(text: Column) -> Column:
 
 
 def weighed(docs: DataFrame) -> DataFrame:
-    """docs with the three margins' values and _tokens, the number of words."""
+    """row (all columns of docs, as a struct, so that no name clashes), doc_id, the three margins' values and _tokens, the number of words."""
     text = F.coalesce(F.col("text"), F.lit(""))
     blank = lambda c: F.coalesce(F.col(c), F.lit(""))
-    return docs.withColumns({"_source": blank("source"), "_lang": blank("lang"), "_topic": topic(F.col("text")), "_tokens": F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")).cast("long")})
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    return docs.select(row, "doc_id", blank("source").alias("_source"), blank("lang").alias("_lang"), topic(F.col("text")).alias("_topic"), F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")).cast("long").alias("_tokens"))
 
 
 def shares(values: list[str], sums: np.ndarray, target: Target) -> np.ndarray:
@@ -106,7 +107,7 @@ def rake_table(cells: DataFrame, targets: tuple[Target, ...] = TARGETS, rounds:
 
 
 def mix(docs: DataFrame, targets: tuple[Target, ...] = TARGETS, keep: float = KEEP, rounds: int = ROUNDS, driver_cells: int = DRIVER_CELLS) -> DataFrame:
-    """docs with _source, _lang, _topic, _tokens, _probability (in millionths) and _kept."""
+    """weighed() with _probability (in millionths) and _kept."""
     rows = weighed(docs)
     cells = materialise(rows.groupBy(*DIMS).agg(F.sum("_tokens").alias("tokens")), "mix-cells")
     if cells.count() <= driver_cells:
@@ -123,12 +124,12 @@ def mix(docs: DataFrame, targets: tuple[Target, ...] = TARGETS, keep: float = KE
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = mix(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"))
-    return docs.select("doc_id", "source", "lang", F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), F.col("_probability").alias("probability_millionths"), F.col("_kept").alias("kept"))
+    return docs.select("row.doc_id", "row.source", "row.lang", F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), F.col("_probability").alias("probability_millionths"), F.col("_kept").alias("kept"))
 
 
 def mixed(docs: DataFrame) -> DataFrame:
     """documents in, the sampled documents out."""
-    return mix(docs).where("_kept").select(*docs.columns)
+    return mix(docs).where("_kept").select("row.*")
 
 
 def _oracle() -> str:
