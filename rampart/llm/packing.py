@@ -20,12 +20,13 @@ columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,11 +35,13 @@ from .common import table
 
 WINDOW = 2048
 CLOSING_ID = 1
-CACHE_ENTRIES = 500_000
-#: Fixed value: how the tokenizer's byte-level pre-tokenizer splits text.
-PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Up to here all Unicode versions agree on what is a letter, a number or white space.
-_PLAIN = regex.compile(r"[\x00-ɏ‐-‧€]*")
+#: Pre-tokens whose ids a task keeps: so many of the latest, and as many before those.
+CACHE_ENTRIES = 300_000
+#: Letters, numbers and white space among the characters of _PLAIN, and how the byte-level
+#: pre-tokenizer splits text made of them. On these, all Unicode versions agree.
+_LETTER, _NUMBER, _SPACE = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", "\t-\r \x85\xa0"
+PRE_TOKEN = f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{_SPACE}{_LETTER}{_NUMBER}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
+_PLAIN = re.compile("[\x00-ɏ‐-‧€]*")
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = PIECES + ", sequence_id long, offset long, sequence_tokens long, padded_to long"
 
@@ -49,6 +52,13 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def _byte_characters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if printable, else the next from 256 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
 class Ids:
     """Little-endian 32-bit ids of texts, without special tokens."""
 
@@ -56,26 +66,27 @@ class Ids:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.split = regex.compile(PRE_TOKEN).findall
+        self.model, before = self.tokenizer.model, self.tokenizer.pre_tokenizer
+        self.by_parts = type(self.model).__name__ == "BPE" and type(before).__name__ == "ByteLevel" and not before.add_prefix_space and self.tokenizer.normalizer is None
+        self.split, self.characters = re.compile(PRE_TOKEN).findall, _byte_characters()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _part(self, part: str) -> bytes:
+        """The ids of a pre-token, from the tokenizer's model."""
+        if (held := self.before.get(part)) is None:
+            held = array("I", [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.characters))]).tobytes()
+        if len(self.known) >= CACHE_ENTRIES:
+            self.before, self.known = self.known, {}
+        self.known[part] = held
+        return held
 
     def of(self, text: str) -> bytes:
-        if not _PLAIN.fullmatch(text) or any(s in text for s in self.special):
-            return self._encode([text])[0]
-        words, known = self.split(text), self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            new = list({w for w in words if w not in known})
-            if len(known) + len(new) > CACHE_ENTRIES:
-                known.clear()
-                new = list(set(words))
-            known.update(zip(new, self._encode(new), strict=True))
-            return b"".join([known[w] for w in words])
+        if not self.by_parts or not _PLAIN.fullmatch(text) or any(s in text for s in self.special):
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        get, part = self.known.get, self._part
+        return b"".join([get(w) or part(w) for w in self.split(text)])
 
 
 def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, closing_id: int = CLOSING_ID) -> DataFrame:
