@@ -50,7 +50,8 @@ def _fields(ddl: str) -> str:
 
 def records(spark: SparkSession, folder: str, schema: str = VERDICT) -> tuple[DataFrame, DataFrame]:
     """JSON documents of a folder, and the issues of those that can't be read. Rows carry `file`."""
-    df = spark.read.schema(f"{schema}, {_BAD} string").json(f"{folder}/*.json", multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord=_BAD).withColumn("file", F.col("_metadata.file_name"))
+    raw = spark.read.text(f"{folder}/*.json", wholetext=True).select("value", F.col("_metadata.file_name").alias("file"))
+    df = raw.select("file", F.from_json("value", f"{schema}, {_BAD} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD}).alias("_r")).select("file", "_r.*")
     broken = df.where(F.col(_BAD).isNotNull()).select("file", F.lit("json_read_error").alias("issue"))
     return df.where(F.col(_BAD).isNull()).drop(_BAD), broken
 

@@ -23,7 +23,7 @@ class SessionTaint(StatefulProcessor):
     """The state of session_verdicts(), kept by session: highest class read, two flags and the number of rows so far."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("taint", StructType([StructField("cls", IntegerType()), StructField("credential", BooleanType()), StructField("sensitive", BooleanType()), StructField("events", IntegerType())]))
+        self.state = handle.getValueState("taint", StructType([StructField("highest", IntegerType()), StructField("credential", BooleanType()), StructField("sensitive", BooleanType()), StructField("events", IntegerType())]))
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         cls, credential, sensitive, events = tuple(self.state.get()) if self.state.exists() else (0, False, False, 0)
