@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -22,17 +23,28 @@ def has(categories: Column, *names: str) -> Column:
     return out
 
 
-def hits(text: Column, rules: Sequence[Rule], flags: str = FLAGS, keep: int = 8, length: int = 180) -> Column:
-    """Array of (rule_id, category, weight, evidence) of the rules that match, strongest first.
+def pattern(rule: Rule, dotall: bool = False) -> str:
+    """The rule's regex for text in lower case. Flags cost time, so a pattern that has no capitals goes without."""
+    plain = re.sub(r"\\.", "", rule.regex)
+    return ("" if plain == plain.lower() else FLAGS) + ("(?s)" if dotall else "") + rule.regex
+
+
+def any_hit(text: Column, rules: Sequence[Rule], dotall: bool = False) -> Column:
+    """Whether any rule matches a text in lower case."""
+    return (text != "") & F.coalesce(text.rlike("|".join(f"(?:{pattern(r, dotall)})" for r in rules)), F.lit(False))
+
+
+def hits(text: Column, rules: Sequence[Rule], dotall: bool = False, keep: int = 8, length: int = 180) -> Column:
+    """Array of (rule_id, category, weight, evidence) of the rules that match a text in lower case, strongest first.
 
     Each rule is one literal pattern. Evidence is only drawn for rules that match.
     """
     one = [
         F.when(
-            text.rlike(flags + r.regex),
+            text.rlike(pattern(r, dotall)),
             F.struct(
                 F.lit(-r.weight).alias("order"), F.lit(r.rule_id).alias("rule_id"), F.lit(r.category).alias("category"), F.lit(r.weight).alias("weight"),
-                F.slice(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(flags + r.regex), 0), lambda e: F.substring(F.trim(e), 1, length))), 1, keep).alias("evidence"),
+                F.slice(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(pattern(r, dotall)), 0), lambda e: F.substring(F.trim(e), 1, length))), 1, keep).alias("evidence"),
             ),
         )
         for r in rules

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import BREAK, base64_decoded, normalized, squeezed, url_decoded
 from ..rules import TOOL_RULES, Rule
 from ..schemas import level_of, score_decision
-from .scoring import active, bonuses, category_maxima, has, hits, points
+from .scoring import active, any_hit, bonuses, category_maxima, has, hits, points
 
 FLAGS = "(?ius)"  # a dot also stands for a newline: a call is several lines
 CATEGORIES = tuple(dict.fromkeys(r.category for r in TOOL_RULES))
@@ -53,12 +53,12 @@ def text_verdicts(rows: DataFrame, text: str, rules: Sequence[Rule] = TOOL_RULES
     df = rows.withColumn("_plain", plain)
     decoded = F.concat(F.array_compact(F.array(squeezed(url_decoded(F.col("_plain"))))), base64_decoded(F.coalesce(F.col(text), F.lit(""))))
     df = df.withColumn("_decoded", F.array_join(decoded, BREAK))
-    everything = F.concat_ws(BREAK, F.coalesce(F.col(text), F.lit("")), F.col("_plain"), F.col("_decoded"))
-    df = df.withColumn("matches", hits(everything, rules, FLAGS, length=140)).withColumn("_in_decoded", F.size(hits(F.col("_decoded"), rules, FLAGS, keep=1)) > 0)
+    df = df.withColumn("_all", F.array_join(F.array_distinct(F.array(F.lower(F.coalesce(text, F.lit(""))), "_plain", F.lower("_decoded"))), BREAK))
+    df = df.withColumn("matches", hits(F.col("_all"), rules, True, length=140)).withColumn("_in_decoded", any_hit(F.lower("_decoded"), rules, True))
     df = df.withColumn("_maxima", category_maxima(F.col("matches"), CATEGORIES)).withColumn("categories", active(F.col("_maxima")))
     df = df.withColumn("score", points(F.col("_maxima"), 12, tool_bonus(F.col("categories"), F.col("_in_decoded"))))
     df = df.withColumn("decision", score_decision(F.col("score"))).withColumn("risk_level", level_of(F.col("decision"))).withColumn("permission_scope", scope(F.col("categories")))
-    return df.drop("_plain", "_decoded", "_in_decoded", "_maxima")
+    return df.drop("_plain", "_decoded", "_in_decoded", "_all", "_maxima")
 
 
 def tool_verdicts(calls: DataFrame, rules: Sequence[Rule] = TOOL_RULES, full: bool = True) -> DataFrame:

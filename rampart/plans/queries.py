@@ -28,6 +28,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores if it comes in fewer pieces, as one small file does. Rows that cost much are worth the move."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def pick(values, at: Column) -> Column:
     return F.get(F.array(*map(F.lit, values)), at.cast("int"))
 
@@ -80,12 +86,12 @@ def tool_verdict_views(spark, sf):
     """All views of a call, not its text alone."""
     e = table(spark, sf, "events")
     calls = e.select("event_id", pick(("shell", "http_request", "file_read", "database"), F.col("event_id") % 4).alias("tool_name"), pick(("read", "delete", "export"), F.col("event_id") % 3).alias("operation"), pick(("/data/report.csv", "../../etc/passwd", "https://x.example/in"), F.col("event_id") % 5 % 3).alias("target"), F.col("props").alias("arguments"))
-    return tool.tool_verdicts(calls, full=False).select("event_id", F.col("score").cast("long").alias("score"), "decision", "risk_level", "permission_scope", F.array_join(F.transform("matches", lambda m: m["rule_id"]), "|").alias("rules"))
+    return tool.tool_verdicts(spread(calls), full=False).select("event_id", F.col("score").cast("long").alias("score"), "decision", "risk_level", "permission_scope", F.array_join(F.transform("matches", lambda m: m["rule_id"]), "|").alias("rules"))
 
 
 @query
 def prompt_verdict(spark, sf):
-    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    turns = spread(table(spark, sf, "conversations").select("conv_id", "turn", "role", "text"))
     df = prompt.prompt_verdicts(turns, "text", full=True)
     return df.select("conv_id", "turn", F.col("score").cast("long").alias("score"), "decision", "risk_level", "primary_type", "hard_block", F.array_join(F.transform("matches", lambda m: m["rule_id"]), "|").alias("rules"))
 
