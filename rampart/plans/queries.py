@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import approvals, audit, evaluate, multisource, packages, pipeline, policy, prompt, report, session, skills, tool
-from ..operators.scoring import active, points
+from ..operators.scoring import active, any_hit, pattern, points
 from ..rules import TOOL_RULES
 from ..schemas import DECISIONS, score_decision
 from ..sources import readers
@@ -42,7 +42,13 @@ def pick(values, at: Column) -> Column:
 
 
 def _rule_flags(docs: DataFrame, text: str) -> DataFrame:
-    return docs.withColumns({f"r_{r.rule_id}": F.col(text).rlike(tool.FLAGS + r.regex) for r in TOOL_RULES})
+    """The rows that any rule matches, with a flag for each rule. One pattern for all sorts most rows out first.
+
+    The condition isn't deterministic by form, so that it stays behind spread() and isn't worked out again further up.
+    """
+    rows = spread(docs).withColumn(text, F.lower(text))
+    met = rows.where(F.when(F.rand(0) >= 0, any_hit(F.col(text), TOOL_RULES, True)))
+    return met.withColumns({f"r_{r.rule_id}": F.col(text).rlike(pattern(r, True)) for r in TOOL_RULES})
 
 
 @query
@@ -189,7 +195,8 @@ def composition_rules(spark, sf):
 
 @query
 def multisource_verdict(spark, sf):
-    df = multisource.multisource_verdicts(_conversation_sources(spark, sf), "conv_id", full=False)
+    rows = _conversation_sources(spark, sf).repartition(spark.sparkContext.defaultParallelism)
+    df = multisource.multisource_verdicts(rows, "conv_id", full=False)
     return df.select("conv_id", "decision", "risk_level", F.col("score").cast("long").alias("score"), F.array_join("matched_rules", "|").alias("rules"), "manifest_sha256", F.col("source_count").cast("long").alias("source_count"))
 
 
