@@ -29,9 +29,10 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores if it comes in fewer pieces, as one small file does. Rows that cost much are worth the move."""
+    """df over all cores if it comes in few pieces, as one small file does: of its splits one alone may hold the rows.
+    Rows that cost much are worth the move."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < 4 * cores else df
 
 
 def pick(values, at: Column) -> Column:
@@ -84,7 +85,8 @@ def tool_verdict(spark, sf):
     maxima = F.filter(F.array(*(F.struct(F.lit(c).alias("category"), F.col(f"w_{c}").alias("weight")) for c in tool.CATEGORIES)), lambda c: c["weight"] > 0)
     df = held.select("doc_id", maxima.alias("_m")).withColumn("_c", active(F.col("_m")))
     df = df.withColumn("score", points(F.col("_m"), 12, tool.tool_bonus(F.col("_c"), F.lit(False)))).withColumn("decision", score_decision(F.col("score")))
-    return df.where("decision <> 'allow'").select("doc_id", F.col("score").cast("long").alias("score"), "decision", tool.scope(F.col("_c")).alias("permission_scope"))
+    # Not deterministic by form: pushed down, the condition would carry a copy of all that the decision is made of.
+    return df.where(F.when(F.rand(0) >= 0, F.col("decision") != "allow")).select("doc_id", F.col("score").cast("long").alias("score"), "decision", tool.scope(F.col("_c")).alias("permission_scope"))
 
 
 @query
