@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import FLAGS
 from ..rules import Rule
+from .literals import required
 
 #: A match counts from this weight on, in hundredths.
 ACTIVE = 30
@@ -29,9 +32,26 @@ def pattern(rule: Rule, dotall: bool = False) -> str:
     return ("" if plain == plain.lower() else FLAGS) + ("(?s)" if dotall else "") + rule.regex
 
 
+def matched(text: Column, rule: Rule, dotall: bool = False) -> Column:
+    """Whether a rule matches a text in lower case. Texts without any of the literals that a match must hold are told
+    by plain searches, which cost far less than the regex."""
+    regex = pattern(rule, dotall)
+    found = text.rlike(regex)
+    needed = None if regex.startswith(FLAGS) else required(rule.regex)
+    if not needed:
+        return found
+    return reduce(or_, (text.contains(n) for n in needed)) & found
+
+
 def any_hit(text: Column, rules: Sequence[Rule], dotall: bool = False) -> Column:
     """Whether any rule matches a text in lower case."""
-    return (text != "") & F.coalesce(text.rlike("|".join(f"(?:{pattern(r, dotall)})" for r in rules)), F.lit(False))
+    return (text != "") & F.coalesce(reduce(or_, (matched(text, r, dotall) for r in rules), F.lit(False)), F.lit(False))
+
+
+def fenced(df: DataFrame, condition: Column) -> DataFrame:
+    """The rows of df that meet a condition, which is worked out above all that df does: not before its exchanges, and
+    not with a copy of the expressions its columns are made of. A projection that isn't deterministic holds it there."""
+    return df.withColumn("_fence", F.rand(0)).where((F.col("_fence") >= 0) & condition).drop("_fence")
 
 
 def hits(text: Column, rules: Sequence[Rule], dotall: bool = False, keep: int = 8, length: int = 180) -> Column:
@@ -41,7 +61,7 @@ def hits(text: Column, rules: Sequence[Rule], dotall: bool = False, keep: int =
     """
     one = [
         F.when(
-            text.rlike(pattern(r, dotall)),
+            matched(text, r, dotall),
             F.struct(
                 F.lit(-r.weight).alias("order"), F.lit(r.rule_id).alias("rule_id"), F.lit(r.category).alias("category"), F.lit(r.weight).alias("weight"),
                 F.slice(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(pattern(r, dotall)), 0), lambda e: F.substring(F.trim(e), 1, length))), 1, keep).alias("evidence"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import approvals, audit, evaluate, multisource, packages, pipeline, policy, prompt, report, session, skills, tool
-from ..operators.scoring import active, any_hit, pattern, points
+from ..operators.scoring import active, any_hit, fenced, matched, points
 from ..rules import TOOL_RULES
 from ..schemas import DECISIONS, score_decision
 from ..sources import readers
@@ -45,11 +45,11 @@ def pick(values, at: Column) -> Column:
 def _rule_flags(docs: DataFrame, text: str) -> DataFrame:
     """The rows that any rule matches, with a flag for each rule. One pattern for all sorts most rows out first.
 
-    The condition isn't deterministic by form, so that it stays behind spread() and isn't worked out again further up.
+    It stays behind spread(), whose cores it is for.
     """
     rows = spread(docs).withColumn(text, F.lower(text))
-    met = rows.where(F.when(F.rand(0) >= 0, any_hit(F.col(text), TOOL_RULES, True)))
-    return met.withColumns({f"r_{r.rule_id}": F.col(text).rlike(pattern(r, True)) for r in TOOL_RULES})
+    met = fenced(rows, any_hit(F.col(text), TOOL_RULES, True))
+    return met.withColumns({f"r_{r.rule_id}": matched(F.col(text), r, True) for r in TOOL_RULES})
 
 
 @query
@@ -85,8 +85,7 @@ def tool_verdict(spark, sf):
     maxima = F.filter(F.array(*(F.struct(F.lit(c).alias("category"), F.col(f"w_{c}").alias("weight")) for c in tool.CATEGORIES)), lambda c: c["weight"] > 0)
     df = held.select("doc_id", maxima.alias("_m")).withColumn("_c", active(F.col("_m")))
     df = df.withColumn("score", points(F.col("_m"), 12, tool.tool_bonus(F.col("_c"), F.lit(False)))).withColumn("decision", score_decision(F.col("score")))
-    # Not deterministic by form: pushed down, the condition would carry a copy of all that the decision is made of.
-    return df.where(F.when(F.rand(0) >= 0, F.col("decision") != "allow")).select("doc_id", F.col("score").cast("long").alias("score"), "decision", tool.scope(F.col("_c")).alias("permission_scope"))
+    return fenced(df, F.col("decision") != "allow").select("doc_id", F.col("score").cast("long").alias("score"), "decision", tool.scope(F.col("_c")).alias("permission_scope"))
 
 
 @query
