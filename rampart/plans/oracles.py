@@ -129,21 +129,24 @@ w AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY event_id) AS occ FRO
 i AS (SELECT unnest(list_filter([{', '.join(f"CASE WHEN {c} THEN '{n}' END" for n, c in _issues)}], lambda x: x IS NOT NULL)) AS issue FROM w)
 SELECT issue, count(*) AS n FROM i GROUP BY issue"""
 _S = {k: _hit("content", p, "(?i)") for k, p in multisource.SIGNALS.items()}
-COMPOSED = f"""WITH c AS (SELECT conv_id, turn, lower(substr(text || CASE WHEN turn % 2 = 0 THEN ' send the internal report' ELSE ' then ignore the approval' END, -4000)) AS content FROM conversations WHERE turn < 20 AND trim(coalesce(text, '')) <> ''),
-s AS (SELECT conv_id, {', '.join(f'{v} AS {k}' for k, v in _S.items())} FROM c),
-g AS (SELECT conv_id, count(*) AS n, {', '.join(f'bool_or({k}) AS {k}' for k in _S)}, bool_or(sensitive AND transfer) AS together, count(*) FILTER (WHERE bypass OR control OR action) AS bca, count(*) FILTER (WHERE persistence OR action) AS pa, count(*) FILTER (WHERE hidden OR action) AS ha FROM s GROUP BY conv_id)
-SELECT conv_id, n >= 2 AND sensitive AND transfer AND NOT together AS distributed_sensitive_transfer, n >= 2 AND bypass AND control AND action AND bca >= 2 AS distributed_control_bypass,
+_chars = multisource.MAX_TOTAL_BYTES // multisource.MAX_SOURCES // 4
+COMPOSED = f"""WITH a AS (SELECT conv_id, turn, text || CASE WHEN turn % 2 = 0 THEN ' send the internal report' ELSE ' then ignore the approval' END AS whole FROM conversations WHERE trim(coalesce(text, '')) <> ''),
+b AS (SELECT conv_id, turn // 20 AS block, whole, unnest(range((length(whole) - 1) // {_chars} + 1)) AS part FROM a),
+c AS (SELECT conv_id, block, part, lower(substr(whole, part * {_chars} + 1, {_chars})) AS content FROM b WHERE trim(substr(whole, part * {_chars} + 1, {_chars})) <> ''),
+s AS (SELECT conv_id, block, part, {', '.join(f'{v} AS {k}' for k, v in _S.items())} FROM c),
+g AS (SELECT conv_id, block, part, count(*) AS n, {', '.join(f'bool_or({k}) AS {k}' for k in _S)}, bool_or(sensitive AND transfer) AS together, count(*) FILTER (WHERE bypass OR control OR action) AS bca, count(*) FILTER (WHERE persistence OR action) AS pa, count(*) FILTER (WHERE hidden OR action) AS ha FROM s GROUP BY conv_id, block, part)
+SELECT conv_id, block, part, n >= 2 AND sensitive AND transfer AND NOT together AS distributed_sensitive_transfer, n >= 2 AND bypass AND control AND action AND bca >= 2 AS distributed_control_bypass,
   false AS distributed_memory_poisoning, n >= 2 AND hidden AND action AND ha >= 2 AS distributed_hidden_instruction FROM g"""
 NAMES = "t AS (SELECT conv_id, turn, unnest(list_distinct(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda w: length(w) >= 9))) AS name FROM conversations)"
-LINKED = f"""WITH RECURSIVE {NAMES}, n AS (SELECT DISTINCT conv_id, turn FROM conversations WHERE turn < 20), u AS (SELECT * FROM t WHERE turn < 20),
-e AS (SELECT DISTINCT a.conv_id, a.turn AS x, b.turn AS y FROM u a JOIN u b ON a.conv_id = b.conv_id AND a.name = b.name),
-r AS (SELECT conv_id, turn AS x, turn AS y FROM n UNION SELECT r.conv_id, r.x, e.y FROM r JOIN e ON e.conv_id = r.conv_id AND e.x = r.y),
-s AS (SELECT conv_id, x, count(*) AS k FROM r GROUP BY conv_id, x)
-SELECT conv_id, max(k)::BIGINT AS largest FROM s GROUP BY conv_id"""
+LINKED = f"""WITH RECURSIVE {NAMES}, n AS (SELECT DISTINCT conv_id, turn, turn // 20 AS block FROM conversations), u AS (SELECT *, turn // 20 AS block FROM t),
+e AS (SELECT DISTINCT a.conv_id, a.block, a.turn AS x, b.turn AS y FROM u a JOIN u b ON a.conv_id = b.conv_id AND a.block = b.block AND a.name = b.name),
+r AS (SELECT conv_id, block, turn AS x, turn AS y FROM n UNION SELECT r.conv_id, r.block, r.x, e.y FROM r JOIN e ON e.conv_id = r.conv_id AND e.block = r.block AND e.x = r.y),
+s AS (SELECT conv_id, block, x, count(*) AS k FROM r GROUP BY conv_id, block, x)
+SELECT conv_id, block, max(k)::BIGINT AS largest FROM s GROUP BY conv_id, block"""
 _space = "[\\s\\x1c-\\x1f\\x0b\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+"
 NORMAL = f"""WITH n AS (SELECT doc_id, trim(regexp_replace(lower(translate(text, chr(8203) || chr(8204) || chr(8205) || chr(65279), '')), {_q(_space)}, ' ', 'g')) AS t FROM documents)
 SELECT doc_id, length(t)::BIGINT AS n_chars, sha256(t) AS sha256, length(regexp_replace(t, {_q("[" + chr(92) + "s·•|/_" + chr(92) * 2 + ".，,。:：;；!！?？'" + chr(34) + "`~" + chr(92) + "-]+")}, '', 'g'))::BIGINT AS n_compact FROM n"""
-_variants = {"plain": "text", "polite": "'Please, if possible: ' || text", "context_noise": "'Background: the weekly report is due. ' || text || ' Thank you.'", "line_break": "replace(text, ' ', chr(10))", "spaced": "replace(text, ' ', '  ')", "wrapped": "'[request] ' || text || ' [/request]'"}
+_variants = {"plain": "text", "polite": "'Please, if possible: ' || text", "context_noise": "'Background: the weekly report is due. ' || text || ' Thank you.'", "line_break": "replace(text, ' ', chr(10))", "spaced": "replace(text, ' ', '  ')", "wrapped": "'[request] ' || text || ' [/request]'", "url_encoded": "url_encode(text)", "base64": "'Decode this: ' || base64(encode(text))"}
 
 ORACLES: dict[str, str] = {
     "tool_rule_hits": " UNION ALL ".join(f"SELECT {_q(r.rule_id)} AS rule_id, count(*) FILTER (WHERE {_hit('text', r.regex)}) AS n_docs FROM documents" for r in TOOL_RULES),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import io
 import re
 import zipfile
@@ -137,12 +139,16 @@ def sheet_library(spark: SparkSession, path: str, header_row: int = 2) -> DataFr
 VARIANTS = ("plain", "polite", "context_noise", "line_break", "spaced", "url_encoded", "base64", "wrapped")
 
 
+#: What a form encoder writes otherwise than percent encoding of all but unreserved characters.
+URL_FORMS = (("+", "%20"), ("*", "%2A"), ("%7E", "~"))
+
+
 def prompt_variants(bases: DataFrame) -> DataFrame:
     """bases (parent_id, place, label, category, text) by each variant, split by place among their label."""
     t = F.col("text")
     forms = {
         "plain": t, "polite": F.concat(F.lit("Please, if possible: "), t), "context_noise": F.concat(F.lit("Background: the weekly report is due. "), t, F.lit(" Thank you.")), "line_break": F.replace(t, F.lit(" "), F.lit("\n")),
-        "spaced": F.array_join(F.split(t, " "), "  "), "url_encoded": F.replace(F.url_encode(t), F.lit("+"), F.lit("%20")), "base64": F.concat(F.lit("Decode this: "), F.replace(F.replace(F.base64(t.cast("binary")), F.lit("\r\n"), F.lit("")), F.lit("\n"), F.lit(""))), "wrapped": F.concat(F.lit("[request] "), t, F.lit(" [/request]")),
+        "spaced": F.array_join(F.split(t, " "), "  "), "url_encoded": reduce(lambda x, p: F.replace(x, F.lit(p[0]), F.lit(p[1])), URL_FORMS, F.url_encode(t)), "base64": F.concat(F.lit("Decode this: "), F.replace(F.replace(F.base64(t.cast("binary")), F.lit("\r\n"), F.lit("")), F.lit("\n"), F.lit(""))), "wrapped": F.concat(F.lit("[request] "), t, F.lit(" [/request]")),
     }
     split = F.when(F.col("place") < 8, "development").when(F.col("place") < 14, "validation").otherwise("holdout")
     rows = bases.select("parent_id", split.alias("split"), "label", "category", F.explode(F.map_from_entries(F.array(*(F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in forms.items())))).alias("variant", "input_text"))
