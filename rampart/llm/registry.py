@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .language_id import op8_language_id
 from .line_dedup import OP2_SQL, op2_line_dedup
 from .media import op10_media_columns
-from .minhash import op1_minhash
+from .minhash import OP1_SQL, op1_minhash
 from .mixing import OP6_SQL, op6_mixing
 from .packing import op3_packing
 from .quality_crf import op7_quality_classifier
@@ -35,7 +35,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op1_minhash": op1_minhash,
+        "op1_minhash": OP1_SQL,
         "op2_line_dedup": OP2_SQL,
         "op6_mixing": OP6_SQL,
         "op9_warc": OP9_SQL,
