@@ -12,7 +12,8 @@ in parts by a hash. Its PIVOTS most central sets, those that agree most with the
 commonest value at each place of the signature, go to every part, and each set is
 also compared with all of them, as is done in any region larger than the window. A
 crowd of copies of one text thus meets through that text and the copies nearest to
-it, with work in proportion to the crowd.
+it, with work in proportion to the crowd. All other pairs of a part that are not
+yet joined meet by their rarest members (rest_links), so that a part is exact.
 
 All comparisons are of full sets, made where the sets of a region lie, and only a
 spanning forest of the links found leaves a task. Equal sets are one set from the
@@ -49,6 +50,8 @@ WINDOW = 10
 PIVOTS = 64
 REGION_SETS, REGION_SHINGLES = 2_000, 2_000_000
 SAMPLE = 400
+#: Pairs looked at in one go in a crowded region.
+CANDIDATES = 1_000_000
 BROADCAST_IDS = 1_000_000
 _WORD = U64(0x9E3779B97F4A7C15)
 _SEEDS = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 63, PLACES, dtype=np.uint64) * U64(2) + U64(1)
@@ -155,8 +158,8 @@ def alike(both: int, a: int, b: int, percent: int) -> bool:
     return 100 * both >= percent * (a + b - both)
 
 
-def part_links(keys: list[bytes], sets: list[np.ndarray], pivots: list[int], percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links found among sets in the order of their keys. pivots: which of them every set is compared with."""
+def part_links(keys: list[bytes], sets: list[np.ndarray], pivots: list[int], percent: int, exact: bool = False) -> list[tuple[int, int]]:
+    """A spanning forest of the links found among sets in the order of their keys. pivots: which of them every set is compared with. exact: or of all links there are."""
     forest, sizes = Forest(len(sets)), [len(s) for s in sets]
     shallow = 4 * MIN_DEPTH
     for i in range(len(sets)):
@@ -181,9 +184,73 @@ def part_links(keys: list[bytes], sets: list[np.ndarray], pivots: list[int], per
                 for k in far:
                     if alike(int(both[k]), sizes[i], sizes[pivots[k]], percent):
                         forest.link(i, pivots[k])
+    if exact and len(sets) > WINDOW:
+        rest_links(forest, sets, percent)
     return forest.links
 
 
+def rest_links(forest: Forest, sets: list[np.ndarray], percent: int) -> None:
+    """Join the sets of a part that are alike and not yet joined, whichever they are.
+
+    Two sets that are alike share one of the rarest members of each; the order of members is by how many sets hold
+    them. Where such a member lies bounds how much two sets share, which leaves few pairs of a crowd to compare.
+    """
+    n = len(sets)
+    order = np.argsort([len(s) for s in sets], kind="stable")
+    size = np.array([len(sets[i]) for i in order], dtype=np.int64)
+    roots = lambda: np.array([forest.root(int(i)) for i in order], dtype=np.int64)
+    root = roots()
+    if (root == root[0]).all():
+        return
+    owner = np.repeat(np.arange(n), size)
+    values, token, held = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True, return_counts=True)
+    rank = np.empty(len(values), dtype=np.int64)
+    rank[np.argsort(held, kind="stable")] = np.arange(len(values))
+    lowest, highest = np.full(len(values), n), np.full(len(values), -1)
+    np.minimum.at(lowest, token, root[owner])
+    np.maximum.at(highest, token, root[owner])
+    apart = np.empty(len(values), dtype=bool)  # members that sets not yet joined have in common
+    apart[rank] = lowest < highest
+    token = np.sort(owner * len(values) + rank[token]) - owner * len(values)
+    place = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
+    length = size[owner]
+    # Of two sets that are alike, the larger shares at least percent of its own members, the smaller more of its own.
+    probes = np.flatnonzero((place <= length - -(-percent * length // 100)) & apart[token])
+    listed = np.flatnonzero((place <= length - -(-2 * percent * length // (100 + percent))) & apart[token])
+    largest = np.bincount(root).argmax()
+    of_largest = root[owner[listed]] == largest
+    smallest = np.searchsorted(size, -(-percent * size // 100))
+    for index, asking in ((listed[~of_largest], probes), (listed[of_largest], probes[root[owner[probes]] != largest])):
+        index = index[np.argsort(token[index] * n + owner[index])]
+        keys = token[index] * n + owner[index]
+        x = owner[asking]
+        # A member at this place leaves so many in common at most, and so bounds the smaller set's size.
+        most = (100 + percent) * (length[asking] - place[asking]) // percent - length[asking]
+        first = np.searchsorted(keys, token[asking] * n + smallest[x])
+        last = np.searchsorted(keys, token[asking] * n + np.minimum(x, np.searchsorted(size, most, side="right")))
+        count = np.maximum(last - first, 0)
+        ends = np.cumsum(count)
+        a = 0
+        while a < len(asking):
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + CANDIDATES, side="right")))
+            if ends[b - 1] > (ends[a - 1] if a else 0):
+                p = np.repeat(np.arange(a, b), count[a:b])
+                q = index[first[p] + np.arange(len(p)) - np.repeat(ends[a:b] - count[a:b] - (ends[a - 1] if a else 0), count[a:b])]
+                i, j = x[p], owner[q]
+                shared = np.minimum(length[asking[p]] - place[asking[p]], length[q] - place[q])
+                fits = (root[i] != root[j]) & ((100 + percent) * shared >= percent * (size[i] + size[j]))
+                for pair in np.unique(i[fits] * n + j[fits]).tolist():
+                    s, t = int(order[pair // n]), int(order[pair % n])
+                    if forest.root(s) != forest.root(t):
+                        both = np.concatenate([sets[s], sets[t]])
+                        both.sort()
+                        if alike(int((both[1:] == both[:-1]).sum()), len(sets[s]), len(sets[t]), percent):
+                            forest.link(s, t)
+                if fits.any():
+                    root = roots()
+            a = b
+
+
 def agreement(signature: np.ndarray, common: np.ndarray) -> np.ndarray:
     return (signature == common).sum(axis=-1)
 
@@ -230,7 +297,7 @@ def _parts(percent: int):
             if not pivots and len(held) > WINDOW + 1:
                 signed = np.frombuffer(b"".join(h[3] for h, _ in held), dtype=">u4").reshape(len(held), DEPTH)
                 pivots = np.lexsort((reps, -agreement(signed, commonest(signed))))[:PIVOTS].tolist()
-            links = part_links([h[3] for h, _ in held], sets, pivots, percent)
+            links = part_links([h[3] for h, _ in held], sets, pivots, percent, exact=True)
             a += [reps[i] for i, _ in links]
             b += [reps[j] for _, j in links]
             if len(a) > 100_000:

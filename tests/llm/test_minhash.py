@@ -103,3 +103,39 @@ def test_pivots_join_a_star():
     keys = [bytes([k]) * 20 for k in range(19)]  # no two share a prefix
     assert part_links(keys, [hub, *leaves], [], 80) == []
     assert len(part_links(keys, [hub, *leaves], [0], 80)) == 18
+
+
+def templates(n, pairs, extra, words=89):
+    """n texts of a long template and words of their own, mutually below 0.8; k and k + n / 3 share `extra` of these for `pairs` k from n / 3 on, far from each other and from the smallest ids."""
+    base = [f"t{k}" for k in range(words)]
+    out = []
+    for i in range(n):
+        shared = [f"s{i % (n // 3)}x{k}" for k in range(extra if i >= n // 3 and i % (n // 3) < pairs else 0)]
+        out.append((i, " ".join(base + shared + [f"o{i}x{k}" for k in range(14 - len(shared))])))
+    return out
+
+
+def test_pairs_in_a_template_crowd(spark):
+    for extra in (3, 6):
+        rows = templates(1500, 100, extra)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(table(spark, rows), 4, 80).collect()}
+        want = plain_components(rows, 4, 80)
+        assert got == want and sum(i != c for i, (_, c) in want.items()) == 100
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.integers(0, 10**6), st.integers(12, 60), st.sampled_from([50, 80, 90]))
+def test_rest_is_exact(seed, n, percent):
+    r = np.random.default_rng(seed)
+    sets = [np.unique(np.concatenate([np.arange(30)[r.random(30) < 0.95], 100 + r.integers(0, 200, r.integers(0, 9))])).astype(np.uint64) for _ in range(n)]
+    sets = [s for s in sets if len(s)]
+    keys = [k.to_bytes(20) for k in r.permutation(len(sets)).tolist()]
+    found, want = minhash.Forest(len(sets)), minhash.Forest(len(sets))
+    for a, b in part_links(keys, sets, [], percent, exact=True):
+        assert minhash.alike(len(np.intersect1d(sets[a], sets[b])), len(sets[a]), len(sets[b]), percent)
+        found.link(a, b)
+    for a in range(len(sets)):
+        for b in range(a):
+            if minhash.alike(len(np.intersect1d(sets[a], sets[b])), len(sets[a]), len(sets[b]), percent):
+                want.link(a, b)
+    assert [found.root(k) for k in range(len(sets))] == [want.root(k) for k in range(len(sets))]
