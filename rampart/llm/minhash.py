@@ -7,13 +7,15 @@ that follow it in sorted order, which are those with the longest common prefixes
 So the depth that matters adapts to a region: in a crowded one neighbours agree to
 the last value, in a sparse one MIN_DEPTH is enough.
 
-A region of more than REGION_SETS sets (or REGION_SHINGLES shingles) is dealt out
-in parts by a hash. Its PIVOTS most central sets, those that agree most with the
-commonest value at each place of the signature, go to every part, and each set is
-also compared with all of them, as is done in any region larger than the window. A
-crowd of copies of one text thus meets through that text and the copies nearest to
-it, with work in proportion to the crowd. All other pairs of a part that are not
-yet joined meet by their rarest members (rest_links), so that a part is exact.
+In any region larger than the window each set is also compared with the PIVOTS most
+central ones, those that agree most with the commonest value at each place of the
+key. A crowd of copies of one text thus meets through that text and the copies nearest
+to it. All other pairs that are not yet joined meet by their rarest members
+(rest_links), so that a region is exact, whatever its size.
+
+A region of more than REGION_SETS sets (or REGION_SHINGLES shingles) is cut into
+blocks by a hash, and every two blocks make a part, so that each pair of the region
+meets in one part at least. A set goes to one part fewer than there are blocks.
 
 All comparisons are of full sets, made where the sets of a region lie, and only a
 spanning forest of the links found leaves a task. Equal sets are one set from the
@@ -38,7 +40,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from .common import materialise, per_batch, table, text_chunks
 from .components import components
@@ -49,7 +50,6 @@ PLACES = TREES * DEPTH
 WINDOW = 10
 PIVOTS = 64
 REGION_SETS, REGION_SHINGLES = 2_000, 2_000_000
-SAMPLE = 400
 #: Pairs looked at in one go in a crowded region.
 CANDIDATES = 1_000_000
 BROADCAST_IDS = 1_000_000
@@ -264,37 +264,23 @@ def commonest(signature: np.ndarray) -> np.ndarray:
     return out
 
 
-def _signatures(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(x.as_py() for x in column), dtype=">u4").reshape(-1, PLACES)
-
-
-def _common(key: tuple, rows: pa.Table) -> pa.Table:
-    found = commonest(np.vstack([_signatures(c) for c in rows.column("signature").chunks]))
-    return pa.table({"tree": [key[0].as_py()], "region": [key[1].as_py()], "common": pa.array([found.tobytes()], pa.binary())}, schema=pa.schema([("tree", pa.int32()), ("region", pa.int64()), ("common", pa.binary())]))
-
-
-def _agree(batch: pa.RecordBatch) -> pa.RecordBatch:
-    a, b = _signatures(batch.column(3)), _signatures(batch.column(4))
-    return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(agreement(a, b).astype(np.int32))], names=["tree", "region", "rep", "agrees"])
-
-
 def _parts(percent: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for batch in batches:
-                cols = [c.to_pylist() for c in batch.columns[:6]]
-                for k, members in enumerate(batch.column(6)):
+                cols = [c.to_pylist() for c in batch.columns[:5]]
+                for k, members in enumerate(batch.column(5)):
                     yield tuple(c[k] for c in cols), members
 
         a: list[int] = []
         b: list[int] = []
-        # tree, region, part, key, rep, pivot; sorted by the first five
+        # tree, region, part, key, rep; sorted by these
         for _, group in groupby(rows(), key=lambda r: r[0][:3]):
             held = list(group)
             sets = [np.frombuffer(m.as_buffer(), dtype=np.uint64) for _, m in held]
             reps = [h[4] for h, _ in held]
-            pivots = [i for i, (h, _) in enumerate(held) if h[5]]
-            if not pivots and len(held) > WINDOW + 1:
+            pivots: list[int] = []
+            if len(held) > WINDOW + 1:
                 signed = np.frombuffer(b"".join(h[3] for h, _ in held), dtype=">u4").reshape(len(held), DEPTH)
                 pivots = np.lexsort((reps, -agreement(signed, commonest(signed))))[:PIVOTS].tolist()
             links = part_links([h[3] for h, _ in held], sets, pivots, percent, exact=True)
@@ -319,29 +305,22 @@ def links(docs: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFram
     trees = F.array(*(F.struct(F.lit(t).alias("tree"), F.xxhash64(at(t, MIN_DEPTH)).alias("region")) for t in range(TREES)))
     rows = reps.select("rep", "n_shingles", F.explode(trees).alias("_t")).select("rep", "n_shingles", "_t.tree", "_t.region")
     crowds = rows.groupBy("tree", "region").agg(F.count("*").alias("_sets"), F.sum("n_shingles").alias("_size")).where("_sets > 1")
-    parts = F.greatest(F.ceil(F.col("_sets") / REGION_SETS), F.ceil(F.col("_size") / REGION_SHINGLES)).cast("int")
-    crowds = materialise(crowds.withColumn("_parts", parts).select("tree", "region", "_parts"), "regions")
-    met = materialise(rows.join(crowds, ["tree", "region"]).select("tree", "region", "rep", "_parts"), "met")
-
-    keyed = reps.select("rep", "signature")
-    whole = met.where("_parts > 1").join(keyed, "rep")
-    first = Window.partitionBy("tree", "region").orderBy(F.xxhash64("rep"), "rep")
-    sampled = whole.withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= SAMPLE)
-    common = sampled.select("tree", "region", "signature").groupBy("tree", "region").applyInArrow(_common, "tree int, region long, common binary")
-    scored = whole.join(common, ["tree", "region"]).select("tree", "region", "rep", "signature", "common").mapInArrow(per_batch(_agree), "tree int, region long, rep long, agrees int")
-    best = Window.partitionBy("tree", "region").orderBy(F.desc("agrees"), "rep")
-    pivots = scored.withColumn("_k", F.row_number().over(best)).where(F.col("_k") <= PIVOTS).select("tree", "region", "rep")
-    pivots = materialise(pivots, "pivots").join(crowds, ["tree", "region"]).select("tree", "region", "rep", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("part"))
-
-    dealt = met.select("tree", "region", "rep", F.pmod(F.xxhash64("tree", "rep"), F.col("_parts")).cast("int").alias("part"), F.lit(False).alias("pivot"))
-    placed = dealt.unionByName(pivots.withColumn("pivot", F.lit(True))).groupBy("tree", "region", "part", "rep").agg(F.max("pivot").alias("pivot"))
+    blocks = F.greatest(F.ceil(F.col("_sets") / REGION_SETS), F.ceil(F.col("_size") / REGION_SHINGLES)).cast("int")
+    crowds = materialise(crowds.withColumn("_blocks", blocks).select("tree", "region", "_blocks"), "regions")
+    met = materialise(rows.join(crowds, ["tree", "region"]).select("tree", "region", "rep", "_blocks"), "met")
+
+    # A part for each two blocks, numbered lower * blocks + higher; a region of one block is one part.
+    block = F.pmod(F.xxhash64("tree", "rep"), F.col("_blocks")).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda k: (k != F.col("_block")) | (F.col("_blocks") == 1))
+    part = lambda k: F.least(k, "_block").cast("long") * F.col("_blocks") + F.greatest(k, "_block")
+    placed = met.withColumn("_block", block).select("tree", "region", "rep", F.explode(F.transform(others, part)).alias("part"))
     needed = met.select("rep").distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").where("rep IS NOT NULL")
     sets = _sets(texts.join(_few(needed, BROADCAST_IDS), "rep", "left_semi"), size)
     # Repeated rows are one set; a repeated id with another text is another set of the same node.
     full = sets.groupBy("rep", "f1", "f2").agg(F.first("members").alias("members")).join(reps.select("rep", "f1", "f2", "signature"), ["rep", "f1", "f2"])
     key = F.expr(f"substring(signature, {4 * DEPTH} * tree + 1, {4 * DEPTH})")
-    ready = placed.join(full, "rep").select("tree", "region", "part", key.alias("key"), "rep", "pivot", "members")
+    ready = placed.join(full, "rep").select("tree", "region", "part", key.alias("key"), "rep", "members")
     return ready.repartition("tree", "region", "part").sortWithinPartitions("tree", "region", "part", "key", "rep").mapInArrow(_parts(percent), "a long, b long")
 
 

@@ -123,6 +123,14 @@ def test_pairs_in_a_template_crowd(spark):
         assert got == want and sum(i != c for i, (_, c) in want.items()) == 100
 
 
+def test_pairs_in_a_template_crowd_of_several_parts(spark, monkeypatch):
+    rows = templates(600, 60, 4)
+    monkeypatch.setattr(minhash, "REGION_SETS", 100)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(table(spark, rows), 4, 80).collect()}
+    want = plain_components(rows, 4, 80)
+    assert got == want and sum(i != c for i, (_, c) in want.items()) == 60
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.integers(0, 10**6), st.integers(12, 60), st.sampled_from([50, 80, 90]))
 def test_rest_is_exact(seed, n, percent):
