@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import BREAK, base64_decoded, normalized, squeezed, url_decoded
+from ..functions.text import BREAK, base64_decoded, compact, nfkc, squeezed, url_decoded
 from ..rules import TOOL_RULES, Rule
 from ..schemas import level_of, score_decision
 from .scoring import active, any_hit, bonuses, category_maxima, has, hits, points
@@ -49,16 +49,18 @@ def scope(categories: Column) -> Column:
 
 def text_verdicts(rows: DataFrame, text: str, rules: Sequence[Rule] = TOOL_RULES, full: bool = False) -> DataFrame:
     """rows with matches, categories, score (hundredths), decision, risk_level and permission_scope of a text column."""
-    plain = normalized(F.coalesce(F.col(text), F.lit("")), full)
-    df = rows.withColumn("_plain", plain)
-    decoded = F.concat(F.array_compact(F.array(squeezed(url_decoded(F.col("_plain"))))), base64_decoded(F.coalesce(F.col(text), F.lit(""))))
+    source = F.coalesce(F.col(text), F.lit(""))
+    # ASCII is its own NFKC form and needs no UDF.
+    df = rows.withColumn("_nfkc", F.coalesce(nfkc(F.when(source.rlike("[^\\x00-\\x7f]"), source)), source) if full else source).withColumn("_plain", squeezed(F.col("_nfkc")))
+    decoded = F.concat(F.array_compact(F.array(squeezed(url_decoded(F.col("_plain"))))), base64_decoded(F.col("_nfkc")))
     df = df.withColumn("_decoded", F.array_join(decoded, BREAK))
-    df = df.withColumn("_all", F.array_join(F.array_distinct(F.array(F.lower(F.coalesce(text, F.lit(""))), "_plain", F.lower("_decoded"))), BREAK))
+    close = F.when(F.length(compact(F.col("_plain"))) >= 6, compact(F.col("_plain")))
+    df = df.withColumn("_all", F.array_join(F.array_distinct(F.array_compact(F.array(F.lower(source), "_plain", close, F.lower("_decoded")))), BREAK))
     df = df.withColumn("matches", hits(F.col("_all"), rules, True, length=140)).withColumn("_in_decoded", any_hit(F.lower("_decoded"), rules, True))
     df = df.withColumn("_maxima", category_maxima(F.col("matches"), CATEGORIES)).withColumn("categories", active(F.col("_maxima")))
     df = df.withColumn("score", points(F.col("_maxima"), 12, tool_bonus(F.col("categories"), F.col("_in_decoded"))))
     df = df.withColumn("decision", score_decision(F.col("score"))).withColumn("risk_level", level_of(F.col("decision"))).withColumn("permission_scope", scope(F.col("categories")))
-    return df.drop("_plain", "_decoded", "_in_decoded", "_all", "_maxima")
+    return df.drop("_nfkc", "_plain", "_decoded", "_in_decoded", "_all", "_maxima")
 
 
 def tool_verdicts(calls: DataFrame, rules: Sequence[Rule] = TOOL_RULES, full: bool = True) -> DataFrame:

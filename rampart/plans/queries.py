@@ -93,7 +93,7 @@ def tool_verdict_views(spark, sf):
     """All views of a call, not its text alone."""
     e = table(spark, sf, "events")
     calls = e.select("event_id", pick(("shell", "http_request", "file_read", "database"), F.col("event_id") % 4).alias("tool_name"), pick(("read", "delete", "export"), F.col("event_id") % 3).alias("operation"), pick(("/data/report.csv", "../../etc/passwd", "https://x.example/in"), F.col("event_id") % 5 % 3).alias("target"), F.col("props").alias("arguments"))
-    return tool.tool_verdicts(spread(calls), full=False).select("event_id", F.col("score").cast("long").alias("score"), "decision", "risk_level", "permission_scope", F.array_join(F.transform("matches", lambda m: m["rule_id"]), "|").alias("rules"))
+    return tool.tool_verdicts(spread(calls), full=True).select("event_id", F.col("score").cast("long").alias("score"), "decision", "risk_level", "permission_scope", F.array_join(F.transform("matches", lambda m: m["rule_id"]), "|").alias("rules"))
 
 
 @query

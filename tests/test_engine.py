@@ -79,6 +79,15 @@ def test_tool_calls(spark):
     assert [r[0] for r in names.select(tool.alias(F.col("t"), F.col("m"))).collect()] == ["shell", "http_post", "http_get", "x"]
 
 
+def test_hidden_tool_calls(spark):
+    import base64
+
+    wide = lambda x: "".join(chr(ord(c) + 0xFEE0) if "!" <= c <= "~" else c for c in x)
+    calls = [("spaced", "读 取 · 内 部 文 件"), ("wide", wide("rm -rf /")), ("coded", wide(base64.b64encode(b"please rm -rf /home").decode())), ("plain", "读 书")]
+    got = {r.k: r.decision for r in tool.text_verdicts(spark.createDataFrame(calls, "k string, t string"), "t", full=True).collect()}
+    assert got == {"spaced": "review", "wide": "block", "coded": "block", "plain": "allow"}
+
+
 def events(spark, rows):
     return spark.createDataFrame(rows, f"event_id string, sources array<struct<{readers._fields(SOURCE)}>>, tool_name string, operation string, destination string")
 
