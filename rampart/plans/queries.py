@@ -199,7 +199,7 @@ def _conversation_sources(spark, sf) -> DataFrame:
 
 @query
 def composition_rules(spark, sf):
-    df = multisource.composition(_conversation_sources(spark, sf))
+    df = multisource.composition(_conversation_sources(spark, sf), full=False)  # its SQL reads the texts alone
     rules = ("distributed_sensitive_transfer", "distributed_control_bypass", "distributed_memory_poisoning", "distributed_hidden_instruction")
     return df.select("event.*", *(F.array_contains("composition_rules", r).alias(r) for r in rules))
 
@@ -207,7 +207,7 @@ def composition_rules(spark, sf):
 @query
 def multisource_verdict(spark, sf):
     rows = _conversation_sources(spark, sf).repartition(spark.sparkContext.defaultParallelism)
-    df = multisource.multisource_verdicts(rows, "event", full=False)
+    df = multisource.multisource_verdicts(rows, "event", full=True)
     return df.select("event.*", "decision", "risk_level", F.col("score").cast("long").alias("score"), F.array_join("matched_rules", "|").alias("rules"), "manifest_sha256", F.col("source_count").cast("long").alias("source_count"))
 
 
