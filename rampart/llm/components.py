@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-MAX_STEPS = 60
-
 
 def _large(links: DataFrame) -> DataFrame:
     both = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -32,10 +30,9 @@ def components(links: DataFrame) -> DataFrame:
     clean = lambda df: df.where("a <> b").distinct()
     held = materialise(clean(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))), "links")
     seen = None
-    for _ in range(MAX_STEPS):
+    while True:
         held = materialise(clean(_small(clean(_large(held)))), "links")
         now = held.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:
             return held.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(held.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
         seen = now
-    raise RuntimeError("components didn't settle")

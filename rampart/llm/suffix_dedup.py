@@ -8,19 +8,22 @@ each many times, so the suffixes are narrowed first, without loss:
    least hash among the grams of GRAM bytes inside the window. Equal windows have
    equal grams at equal distance, so windows can only match under one gram. The
    starts with one anchor are a range of at most `length - GRAM + 1`.
-2. Ranges whose whole context (all bytes of their windows) occurs twice are repeated
-   as they stand. Ranges whose gram occurs once hold no repeat. Both follow from
-   counts of hashes, which combine on the map side.
-3. The other ranges, those at the ends of repeats, bring their contexts together by
-   gram. There the suffixes are merge-sorted. Two are compared by binary search for
-   their common extension over prefix polynomial hashes, so a comparison takes a
-   logarithmic number of steps. Neighbours that share `length` bytes are repeats, once
-   their bytes have been compared; where a hash lied, the bytes decide.
-
-A gram with more than HOT_CONTEXTS contexts isn't gathered: its windows are counted
-one by one under 128-bit hashes, which needs no group.
-
-Contexts and texts are identified by 128 bits, grams by 64.
+2. Counts of context hashes, which combine on the map side, narrow the ranges: those whose
+   gram occurs once hold no repeat and go no further. Of a context that occurs often, two
+   places stand for all.
+3. The contexts that are left come together by gram. There the suffixes are merge-sorted.
+   Two are compared by binary search for their common extension over prefix polynomial
+   hashes, so a comparison takes a logarithmic number of steps. Neighbours that share
+   `length` bytes are repeats, once their bytes have been compared; where a hash lied, the
+   bytes decide. Nothing is removed on counts alone: a context that occurs often goes from
+   all its places if the sort found its two places equal.
+
+A gram with more than HOT_CONTEXTS contexts isn't gathered. Its frequent contexts are
+sorted under the context's own hash, and the windows of the others under the window's,
+so each group has two contexts, and the sort and the bytes decide there too.
+
+Of one text that occurs in several rows all goes, once SHA-256 agrees that it is one text.
+Texts and contexts are told apart by 128 bits, grams by 64.
 
 Defined cases: a null text is empty; texts shorter than `length` are kept whole;
 repeated rows are copies, so each goes whole if long enough; a null id passes
@@ -33,7 +36,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, per_batch, table
@@ -209,8 +212,9 @@ def repeats(contexts: list[bytes], grams: np.ndarray, distance: np.ndarray, leng
     return np.where(high < 0, -1, low), high
 
 
-CONTEXTS = "gram long, t1 long, t2 long, lo long, distance long, whole boolean, context binary"
-FOUND = "t1 long, t2 long, a long, b long"
+KIND = ("gram", "c1", "c2")
+CONTEXTS = "gram long, c1 long, c2 long, t1 long, t2 long, lo long, distance long, often boolean, context binary"
+DECIDED = "gram long, c1 long, c2 long, often boolean, t1 long, t2 long, a long, b long"
 
 
 def _contexts(length: int):
@@ -218,8 +222,8 @@ def _contexts(length: int):
         out: list[tuple] = []
         for t1, t2, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
             data = text.as_buffer()
-            out += [(w["gram"], t1, t2, w["lo"], w["anchor"] - w["lo"], w["whole"], data[w["lo"] : w["hi"] + length].to_pybytes()) for w in wanted.as_py()]
-        kinds = [pa.int64()] * 5 + [pa.bool_(), pa.binary()]
+            out += [(w["gram"], w["c1"], w["c2"], t1, t2, w["lo"], w["anchor"] - w["lo"], w["often"], data[w["lo"] : w["hi"] + length].to_pybytes()) for w in wanted.as_py()]
+        kinds = [pa.int64()] * 7 + [pa.bool_(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=_names(CONTEXTS))
 
     return rows
@@ -231,11 +235,13 @@ def _sorted_repeats(length: int):
         size = 0
 
         def done() -> pa.RecordBatch:
-            grams, t1, t2, lo, distance, whole, contexts = zip(*held, strict=True)
-            first, last = repeats(list(contexts), np.array(grams), np.array(distance), length)
-            lo = np.array(lo)
-            keep = (first >= 0) & ~np.array(whole)
-            return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (np.array(t1), np.array(t2), lo + first, lo + last + length)], names=_names(FOUND))
+            *ids, t1, t2, lo, distance, often, contexts = zip(*held, strict=True)
+            first, last = repeats(list(contexts), np.array(ids[0]), np.array(distance), length)
+            lo, often = np.array(lo), np.array(often)
+            whole = (first == 0) & (last == np.array([len(c) for c in contexts]) - length)
+            keep = np.where(often, whole, first >= 0)
+            columns = (*map(np.array, ids), often, np.array(t1), np.array(t2), lo + first, lo + last + length)
+            return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], names=_names(DECIDED))
 
         # Rows come in the order of their grams; a gram's are worked on together, with those of others up to SORT_BYTES.
         for batch in batches:
@@ -244,7 +250,7 @@ def _sorted_repeats(length: int):
                     yield done()
                     held, size = [], 0
                 held.append(row)
-                size += len(row[6])
+                size += len(row[-1])
         if held:
             yield done()
 
@@ -256,16 +262,19 @@ def _windows(length: int):
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         out: list[list[np.ndarray]] = []
-        for t1, t2, lo, whole, context in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3, 5, 6)), strict=True):
+        for t1, t2, lo, often, context in zip(*(batch.column(k).to_pylist() for k in (3, 4, 5, 7, 8)), strict=True):
             codes = np.frombuffer(context, dtype=np.uint8)
             at = np.arange(len(codes) - length + 1)
             hashes = [between(prefix(codes, k), at, at + length).view(np.int64) for k in (0, 1)]
-            out.append([np.full(len(at), t1), np.full(len(at), t2), at + lo, np.full(len(at), whole), *hashes])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["t1", "t2", "at", "whole", "h1", "h2"])
+            out.append([np.full(len(at), t1), np.full(len(at), t2), np.full(len(at), lo), at + lo, np.full(len(at), often), *hashes])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=_names(WINDOWS))
 
     return rows
 
 
+WINDOWS = "t1 long, t2 long, lo long, at long, often boolean, h1 long, h2 long"
+
+
 def _few(df: DataFrame, limit: int) -> DataFrame:
     """df, to be broadcast if a count shows that it has at most `limit` rows."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
@@ -277,38 +286,75 @@ def keyed(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumn("_text", whole).withColumn("t1", F.xxhash64("_text")).withColumn("t2", F.xxhash64(F.lit("second"), "_text"))
 
 
+def _met(texts: DataFrame, places: DataFrame, length: int) -> DataFrame:
+    """CONTEXTS of places (KIND, often, t1, t2, lo, hi, anchor). texts: t1, t2, _bytes."""
+    wanted = places.groupBy("t1", "t2").agg(F.collect_list(F.struct(*KIND, "lo", "hi", "anchor", "often")).alias("wanted"))
+    wanted = materialise(wanted, "wanted")
+    some = texts.join(_few(wanted.select("t1", "t2"), BROADCAST_TEXTS), ["t1", "t2"], "left_semi")
+    one = some.groupBy("t1", "t2").agg(F.first("_bytes").alias("_bytes"))
+    return one.join(wanted, ["t1", "t2"]).select("t1", "t2", "_bytes", "wanted").mapInArrow(per_batch(_contexts(length)), CONTEXTS)
+
+
+def _decided(met: DataFrame, length: int) -> DataFrame:
+    """What the sort decides of contexts that meet by gram: the repeated range of each, of one that occurs often only if it is all repeated."""
+    return materialise(met.repartition("gram").sortWithinPartitions("gram", "t1", "t2", "lo").mapInArrow(_sorted_repeats(length), DECIDED), "decided")
+
+
+def _both(kinds: DataFrame) -> DataFrame:
+    """The first and last place of kinds."""
+    place = F.explode(F.array("first", "last")).alias("_p")
+    return kinds.select(*KIND, F.lit(True).alias("often"), place).select(*KIND, "often", "_p.*")
+
+
+def _hot(texts: DataFrame, kinds: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """Kinds that the sort found repeated as a whole, and spans of the others, in grams of too many contexts to be gathered."""
+    own = F.xxhash64(*KIND).alias("gram")
+    frequent = kinds.where("n > 1 AND first <> last")
+    # A kind's two places meet under its own hash; the gram is kept as distance from it.
+    met = _met(texts, _both(frequent).select(own, F.col("gram").alias("c1"), *[F.col(c) for c in ("c2", "often", "t1", "t2", "lo", "hi", "anchor")]), length)
+    whole = _decided(met, length).select(F.col("c1").alias("gram"), "c2").distinct()
+    whole = frequent.join(whole, ["gram", "c2"]).select(*KIND)
+    contexts = _met(texts, kinds.select(*KIND, (F.col("n") > 1).alias("often"), "first.*"), length)
+    windows = materialise(contexts.mapInArrow(per_batch(_windows(length)), WINDOWS), "windows")
+    place = F.struct("t1", "t2", F.col("at").alias("lo"), F.col("at").alias("hi"), F.col("at").alias("anchor"))
+    twice = windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
+    twice = twice.select(F.col("h1").alias("gram"), F.col("h2").alias("c1"), F.lit(0).cast("long").alias("c2"), "first", "last")
+    sure = _decided(_met(texts, _both(twice), length), length).select(F.col("gram").alias("h1"), F.col("c1").alias("h2")).distinct()
+    found = windows.where("NOT often").join(sure, ["h1", "h2"]).select("t1", "t2", "lo", "at").distinct()
+    island = F.col("at") - F.row_number().over(Window.partitionBy("t1", "t2", "lo").orderBy("at"))  # a context has at most length - gram + 1 windows
+    runs = found.withColumn("_island", island).groupBy("t1", "t2", "lo", "_island").agg(F.min("at").alias("a"), (F.max("at") + length).alias("b"))
+    return whole, runs.select("t1", "t2", "a", "b")
+
+
+def copies(docs: DataFrame, length: int) -> DataFrame:
+    """One span over each text of `length` bytes or more that several rows of keyed() hold. SHA-256 must agree that it is one text."""
+    sha = F.sha2("_text", 256)
+    same = docs.where(F.octet_length("_text") >= length).groupBy("t1", "t2").agg(F.count("*").alias("_n"), F.min(sha).alias("_x"), F.max(sha).alias("_y"), F.max(F.octet_length("_text")).alias("b"))
+    sure = F.when(F.col("_x") != F.col("_y"), F.raise_error(F.lit("two texts share 128 bits"))).otherwise(F.col("b"))
+    return same.where("_n > 1").select("t1", "t2", F.lit(0).cast("long").alias("a"), sure.cast("long").alias("b"))
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT_CONTEXTS) -> DataFrame:
     """t1, t2 of each text with repeats and `spans`, unmerged (a, b) byte ranges that cover them. docs: keyed()."""
     texts = docs.select("t1", "t2", F.col("_text").cast("binary").alias("_bytes")).where(F.octet_length("_bytes") >= length)
     cut = materialise(texts.mapInArrow(per_batch(_anchored(length)), RANGES), "ranges")
-    place = F.min(F.struct("t1", "t2", "lo", "hi", "anchor")).alias("first")
-    contexts = cut.groupBy("gram", "c1", "c2").agg(F.count("*").alias("n"), place)
+    place = F.struct("t1", "t2", "lo", "hi", "anchor")
+    contexts = cut.groupBy(*KIND).agg(F.count("*").alias("n"), F.min(place).alias("first"), F.max(place).alias("last"))
     # A row each for the contexts of grams that occur twice; few of all, as most grams are unique.
     grams = contexts.groupBy("gram").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), F.min("n").alias("least")).where("total > 1")
-    shared = materialise(contexts.join(grams, "gram").select("gram", "c1", "c2", "n", "first", "kinds", "least"), "shared")
-    whole = cut.join(shared.where("n > 1").select("gram", "c1", "c2"), ["gram", "c1", "c2"]).select("t1", "t2", F.col("lo").alias("a"), (F.col("hi") + length).alias("b"))
-
-    # Grams with a context of its own: there its windows meet those of the others, one of each context.
-    open_ = shared.where("least = 1 AND kinds > 1").select("gram", "first.*", (F.col("n") > 1).alias("whole"), "kinds")
-    wanted = open_.groupBy("t1", "t2").agg(F.collect_list(F.struct("gram", "lo", "hi", "anchor", "whole")).alias("wanted"))
-    wanted = materialise(wanted, "wanted")
-    some = texts.join(_few(wanted.select("t1", "t2"), BROADCAST_TEXTS), ["t1", "t2"], "left_semi")
-    one = some.groupBy("t1", "t2").agg(F.first("_bytes").alias("_bytes"))
-    met = one.join(wanted, ["t1", "t2"]).select("t1", "t2", "_bytes", "wanted").mapInArrow(per_batch(_contexts(length)), CONTEXTS)
-    crowded = open_.where(F.col("kinds") > hot).select("gram").distinct()
-    crowds = crowded.count()
-    if crowds:
-        met = materialise(met, "contexts")
-        side = _few(crowded, BROADCAST_TEXTS)
-        windows = materialise(met.join(side, "gram", "left_semi").mapInArrow(per_batch(_windows(length)), "t1 long, t2 long, at long, whole boolean, h1 long, h2 long"), "windows")
-        twice = windows.groupBy("h1", "h2").count().where("count > 1").select("h1", "h2")
-        counted = windows.where("NOT whole").join(twice, ["h1", "h2"]).select("t1", "t2", F.col("at").alias("a"), (F.col("at") + length).alias("b"))
-        met = met.join(side, "gram", "left_anti")
-    ends = met.repartition("gram").sortWithinPartitions("gram", "t1", "t2", "lo").mapInArrow(_sorted_repeats(length), FOUND)
-    spans = whole.unionByName(ends)
-    if crowds:
-        spans = spans.unionByName(counted)
-    return spans.groupBy("t1", "t2").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    shared = materialise(contexts.join(grams, "gram").select(*KIND, "n", "first", "last", "kinds", "least"), "shared")
+    few, crowded = shared.where(F.col("kinds") <= hot), shared.where(F.col("kinds") > hot)
+
+    # Windows of a context of its own meet those of all others under its gram. A context in copies of one text alone needs no proof of its own.
+    often = few.where("n > 1 AND first <> last")
+    single = few.where("least = 1 AND kinds > 1 AND (n = 1 OR first = last)").select(*KIND, F.lit(False).alias("often"), "first.*")
+    decided = _decided(_met(texts, _both(often).unionByName(single), length), length)
+    whole, spans = decided.where("often").select(*KIND).distinct(), decided.where("NOT often").select("t1", "t2", "a", "b")
+    if crowded.limit(1).count():
+        more, runs = _hot(texts, crowded, length)
+        whole, spans = whole.unionByName(more), spans.unionByName(runs)
+    spread = cut.join(whole, list(KIND)).select("t1", "t2", F.col("lo").alias("a"), (F.col("hi") + length).alias("b"))
+    return spread.unionByName(spans).unionByName(copies(docs, length)).groupBy("t1", "t2").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -47,6 +47,23 @@ def test_short_strings_and_crowded_grams(spark):
     assert got_of(dedup_strings(table(spark, rows), length=40, hot=2)) == want
 
 
+def test_nothing_goes_without_the_sort(spark, monkeypatch):
+    def blind(length):
+        def run(batches):
+            for _ in batches:
+                pass
+            return iter(())
+
+        return run
+
+    monkeypatch.setattr(suffix_dedup, "_sorted_repeats", blind)
+    rows = passages()
+    for hot in (20_000, 2):
+        got = got_of(dedup_strings(table(spark, rows), length=40, hot=hot))
+        # Copies of one text alone go, by SHA-256.
+        assert [(i, n) for i, n, removed, *_ in got if removed] == [(i, len(rows[3][1])) for i in (3, 44)] and all(r in (0, n) for _, n, r, *_ in got)
+
+
 def test_texts_beyond_one_step(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "STEP", 64)
     codes = np.frombuffer(prose(1, 200).encode(), dtype=np.uint8)
