@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from rampart.llm import warc
 from rampart.llm.media import FRAME, boxes, inspect, media_columns, op10_media_columns, padded, payload, store, with_media
-from rampart.llm.warc import Bundle, digest, index, op9_warc, parse, read, read_at, record, seek_table, write
+from rampart.llm.warc import Archive, Bundle, digest, fetch, index, op9_warc, parse, read, rebuilt, record, seek_table, write
 
 from .helpers import none, odd_docs
 
@@ -35,21 +35,32 @@ def test_pages_round_trip(spark, sf):
 
 def test_any_record_is_read_alone(spark):
     rows = [(k, f"https://h/{k}", f"<p>{k % 4}" * (k + 1), "mine") for k in range(30)]
-    frame = write(pages(spark, rows), bundle_bytes=600)
-    data = {b.bundle: bytes(b.archive) for b in frame.collect()}
-    assert len(data) > 2
-    for at in index(frame).collect():
-        headers, _, body = parse(read_at(data[at.bundle], at.frame, at.offset, at.length))
+    bundles = write(pages(spark, rows), bundle_bytes=900, frame_bytes=1500)
+    data = {b.bundle: bytes(b.archive) for b in bundles.collect()}
+    places = index(bundles).collect()
+    assert len(data) > 1 and len({(p.bundle, p.frame) for p in places}) < 30 and {p.offset for p in places} != {0}
+    for at in places:
+        headers, _, body = parse(Archive(data[at.bundle]).record(at.frame, at.offset, at.length))
         assert headers["WARC-Record-ID"] == f"<urn:page:{at.page_id}>" and (headers["WARC-Type"] == "revisit" or body.decode() == rows[at.page_id][2])
+    assert sorted(index(rebuilt(bundles)).collect()) == sorted(places)
+    got = {r.page_id: r for r in fetch(bundles, spark.createDataFrame([(3,), (29,), (29,), (77,)], "page_id long")).collect()}
+    assert set(got) == {3, 29} and all(bytes(r.payload).decode() == rows[i][2] and r.url == rows[i][1] for i, r in got.items())
+
+
+def test_a_wrong_place_is_found_out(spark):
+    bundles = write(pages(spark, [(1, "u", "a", None), (2, "u", "b", None)]), frame_bytes=10_000)
+    off = F.transform("places", lambda p: p.withField("page_id", 3 - p["page_id"]))
+    with pytest.raises(Exception, match="another record"):
+        read(bundles.withColumn("places", off)).collect()
 
 
 def test_bundle_is_plain_zstandard_too():
-    b = Bundle()
-    parts = [bytes([k]) * (k * 50) for k in range(6)]
-    for p in parts:
-        b.add(p)
+    b = Bundle(frame_bytes=120)
+    parts = [bytes([k]) * (k * 50) for k in range(1, 7)]
+    for k, p in enumerate(parts):
+        b.add(k, p)
     data = b.close()
-    assert [c for _, _, c in seek_table(data)] == [len(p) for p in parts]
+    assert [c for _, _, c in seek_table(data)] == [150, 150, 200, 250, 300] and [p[1:3] for p in b.places] == [(0, 0), (0, 50), (1, 0), (2, 0), (3, 0), (4, 0)]
     out, at = b"", 0
     for start, size, _ in seek_table(data):
         out += zstandard.ZstdDecompressor().decompress(data[start : start + size], max_output_size=1 << 20)
@@ -74,6 +85,8 @@ def test_odd_pages(spark):
     assert got == sorted(want, key=str)
     assert {r.record_type for r in read(write(pages(spark, rows), min_revisit_bytes=2)).collect()} == {"response"}
     assert read(write(pages(spark, rows).where("false"))).count() == 0
+    salted = read(write(pages(spark, rows), broadcast_digests=0)).collect()
+    assert sorted(((r.page_id or -1, r.record_type, r.refers_to, r.payload_bytes) for r in salted), key=str) == got
 
 
 def test_export(spark, tmp_path):
