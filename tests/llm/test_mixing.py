@@ -2,7 +2,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from rampart.llm.mixing import DIMS, mix, mixed, rake, shares
+from rampart.llm.mixing import DIMS, fill, mix, mixed, rake, shares
 
 from .helpers import none, odd_docs, prose, table
 
@@ -15,12 +15,27 @@ def cells():
 
 def test_margins_meet_their_targets():
     c = cells()
-    targets = ({"a": 0.1, "b": 0.2, "c": 0.3, "d": 0.4}, {"en": 0.6, "de": 0.4}, 1.0)
-    fitted = c["tokens"] * rake(c, targets, 50)
-    assert fitted.sum() == pytest.approx(c["tokens"].sum())
+    targets = ({"a": 0.2, "b": 0.25, "c": 0.3, "d": 0.25}, {"en": 0.55, "de": 0.45}, 1.0)
+    got = rake(c, targets, 0.3)
+    fitted = c["tokens"] * got["_p"]
+    assert fitted.sum() == pytest.approx(0.3 * c["tokens"].sum()) and (got["_p"] <= 1).all()
     for dim, target in zip(DIMS[:2], targets[:2], strict=True):
-        got = fitted.groupby(c[dim]).sum() / fitted.sum()
-        assert all(got[k] == pytest.approx(v, abs=1e-6) for k, v in target.items())
+        share = fitted.groupby(c[dim]).sum() / fitted.sum()
+        assert all(share[k] == pytest.approx(v, abs=1e-6) for k, v in target.items())
+    assert (got[[f"_gap{d}" for d in DIMS]] == 0).all(axis=None)
+
+
+def test_what_a_value_lacks_goes_to_the_others():
+    sums, share = np.array([10.0, 100.0, 1000.0, 0.0]), np.array([0.3, 0.3, 0.4, 0.0])
+    goal = fill(share, sums, 555.0)
+    assert goal.tolist() == pytest.approx([10, 100, 445, 0])
+    c = cells()
+    c.loc[c["_source"] == "a", "tokens"] //= 20
+    got = rake(c, ({"a": 0.4, "b": 0.2, "c": 0.2, "d": 0.2}, {"en": 0.5, "de": 0.5}, 1.0), 0.5)
+    fitted = c["tokens"] * got["_p"]
+    assert fitted.sum() == pytest.approx(0.5 * c["tokens"].sum(), rel=1e-4) and got["_p"][c["_source"] == "a"].min() > 0.999
+    by = fitted.groupby(c["_source"]).sum()
+    assert by["b"] == pytest.approx(by["c"], rel=1e-3) == by["d"] and (got["_gap_source"][c["_source"] == "a"] < -5000).all()
 
 
 def test_free_values_share_what_is_left():
@@ -41,10 +56,12 @@ def test_table_and_driver_agree(spark, targets):
 
 def test_sample_follows_the_probabilities(spark):
     docs = table(spark, [(i, "a b c d", "en", "x" if i % 4 else "y") for i in range(4000)])
-    got = mix(docs, ({"x": 0.5, "y": 0.5}, 1.0, 1.0), keep=0.6).groupBy("_source").agg({"_kept": "count", "_probability": "max"}).collect()
-    p = {r["_source"]: r["max(_probability)"] / 1e6 for r in got}
-    kept = {r["source"]: r["count"] for r in mix(docs, ({"x": 0.5, "y": 0.5}, 1.0, 1.0), keep=0.6).where("_kept").groupBy("row.source").count().collect()}
-    assert p["x"] == pytest.approx(0.4, abs=1e-3) and p["y"] == 1.0 and kept["y"] == 1000 and abs(kept["x"] - 1200) < 120
+    rows = mix(docs, ({"x": 0.5, "y": 0.5}, 1.0, 1.0), keep=0.4)
+    p = {r["_source"]: (r["max(_probability)"] / 1e6, r["max(_gap_source)"]) for r in rows.groupBy("_source").agg({"_gap_source": "max", "_probability": "max"}).collect()}
+    kept = {r["source"]: r["count"] for r in rows.where("_kept").groupBy("row.source").count().collect()}
+    assert p["y"] == (pytest.approx(0.8, abs=1e-3), 0) and p["x"] == (pytest.approx(0.8 / 3, abs=1e-3), 0) and all(abs(k - 800) < 80 for k in kept.values())
+    more = {r["_source"]: (r["max(_probability)"] / 1e6, r["max(_gap_source)"]) for r in mix(docs, ({"x": 0.5, "y": 0.5}, 1.0, 1.0), keep=0.6).groupBy("_source").agg({"_gap_source": "max", "_probability": "max"}).collect()}
+    assert more["y"] == (1.0, -1667) and more["x"] == (pytest.approx(1400 / 3000, abs=1e-3), 1667)
 
 
 def test_odd_rows(spark):
