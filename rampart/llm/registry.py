@@ -13,7 +13,7 @@ from .minhash import OP1_SQL, op1_minhash
 from .mixing import OP6_SQL, op6_mixing
 from .packing import op3_packing
 from .quality_crf import op7_quality_classifier
-from .quality_rules import op5_quality_rules
+from .quality_rules import OP5_SQL, op5_quality_rules
 from .suffix_dedup import op4_suffix_dedup
 from .warc import OP9_SQL, op9_warc
 
@@ -37,6 +37,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_minhash": OP1_SQL,
         "op2_line_dedup": OP2_SQL,
+        "op5_quality_rules": OP5_SQL,
         "op6_mixing": OP6_SQL,
         "op9_warc": OP9_SQL,
     }

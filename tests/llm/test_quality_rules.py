@@ -1,8 +1,9 @@
+import math
 import random
 import re
 from collections import Counter
 
-from rampart.llm.quality_rules import WINDOW, expectation_maximisation, features, label, log_odds, op5_quality_rules
+from rampart.llm.quality_rules import PRIOR_DOCS, PRIOR_VOTES, WINDOW, estimates, expectation_maximisation, features, label, log_odds, op5_quality_rules
 
 from .helpers import none, odd_docs, table
 
@@ -36,12 +37,27 @@ def test_repeats_that_overlap(spark):
 
 
 def test_estimation_finds_the_odd_class():
-    patterns = [((1, 1, 1), 900), ((-1, 1, 1), 80), ((0, 1, 0), 20)]
+    # Two rules that go together make a class; a vote that goes with nothing is no evidence by itself.
+    patterns = [((1, 1, 1), 900), ((-1, 1, -1), 60), ((-1, 1, 1), 10), ((1, 1, -1), 10), ((0, 1, 0), 20)]
     share, weights = expectation_maximisation(patterns, 3)
-    assert log_odds(share, weights, (1, 1, 1)) > 0 > log_odds(share, weights, (-1, 1, 1)) and 0.7 < share < 0.99
+    assert log_odds(share, weights, (1, 1, 1)) > 0 > log_odds(share, weights, (-1, 1, -1)) and 0.7 < share < 0.99
     assert all(w[-1] <= 0 <= w[1] for w in weights)
 
 
+def density(patterns, n_rules, rounds):
+    """Log posterior density of the estimates after some rounds, by their definition."""
+    share, rates = estimates(patterns, n_rules, rounds)
+    total = sum(n * math.log(sum(s * math.prod(by[c][v] for by, v in zip(rates, votes, strict=True)) for c, s in ((1, share), (0, 1 - share)))) for votes, n in patterns)
+    return total + sum(k * math.log(s) for k, s in zip(PRIOR_DOCS, (1 - share, share), strict=True)) + sum(PRIOR_VOTES[c][v] * math.log(by[c][v]) for by in rates for c in (0, 1) for v in (-1, 0, 1))
+
+
+def test_each_round_raises_the_density():
+    rng = random.Random(4)
+    patterns = [(tuple(rng.choice((-1, 0, 1, 1)) for _ in range(4)), rng.randint(1, 90)) for _ in range(30)]
+    found = [density(patterns, 4, k) for k in (0, 1, 2, 3, 5, 10, 50)]
+    assert all(a < b + 1e-9 for a, b in zip(found, found[1:], strict=False)) and found[0] < found[-1]
+
+
 def test_junk_goes_and_prose_stays(spark, sf):
     made = lambda seed, n: ["".join(random.Random(seed * 1000 + k).choices("aeioustnrl", k=5)) for k in range(n)]
     rows = [(i, " ".join(made(i, 90)) + ".") for i in range(60)] + [(100 + i, " ".join(w + "***" for w in made(500 + i, 60))) for i in range(6)]
