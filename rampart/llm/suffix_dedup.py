@@ -353,8 +353,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT_CONTEXT
     if crowded.limit(1).count():
         more, runs = _hot(texts, crowded, length)
         whole, spans = whole.unionByName(more), spans.unionByName(runs)
-    spread = cut.join(whole, list(KIND)).select("t1", "t2", F.col("lo").alias("a"), (F.col("hi") + length).alias("b"))
-    return spread.unionByName(spans).unionByName(copies(docs, length)).groupBy("t1", "t2").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    # Copies of one text go whole, so their ranges need not be found again: a large group of them would meet in one task.
+    same = materialise(copies(docs, length), "copies")
+    others = cut.join(_few(same.select("t1", "t2"), BROADCAST_TEXTS), ["t1", "t2"], "left_anti")
+    spread = others.join(_few(materialise(whole, "whole"), BROADCAST_TEXTS), list(KIND)).select("t1", "t2", F.col("lo").alias("a"), (F.col("hi") + length).alias("b"))
+    return spread.unionByName(spans).unionByName(same).groupBy("t1", "t2").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
