@@ -2,10 +2,11 @@
 
 A document's ids are cut into full windows of `window` ids and one rest, so the
 pieces follow from the document alone and one pass over the texts yields their
-lengths and checksums. Only those few numbers a piece are shuffled. Each task
-packs its pieces, longest first: a segment tree over remaining capacity finds the
-open window that the piece fits most tightly. Windows never span tasks, which
-costs at most about one part-filled window a task.
+lengths and checksums. Only those few numbers a piece are shuffled, dealt out and
+sorted by a hash. Each task packs runs of RUN_PIECES of its pieces, longest first: a
+segment tree over remaining capacity finds the open window that the piece fits most
+tightly. A task holds one run at a time, whatever the size of the corpus. Windows never
+span runs, which costs at most about one part-filled window a run.
 
 Ids come from the tokenizer file. Texts are split into its pre-tokens, whose ids
 are kept in a bounded table, as most recur; a text with characters beyond
@@ -14,7 +15,7 @@ tokenizer whole.
 
 Defined cases: a null or empty text has only the closing id; repeated rows are
 packed each; pieces are ordered by length, id, start and checksum, so ties and
-retried tasks give the same windows; an empty table gives an empty one; other
+retried tasks give the same runs and windows; an empty table gives an empty one; other
 columns are ignored.
 """
 
@@ -34,6 +35,8 @@ from pyspark.sql import functions as F
 from .common import table
 
 WINDOW = 2048
+#: Pieces that are packed together: some 100 MB of Python objects.
+RUN_PIECES = 200_000
 CLOSING_ID = 1
 #: Pre-tokens whose ids a task keeps: so many of the latest, and as many before those.
 CACHE_ENTRIES = 300_000
@@ -160,24 +163,35 @@ def best_fit(lengths: Iterable[int], window: int) -> tuple[list[int], list[int],
     return at, offsets, full
 
 
-def pack(cut: DataFrame, window: int = WINDOW) -> DataFrame:
+def pack(cut: DataFrame, window: int = WINDOW, run_pieces: int = RUN_PIECES) -> DataFrame:
     """pieces() with sequence_id, offset, sequence_tokens and padded_to."""
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        rows = pa.Table.from_batches(held)
+    def packed(rows: pa.Table, first: int) -> tuple[pa.Table, int]:
         rows = rows.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
         at, offsets, full = best_fit(rows.column("length").to_pylist(), window)
         at, full = np.array(at, dtype=np.int64), np.array(full, dtype=np.int64)
         padded = np.where(full & (full - 1) == 0, full, window)
-        first = TaskContext.get().partitionId() << 40
         out = rows.append_column("sequence_id", pa.array(at + first)).append_column("offset", pa.array(offsets, pa.int64()))
-        yield from out.append_column("sequence_tokens", pa.array(full[at])).append_column("padded_to", pa.array(padded[at])).to_batches(max_chunksize=100_000)
+        return out.append_column("sequence_tokens", pa.array(full[at])).append_column("padded_to", pa.array(padded[at])), len(full)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, held, size = TaskContext.get().partitionId() << 40, [], 0
+        for batch in (b for b in batches if b.num_rows):
+            while size + batch.num_rows >= run_pieces:
+                held.append(batch.slice(0, run_pieces - size))
+                batch = batch.slice(run_pieces - size)
+                out, n = packed(pa.Table.from_batches(held), first)
+                yield from out.to_batches(max_chunksize=100_000)
+                first, held, size = first + n, [], 0
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.num_rows
+        if held:
+            yield from packed(pa.Table.from_batches(held), first)[0].to_batches(max_chunksize=100_000)
 
     # The rests of one id may be many (repeated rows), so the id alone doesn't deal them out.
-    return cut.repartition(F.xxhash64("doc_id", "start", "ids_crc32")).mapInArrow(run, PACKED)
+    dealt = F.xxhash64("doc_id", "start", "ids_crc32")
+    return cut.repartition(dealt).sortWithinPartitions(dealt, "doc_id", "start", "ids_crc32").mapInArrow(run, PACKED)
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -78,6 +78,16 @@ def test_pieces_and_padding(spark, sf):
     assert sum(full.values()) > 0.9 * sum(padded.values())
 
 
+def test_runs(spark, sf):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").limit(60).collect()}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    cut = pieces(docs, tokenizer_path()).coalesce(1)
+    whole, runs = pack(cut).collect(), pack(cut, run_pieces=7).collect()
+    check(runs, texts)
+    assert len(gapless(runs)) > len(gapless(whole)) and len({r.sequence_id for r in runs}) == len(gapless(runs))
+    assert pack(cut, run_pieces=7).collect() == runs
+
+
 def test_odd_rows(spark):
     docs = odd_docs(spark)
     rows = pack(pieces(docs, tokenizer_path())).collect()
