@@ -8,7 +8,9 @@ counts once however often it repeats a line.
 
 A host has at most `lines a page * 100 / max_percent` boilerplate lines, so the
 set that is attached to its pages is bounded. The counts are combined on the map
-side, so a hot host or line costs one row a task. Lines are counted under their
+side, so a hot host or line costs one row a task. The sets are broadcast if a count
+allows; beyond that each goes to SALTS parts of its host's pages, so that a hot host
+is spread. A page's lines are looked up all at once. Lines are counted under their
 64-bit hash.
 
 Defined cases: a null text stays null and its page counts towards its host; a
@@ -26,8 +28,9 @@ from .common import materialise, table
 
 MAX_PERCENT = 10
 MIN_PAGES = 3
-#: Hosts' line sets are broadcast up to so many hashes (8 MB); beyond that the join shuffles.
+#: Hosts' line sets are broadcast up to so many hashes (8 MB); beyond that the join shuffles, with each host in so many parts.
 BROADCAST_HASHES = 1_000_000
+SALTS = 64
 _ENDS = " \t\r\x0b\x0c"
 
 
@@ -57,11 +60,18 @@ def dedup_lines(pages: DataFrame, host: str = "source", text: str = "text", max_
     """row (the other columns of pages, as a struct, so that no name clashes), text less its boilerplate lines, n_lines and n_dropped."""
     drop = materialise(boilerplate(pages, host, text, max_percent, min_pages), "boilerplate")
     hashes = drop.agg(F.sum(F.size("_drop"))).first()[0] or 0
-    side = F.broadcast(drop) if hashes <= BROADCAST_HASHES else drop
     others = F.struct(*(F.col(f"`{c}`") for c in pages.columns if c != text)).alias("row")
-    joined = pages.select(others, F.col(text).alias("text"), F.coalesce(F.col(host), F.lit("")).alias("_host")).join(side, "_host", "left")
+    rows = pages.select(others, F.col(text).alias("text"), F.coalesce(F.col(host), F.lit("")).alias("_host"))
+    if hashes <= BROADCAST_HASHES:
+        joined = rows.join(F.broadcast(drop), "_host", "left")
+    else:
+        parts = drop.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = rows.withColumn("_salt", (F.monotonically_increasing_id() % SALTS).cast("int")).join(parts, ["_host", "_salt"], "left")
     lines = _lines(F.col("text"))
-    kept = F.when(F.col("_drop").isNull(), lines).otherwise(F.filter(lines, lambda x: _blank(x) | ~F.array_contains(F.col("_drop"), _key(x))))
+    # Those of the page's lines that go; few, so the filter's search is short.
+    met = F.array_intersect(F.transform(lines, _key), F.col("_drop"))
+    joined = joined.withColumn("_met", F.when(F.col("_drop").isNotNull(), met))
+    kept = F.when(F.coalesce(F.size("_met"), F.lit(0)) <= 0, lines).otherwise(F.filter(lines, lambda x: _blank(x) | ~F.array_contains(F.col("_met"), _key(x))))
     split = joined.select("row", "text", F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"), kept.alias("_kept"))
     split = split.withColumn("n_dropped", F.when(F.col("text").isNull(), 0).otherwise(F.col("n_lines") - F.size("_kept")).cast("long"))
     return split.select("row", F.when(F.col("n_dropped") == 0, F.col("text")).otherwise(F.array_join("_kept", "\n")).alias("text"), "n_lines", "n_dropped")
