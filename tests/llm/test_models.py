@@ -1,6 +1,8 @@
 """Language ID and the quality classifier."""
 
 import math
+import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -21,7 +23,7 @@ def test_language_accuracy_on_held_out_rows(spark, sf):
 
 def test_a_text_scores_alike_in_any_batch(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    model = fit(docs)
+    (model,) = fit(docs).blocks()
     texts = [r.text for r in docs.limit(20).collect()] + ["", "\0a\0", "x"]
     together, alone = model.predict(texts), [model.predict([t]) for t in texts]
     assert together[0] == [a[0][0] for a in alone] and together[1] == pytest.approx([a[1][0] for a in alone])
@@ -43,17 +45,60 @@ def test_language_without_rows(spark):
     assert kept.columns == odd_docs(spark).columns
 
 
-def test_a_bounded_sample_is_enough(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    counts = np.exp(fit(docs, max_train_docs=40).prior)
-    assert len(counts) <= 4
-    with pytest.raises(ValueError):
-        fit(docs, max_languages=1)
+def bucket(chars):
+    """The bucket of an n-gram, one step a character."""
+    mixed = 0
+    for order, c in enumerate(chars, 1):
+        mixed = (mixed + ord(c) + order) * int(language_id._MULT[order - 1]) % 2**64
+        mixed ^= mixed >> 29
+    return mixed * 0x9E3779B97F4A7C15 % 2**64 >> 49
+
+
+def grams(text):
+    low = text.lower()
+    return [bucket(low[i : i + n]) for n in language_id.ORDERS for i in range(len(low) - n + 1)]
+
+
+def test_against_plain_naive_bayes(spark, sf):
+    rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    learned = [(t, x) for i, t, x in rows if zlib.crc32(str(i).encode()) % 5 and t is not None and x is not None]
+    counts, docs = {}, Counter(x for _, x in learned)
+    for t, x in learned:
+        counts.setdefault(x, Counter()).update(grams(t))
+    total = {x: sum(c.values()) + language_id.SMOOTHING * language_id.BUCKETS for x, c in counts.items()}
+    got = {r.doc_id: r for r in op8_language_id(spark, sf).collect()}
+    for i, t, _ in rows:
+        if not any(map(str.isalpha, t or "")):
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        n = Counter(grams(t))
+        w = {x: math.log((docs[x] + 1) / (len(learned) + len(docs))) + sum(k * math.log((counts[x][b] + language_id.SMOOTHING) / total[x]) for b, k in n.items()) for x in sorted(docs)}
+        best = max(w, key=w.get)
+        assert got[i].lang_pred == best and got[i].score == pytest.approx(1 / sum(math.exp(v - w[best]) for v in w.values()), rel=1e-2)
+        assert got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0)
+
+
+def test_blocks_of_languages_give_what_one_gives(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    one, many = ({r.doc_id: (r.lang_pred, round(r.score, 6)) for r in predict(docs, fit(docs, block=k)).collect()} for k in (64, 1))
+    assert one == many and len({x for x, _ in one.values()}) > 1
+    wide = table(spark, [(i, f"word{i} {i}", f"l{i:03d}") for i in range(300)])
+    got = predict(wide, fit(wide)).collect()
+    assert len(got) == 300 and {r.lang_pred for r in got} <= {f"l{i:03d}" for i in range(300)}
+
+
+def test_a_bounded_sample_keeps_rare_languages(spark):
+    docs = table(spark, [(i, "common words here", "en") for i in range(3000)] + [(5000 + i, "xyzzy quux", "xx") for i in range(6)])
+    model = fit(docs, max_train_docs=50, language_docs=20)
+    (block,) = model.blocks()
+    assert block.languages == ["en", "xx"] and model.total > 2000
+    assert model.sums.where(f"lang = 'en' AND bucket < {language_id.BUCKETS}").agg({"n": "max"}).first()[0] < 500
+    assert [r.lang_pred for r in predict(table(spark, [(1, "xyzzy")]), model).collect()] == ["xx"]
 
 
 def test_held_out_rows_are_not_learned_from(spark):
     docs = table(spark, [(i, "aaa bbb" if i % 2 else "xyz", f"l{i}") for i in range(40)])
-    learned = set(fit(docs, max_languages=100).languages)
+    learned = {x for b in fit(docs, block=7).blocks() for x in b.languages}
     assert learned == {f"l{r.doc_id}" for r in docs.where(~held_out()).collect()}
 
 
