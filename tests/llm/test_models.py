@@ -113,16 +113,45 @@ def paths(emit, move):
     return good / total, math.log(total)
 
 
-def test_marginals_are_those_of_all_paths():
+@pytest.mark.parametrize("segment", [1024, 1, 2, 3])
+def test_marginals_are_those_of_all_paths(monkeypatch, segment):
+    monkeypatch.setattr(quality_crf, "SEGMENT", segment)
     rng = np.random.default_rng(2)
     move, first = rng.normal(size=(2, 2)), np.array([0, 5, 6, 9])
     emit = rng.normal(size=13) * 2
     good, moves, log = forward_backward(emit, move, first)
     parts = [paths(emit[a:b], move) for a, b in zip(first, [5, 6, 9, 13], strict=True)]
-    assert good == pytest.approx(np.concatenate([p for p, _ in parts])) and log == pytest.approx(sum(x for _, x in parts))
+    assert good == pytest.approx(np.concatenate([p for p, _ in parts])) and log == pytest.approx([x for _, x in parts])
     assert moves.sum(axis=(1, 2)) == pytest.approx([4, 0, 2, 3])
 
 
+def test_gradient_is_that_of_differences():
+    rng = np.random.default_rng(5)
+    x, first, labels, theta = rng.normal(size=(12, 3)), np.array([0, 4, 5, 11]), np.array([1, 0, 0, 1]), rng.normal(size=8)
+    _, grad = quality_crf.objective(theta, x, first, labels)
+    for k in range(8):
+        up, down = theta.copy(), theta.copy()
+        up[k] += 1e-5
+        down[k] -= 1e-5
+        assert grad[k] == pytest.approx((quality_crf.objective(up, x, first, labels)[0] - quality_crf.objective(down, x, first, labels)[0]) / 2e-5, abs=1e-6)
+
+
+def test_document_score_is_the_weighted_mean_of_line_marginals():
+    field = train(line_features(["good words here\nmore of them", "### $$$\n***"])[0].astype(float), np.array([0, 2]), np.array([1, 0]))
+    text = "some words\n\n### $$\nand the last line"
+    features, chars, _ = line_features([text])
+    good, _ = paths(field.emit(features), field.move)
+    sizes = np.array([len(x) + 1 for x in text.split("\n")])
+    assert chars.tolist() == [len(x) for x in text.split("\n")]
+    assert field.score([text, "x"])[0] == pytest.approx((good * sizes).sum() / sizes.sum())
+
+
+def test_lines_of_the_sample_are_bounded(spark):
+    docs = table(spark, [(i, "word words\n" * (400 if i == 3 else 9)) for i in range(40)])
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    assert quality_crf.fit(docs, labels, max_train_lines=100) is not None and quality_crf.fit(docs, labels, max_train_lines=5) is None
+
+
 def test_features_do_not_cross_texts():
     both, _, first = line_features(["a b\n### x\na b", "q\n"])
     alone, _, _ = line_features(["q\n"])
