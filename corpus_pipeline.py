@@ -10,6 +10,13 @@ All but the last return the columns of documents.
    words), the one with the smallest id stays.
 4. mix: documents are sampled towards the target weights of source, language, topic.
 5. pack: token pieces with their places in sequences of 2048.
+
+Defined cases: rows whose text is null, empty or blank go in the first stage, as do all
+rows if none has a language to learn from; a null source is a source of its own for
+lines and mixing; a null id is never a near-duplicate; repeated rows are near-duplicates
+that all have the smallest id and stay together; very long texts are worked on whole;
+an empty table passes every stage as an empty one; other columns pass unchanged through
+all stages but the last, whatever their names.
 """
 
 from __future__ import annotations
