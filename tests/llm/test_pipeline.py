@@ -3,7 +3,7 @@ from rampart.llm import line_dedup, mixing
 from rampart.llm.language_id import has_letter
 from rampart.llm.packing import Ids, tokenizer_path
 
-from .helpers import odd_docs
+from .helpers import none, odd_docs
 from .test_minhash import plain_components
 
 
@@ -40,3 +40,10 @@ def test_stages_bear_odd_rows(spark, sf):
         out.collect()
     assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() >= 12
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "lines", "near_duplicates", "mix", "pack"]
+
+
+def test_stages_bear_an_empty_table(spark, sf):
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, none(spark), sf)
+        assert out.columns == none(spark).columns and out.count() == 0, name
+    assert corpus_pipeline.STAGES[-1][1](spark, none(spark), sf).count() == 0
