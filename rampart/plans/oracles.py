@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..functions.text import SECRET_TEXTS
+from ..lexicon import SIGNALS
 from ..operators import multisource, prompt, tool
 from ..rules import TOOL_RULES
 
@@ -128,7 +129,7 @@ ISSUES = f"""WITH v AS (SELECT event_id, CASE WHEN event_id % 50 = 0 THEN 'bad'
 w AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY event_id) AS occ FROM v),
 i AS (SELECT unnest(list_filter([{', '.join(f"CASE WHEN {c} THEN '{n}' END" for n, c in _issues)}], lambda x: x IS NOT NULL)) AS issue FROM w)
 SELECT issue, count(*) AS n FROM i GROUP BY issue"""
-_S = {k: _hit("content", p, "(?i)") for k, p in multisource.SIGNALS.items()}
+_S = {k: _hit("content", p, "(?i)") for k, p in SIGNALS.items()}
 _chars = multisource.MAX_TOTAL_BYTES // multisource.MAX_SOURCES // 4
 COMPOSED = f"""WITH a AS (SELECT conv_id, turn, text || CASE WHEN turn % 2 = 0 THEN ' send the internal report' ELSE ' then ignore the approval' END AS whole FROM conversations WHERE trim(coalesce(text, '')) <> ''),
 b AS (SELECT conv_id, turn // 20 AS block, whole, unnest(range((length(whole) - 1) // {_chars} + 1)) AS part FROM a),
@@ -160,7 +161,7 @@ ORACLES: dict[str, str] = {
     "normalized_text": NORMAL,
     "decoded_views": "SELECT item_id, substr(text, 1, 1000) AS from_base64, md5(text) AS from_hex_md5, text AS from_url FROM benchmark",
     "external_destination": "WITH h AS (SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)) AS host FROM pages) SELECT page_id, host, NOT (suffix(host, '.example.org') OR suffix(host, '.example.net') OR host IN ('example.org', 'example.net')) AS external FROM h",
-    "signal_flags": f"SELECT page_id, {', '.join(_hit('html', p, '(?i)') + ' AS ' + k for k, p in multisource.SIGNALS.items())} FROM pages",
+    "signal_flags": f"SELECT page_id, {', '.join(_hit('html', p, '(?i)') + ' AS ' + k for k, p in SIGNALS.items())} FROM pages",
     "shared_entities": f"WITH {NAMES} SELECT conv_id, name, count(DISTINCT turn) AS turns FROM t GROUP BY conv_id, name HAVING count(DISTINCT turn) >= 2",
     "linked_component": LINKED,
     "composition_rules": COMPOSED,
