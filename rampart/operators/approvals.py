@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .policy import Policy, policy_verdicts
+
 DECIDERS = ("manager", "security_admin")
 TTL_MINUTES = 30
 
@@ -44,3 +46,11 @@ def approval_states(events: DataFrame, now: str | None = None, ttl_minutes: int
         late = F.col("status").isin("pending", "approved") & (F.lit(now).cast("timestamp") >= F.col("expires_at"))
         done = done.withColumn("status", F.when(late, "expired").otherwise(F.col("status")))
     return done.drop("expires_at", "request_hash")
+
+
+def rechecked(approved: DataFrame, policy: Policy | None = None, registered: tuple[str, ...] | None = None) -> DataFrame:
+    """approved requests (the columns that policy_verdicts() reads) with policy_findings, policy_decision and `refusal`: why one may not be run now, null if it may."""
+    p = policy or Policy()
+    known = F.col("tool_name").isin(*(registered if registered is not None else p.tool_risk))
+    df = policy_verdicts(approved, p)
+    return df.withColumn("refusal", F.when(~F.coalesce(known, F.lit(False)), "tool is no longer registered").when(F.col("policy_decision") == "block", "policy now blocks the request"))

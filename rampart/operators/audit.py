@@ -1,40 +1,81 @@
-"""Hash-chained audit entries: building a chain and finding its first break."""
+"""Hash-chained audit entries: building a chain, going on with one, and finding its first break."""
 
 from __future__ import annotations
 
+import hashlib
+import json
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import canonical, masked
+
 START = "0" * 64
 
 
+def _quoted(text: Column) -> Column:
+    """Text as a JSON string."""
+    listed = F.to_json(F.array(text))
+    return F.substr(listed, F.lit(2), F.length(listed) - 2)
+
+
 def entry_hash(previous: Column, sequence: Column, timestamp: Column, record: Column) -> Column:
-    return F.sha2(F.concat_ws("|", previous, sequence.cast("string"), timestamp, record), 256)
+    """SHA-256 of the hash before and the canonical JSON of the entry. record: canonical JSON text."""
+    payload = F.concat(F.lit('{"record":'), record, F.lit(',"sequence":'), sequence.cast("string"), F.lit(',"timestamp":'), _quoted(timestamp), F.lit("}"))
+    return F.sha2(F.concat(previous, payload), 256)
+
+
+def _linked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (chain, start sequence, start hash, timestamp, record) in order, one hash carried at a time."""
+    at = None
+    for batch in batches:
+        out: tuple[list, ...] = ([], [], [], [], [])
+        for chain, first, start, stamp, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if at is None or at[0] != (chain,):
+                at = ((chain,), first, start)
+            record = json.loads(text)
+            if not isinstance(record, dict):
+                raise ValueError("an audit record must be an object")
+            record, sequence, previous = masked(record), at[1] + 1, at[2]
+            payload = canonical({"record": record, "sequence": sequence, "timestamp": stamp})
+            at = (at[0], sequence, hashlib.sha256((previous + payload).encode()).hexdigest())
+            for held, value in zip(out, (sequence, stamp, canonical(record), previous, at[2]), strict=True):
+                held.append(value)
+        kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.string())
+        names = ["sequence", "timestamp", "record", "previous_hash", "entry_hash"]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], names=[batch.schema.names[0], *names])
+
 
+def heads(entries: DataFrame, chain: str) -> DataFrame:
+    """chain, and the sequence and hash of its last entry."""
+    last = F.max_by(F.struct("sequence", "entry_hash"), "sequence")
+    return entries.groupBy(chain).agg(last.alias("_l")).select(chain, F.col("_l.sequence").alias("last_sequence"), F.col("_l.entry_hash").alias("last_hash"))
 
-def build_chain(rows: DataFrame, chain: str, order: tuple[str, ...], timestamp: str, record: str) -> DataFrame:
-    """chain, sequence, timestamp, record, previous_hash and entry_hash. A chain is written in order by one task, so
-    split long ones by day or partition. Order ties are broken by the order columns given."""
-    item = F.struct(*order, F.col(timestamp).cast("string").alias("_at"), F.col(record).alias("_record"))
-    held = rows.groupBy(chain).agg(F.array_sort(F.collect_list(item)).alias("_rows"))
-    # Only the last hash is carried; each step appends its own.
-    zero = F.array(F.struct(F.lit(-1).cast("long").alias("sequence"), F.lit("").alias("timestamp"), F.lit("").alias("record"), F.lit("").alias("previous_hash"), F.lit(START).alias("entry_hash")))
 
-    def step(done: Column, row: Column) -> Column:
-        last = F.element_at(done, -1)
-        at = last["sequence"] + 1
-        entry = F.struct(at.alias("sequence"), row["_at"].alias("timestamp"), row["_record"].alias("record"), last["entry_hash"].alias("previous_hash"), entry_hash(last["entry_hash"], at, row["_at"], row["_record"]).alias("entry_hash"))
-        return F.concat(done, F.array(entry))
+def build_chain(rows: DataFrame, chain: str, order: tuple[str, ...], timestamp: str, record: str, after: DataFrame | None = None) -> DataFrame:
+    """chain, sequence (from 1), timestamp, record (canonical, secrets masked), previous_hash and entry_hash.
 
-    made = held.select(chain, F.aggregate("_rows", zero, step).alias("_chain"))
-    return made.select(chain, F.explode(F.slice("_chain", 2, 2147483647)).alias("_e")).select(chain, "_e.*")
+    record: JSON text of an object. after: heads() of chains that go on. A chain is linked in order by one task, which holds
+    one hash of it; chains by day or partition are linked side by side. Order ties are broken by the order columns given.
+    """
+    if after is not None:
+        rows = rows.join(after.select(F.col(chain).alias("_chain"), "last_sequence", "last_hash"), F.col(chain).eqNullSafe(F.col("_chain")), "left").drop("_chain")
+    else:
+        rows = rows.withColumns({"last_sequence": F.lit(0).cast("long"), "last_hash": F.lit(START)})
+    start = (F.coalesce("last_sequence", F.lit(0)).cast("long").alias("_first"), F.coalesce("last_hash", F.lit(START)).alias("_start"))
+    sorted_ = rows.repartition(chain).sortWithinPartitions(chain, *order)
+    kind = rows.schema[chain].dataType.simpleString()
+    held = sorted_.select(chain, *start, F.col(timestamp).cast("string").alias("_at"), F.col(record).alias("_record"))
+    return held.mapInArrow(_linked, f"`{chain}` {kind}, sequence long, timestamp string, record string, previous_hash string, entry_hash string")
 
 
 def verify_chain(entries: DataFrame, chain: str) -> DataFrame:
     """chain, entries, valid and first_break (the least sequence that is out of place, doesn't follow or doesn't hash)."""
     w = Window.partitionBy(chain).orderBy("sequence")
     before = F.lag("entry_hash", 1, START).over(w)
-    bad = (F.col("sequence") != F.row_number().over(w) - 1) | (F.col("previous_hash") != before) | (F.col("entry_hash") != entry_hash(F.col("previous_hash"), F.col("sequence"), F.col("timestamp"), F.col("record")))
+    bad = (F.col("sequence") != F.row_number().over(w)) | (F.col("previous_hash") != before) | (F.col("entry_hash") != entry_hash(F.col("previous_hash"), F.col("sequence"), F.col("timestamp"), F.col("record")))
     checked = entries.withColumn("_bad", F.coalesce(bad, F.lit(True)))
     return checked.groupBy(chain).agg(F.count("*").alias("entries"), F.min(F.when(F.col("_bad"), F.col("sequence"))).alias("first_break")).withColumn("valid", F.col("first_break").isNull())
 

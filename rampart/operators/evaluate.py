@@ -34,15 +34,47 @@ def metrics(rows: DataFrame, by: str | None = None) -> DataFrame:
     return with_rates(both.withColumn(by, F.when(F.col("_all") == 1, "overall").otherwise(F.col(by).cast("string"))).drop("_all"))
 
 
+#: Rows among which a percentile is looked up by sorting.
+SORTED_ROWS = 1_000_000
+
+
+def nearest_rank(rows: DataFrame, column: str, percent: int, most: int = SORTED_ROWS) -> float | None:
+    """The value at rank ceil(percent / 100 * n) of the rows in order; null without rows.
+
+    The range in which it must lie is narrowed by approximate percentiles and counted, until at most `most` rows are left
+    to sort, so no task holds all values.
+    """
+    held = rows.select(F.col(column).alias("v")).where("v IS NOT NULL")
+    n = held.count()
+    if not n:
+        return None
+    rank, low, high, below, inside = -(-n * percent // 100), None, None, 0, n
+    while inside > most:
+        share = (rank - below) / inside
+        q = held.agg(F.percentile_approx("v", [max(0.0, share - 0.01), min(1.0, share + 0.01)], 10_000)).first()[0]
+        a, b = q[0], q[-1]
+        got = held.agg(F.count_if(F.col("v") < a), F.count_if(F.col("v").between(a, b))).first()
+        if not got[0] + below < rank <= got[0] + got[1] + below or got[1] == inside:
+            break
+        low, high, below, inside = a, b, below + got[0], got[1]
+        held = held.where(F.col("v").between(a, b))
+        if low == high:
+            return low
+    return held.orderBy("v").offset(rank - below - 1).limit(1).first()[0]
+
+
 def latency(rows: DataFrame, column: str) -> DataFrame:
     """Mean and nearest-rank 95th percentile."""
-    return rows.agg(F.avg(column).alias("avg"), F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {column})").alias("p95"))
+    p95 = nearest_rank(rows, column, 95)
+    return rows.agg(F.avg(column).alias("avg"), F.lit(p95).cast(rows.schema[column].dataType).alias("p95"))
 
 
-def robustness(rows: DataFrame, family: str = "parent_id", variant: str = "variant") -> DataFrame:
-    """Mean over families of each variant's detection rate."""
-    per = rows.groupBy(family, variant).agg(F.avg(F.col("predicted").cast("double")).alias("_rate"))
-    return per.groupBy(variant).agg(F.avg("_rate").alias("mean_rate"), F.count("*").alias("families"))
+def robustness(rows: DataFrame, family: str = "parent_id", variant: str = "variant", expected: str = "expected") -> DataFrame:
+    """Detection of attacks: the rate of each variant and, as variant `family_mean`, the mean of the families' rates. n: attacks, or families."""
+    attacks = rows.where(expected).withColumn("_hit", F.col("predicted").cast("double"))
+    by = attacks.groupBy(variant).agg(F.avg("_hit").alias("rate"), F.count("*").alias("n"))
+    families = attacks.groupBy(family).agg(F.avg("_hit").alias("_rate")).agg(F.avg("_rate").alias("rate"), F.count("*").alias("n"))
+    return by.unionByName(families.select(F.lit("family_mean").alias(variant), "rate", "n"))
 
 
 def accuracy_by(rows: DataFrame, by: str) -> DataFrame:
@@ -58,3 +90,42 @@ def gates(summary: DataFrame, limits: dict[str, float]) -> DataFrame:
     """A boolean for each figure with a lower limit, and whether all hold."""
     df = summary.select(*(F.coalesce(F.col(k) >= v, F.lit(False)).alias(f"{k}_ok") for k, v in limits.items()))
     return df.withColumn("passed", F.least(*(F.col(f"{k}_ok") for k in limits)) if len(limits) > 1 else F.col(f"{next(iter(limits))}_ok"))
+
+
+#: The gates of a release, by figure: its limit, and whether the figure must reach it or stay under it.
+RELEASE_GATES = {
+    "overall_f1": (0.85, "least"), "holdout_f1": (0.75, "least"), "base64_rate": (0.70, "least"), "tool_action_accuracy": (0.95, "least"), "skill_accuracy": (0.95, "least"),
+    "multisource_f1": (0.90, "least"), "multisource_fp": (1, "most"), "package_action_accuracy": (0.90, "least"), "quality_issues": (0, "most"), "suite_failed": (0, "most"), "short_circuit_failed": (0, "most"), "control_states_failed": (0, "most"),
+}
+
+
+def release_gates(figures: DataFrame) -> DataFrame:
+    """figures (one row with a column for each of RELEASE_GATES) as a boolean each, and whether all hold. A null figure fails."""
+    met = {k: F.coalesce(F.col(k) >= v if kind == "least" else F.col(k) <= v, F.lit(False)) for k, (v, kind) in RELEASE_GATES.items()}
+    return figures.select(*(c.alias(f"{k}_ok") for k, c in met.items())).withColumn("passed", F.least(*(F.col(f"{k}_ok") for k in met)))
+
+
+def case_checks(cases: DataFrame, actual: DataFrame, key: str = "case_id") -> DataFrame:
+    """cases (key, expected) met by actual (key, actual), both maps: failed keys, and whether the case passed. A case without a result fails."""
+    rows = cases.join(actual, key, "left").withColumn("actual", F.coalesce("actual", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))))
+    return expected_checks(rows).withColumn("passed", F.size("failed") == 0)
+
+
+def suite_summary(checked: DataFrame) -> DataFrame:
+    """case_count, passed_count, failed_count and passed of rows with `passed`."""
+    return checked.agg(F.count("*").alias("case_count"), F.count_if("passed").alias("passed_count"), F.count_if(~F.col("passed")).alias("failed_count")).withColumn("passed", F.col("failed_count") == 0)
+
+
+def library_summary(rows: DataFrame) -> DataFrame:
+    """measure, value and n of results (expected_level, risk_level, expected_action, decision, outcome): totals, correct levels and actions, outcomes by name. Accuracies are n over the total."""
+    level, action = F.col("expected_level").eqNullSafe(F.col("risk_level")), F.col("expected_action").eqNullSafe(F.col("decision"))
+    totals = rows.agg(F.count("*").alias("total"), F.count_if(level).alias("level_correct"), F.count_if(action).alias("action_correct"), F.count_if(~(level & action)).alias("failed"))
+    long = totals.select(F.explode(F.array(*(F.struct(F.lit(k).alias("measure"), F.lit("").alias("value"), F.col(k).alias("n")) for k in ("total", "level_correct", "action_correct", "failed")))).alias("x")).select("x.*")
+    names = rows.groupBy(F.coalesce("outcome", F.lit("N/A")).alias("value")).agg(F.count("*").alias("n")).select(F.lit("outcome").alias("measure"), "value", "n")
+    return long.unionByName(names)
+
+
+def library_failures(rows: DataFrame, key: str = "case_id") -> DataFrame:
+    """Results whose level or action isn't the expected one."""
+    wrong = ~(F.col("expected_level").eqNullSafe(F.col("risk_level")) & F.col("expected_action").eqNullSafe(F.col("decision")))
+    return rows.where(wrong).select(key, "expected_level", "risk_level", "expected_action", "decision")

@@ -33,7 +33,8 @@ def runtime_status(df: DataFrame, registered: tuple[str, ...]) -> DataFrame:
     """gated() rows with policy_decision, chain_decision, tool_name and execute, with final_decision, status and execution_status.
 
     A failed input gate comes first, then a failed skill gate, then a request without a tool; only then do policy, session
-    and registry count. A tool that isn't registered is blocked. Tools themselves aren't run.
+    and registry count. A tool that isn't registered is blocked. Tools themselves aren't run: where a runner has left
+    `execution_ok`, an authorized request was executed or its execution failed.
     """
     tool = F.col("tool_name").isNotNull()
     registry = F.when(F.col("tool_name").isin(*registered), "allow").otherwise("block")
@@ -42,23 +43,35 @@ def runtime_status(df: DataFrame, registered: tuple[str, ...]) -> DataFrame:
     early = input_failed | skill_failed | ~tool
     final = F.when(early, F.col("detection_decision")).otherwise(merged)
     df = df.withColumn("final_decision", final)
-    d = F.col("final_decision")
+    d, ran = F.col("final_decision"), F.col("execution_ok") if "execution_ok" in df.columns else F.lit(None).cast("boolean")
     status = (
         F.when(input_failed, F.when(d == "review", "input_review_required").otherwise("input_blocked"))
         .when(skill_failed, F.when(d == "review", "skill_review_required").otherwise("skill_blocked"))
         .when(~tool, "evaluated").when(d == "block", "blocked").when(d == "review", "pending_approval")
-        .when(F.coalesce(F.col("execute"), F.lit(False)), "authorized").otherwise("authorized_not_executed")
+        .when(F.coalesce(F.col("execute"), F.lit(False)), F.when(ran, "executed").when(~ran, "execution_failed").otherwise("authorized")).otherwise("authorized_not_executed")
     )
-    run = F.when(input_failed, "skipped_by_input_gate").when(skill_failed, "skipped_by_skill_gate").when(~tool, "not_requested").when(d == "block", "skipped_by_final_decision").when(d == "review", "pending_approval").when(F.coalesce(F.col("execute"), F.lit(False)), "pending_final_decision").otherwise("dry_run")
+    run = F.when(input_failed, "skipped_by_input_gate").when(skill_failed, "skipped_by_skill_gate").when(~tool, "not_requested").when(d == "block", "skipped_by_final_decision").when(d == "review", "pending_approval").when(F.coalesce(F.col("execute"), F.lit(False)), F.when(ran, "completed").when(~ran, "failed").otherwise("pending_final_decision")).otherwise("dry_run")
     return df.withColumn("status", status).withColumn("execution_status", run).withColumn("risk_level", level_of(d))
 
 
-def unified(df: DataFrame, module: str, event_id: str = "event_id") -> DataFrame:
-    """The nine fields of a verdict from an operator's columns (score in hundredths, decision, matches or matched_rules)."""
+def unified(df: DataFrame, module: str, event_id: str = "event_id", structured: bool = False) -> DataFrame:
+    """The nine fields of a verdict from an operator's columns (score in hundredths, decision, matches or matched_rules).
+
+    A blank decision falls back to `actual_action` where that column is there. structured: evidence as structs of rule, category and texts, as tool verdicts have it.
+    """
     rules = F.col("matched_rules") if "matched_rules" in df.columns else F.transform("matches", lambda m: m["rule_id"])
-    evidence = F.flatten(F.transform("matches", lambda m: m["evidence"])) if "matches" in df.columns else F.array().cast("array<string>")
+    if "matches" not in df.columns:
+        evidence = F.array().cast("array<string>")
+    elif structured:
+        evidence = F.transform("matches", lambda m: F.struct(m["rule_id"].alias("rule_id"), m["category"].alias("category"), m["evidence"].alias("evidence")))
+    else:
+        evidence = F.flatten(F.transform("matches", lambda m: m["evidence"]))
+    decision = F.col("decision")
+    if "actual_action" in df.columns:
+        decision = F.coalesce(F.when(F.trim(decision) != "", decision), F.col("actual_action"))
     at = F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss")
-    return df.select(F.col(event_id).cast("string").alias("event_id"), F.lit(module).alias("module"), (F.col("score") / 100).alias("risk_score"), level_of(F.col("decision")).alias("risk_level"), "decision", F.when(F.size(rules) == 0, "no rule matched").otherwise(F.array_join(F.slice(rules, 1, 4), "; ")).alias("reason"), rules.alias("matched_rules"), evidence.alias("evidence"), at.alias("timestamp"))
+    said = F.when(F.size(rules) == 0, "no rule matched").otherwise(F.array_join(F.slice(rules, 1, 4), "; "))
+    return df.select(F.col(event_id).cast("string").alias("event_id"), F.lit(module).alias("module"), (F.col("score") / 100).alias("risk_score"), level_of(decision).alias("risk_level"), decision.alias("decision"), said.alias("reason"), rules.alias("matched_rules"), evidence.alias("evidence"), at.alias("timestamp"))
 
 
 def validated(verdicts: DataFrame) -> DataFrame:

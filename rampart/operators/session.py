@@ -11,8 +11,8 @@ from ..schemas import CLASSES, rank
 # What a task chain takes for outbound, high-impact and reading; words of credentials and sensitive data.
 OUTBOUND, LONG_CHAIN, READS = ("export", "create", "update"), ("export", "delete", "execute"), ("read", "search")
 LONG_AFTER, KEPT = 7, 50
-CREDENTIAL = r"(?iu)password|credential|token|api[_ -]?key|cookie|private[_ -]?key|密码|口令|密钥|令牌"
-SENSITIVE = r"(?iu)confidential|internal|secret|sensitive|内部|机密|保密|敏感"
+CREDENTIAL = r"(?iu)(api\s*key|token|cookie|密码|密钥|私钥|credential|secret)"
+SENSITIVE = r"(?iu)(内部|敏感|机密|客户|员工|审批|身份证|手机号|数据库)"
 
 
 def _class(value: Column) -> Column:
@@ -60,7 +60,7 @@ def last_events(events: DataFrame, keep: int = KEPT, order: tuple[str, ...] = ("
 def daily_ids(events: DataFrame, kind: str = "EVT", at: str = "ts", order: tuple[str, ...] = ("ts", "event_id"), most: int | None = 999) -> DataFrame:
     """events with id `EVT-YYYYMMDD-NNN`, counted by day. most: beyond it the day raises (None: no limit).
 
-    A day is numbered without gathering it: rows are counted by (day, hour) first and numbered within the hour.
+    A day is numbered without gathering it: rows are counted by (day, minute) first and numbered within the minute.
     """
     day, part = F.date_format(at, "yyyyMMdd"), F.date_format(at, "HHmm")
     df = events.withColumn("_day", day).withColumn("_part", part)
@@ -74,6 +74,16 @@ def daily_ids(events: DataFrame, kind: str = "EVT", at: str = "ts", order: tuple
 
 
 def duplicates(rows: DataFrame, key: str, order: tuple[str, ...]) -> DataFrame:
-    """The second and later rows of each key."""
+    """The second and later rows of each key. Null keys repeat nothing. Only rows of keys that occur twice are moved to be numbered."""
+    twice = rows.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key)
     w = Window.partitionBy(key).orderBy(*order)
-    return rows.withColumn("occurrence", F.row_number().over(w)).where("occurrence > 1")
+    return rows.join(twice, key, "left_semi").withColumn("occurrence", F.row_number().over(w)).where("occurrence > 1")
+
+
+def session_ids(rows: DataFrame, name: str = "session_id") -> DataFrame:
+    """rows with a random id of a session, `SES-` and 16 hexadecimal digits."""
+    return rows.withColumn(name, F.concat(F.lit("SES-"), F.upper(F.substring(F.replace(F.uuid(), F.lit("-"), F.lit("")), 1, 16))))
+
+
+def valid_session_id(value: Column) -> Column:
+    return F.coalesce(value.rlike("^SES-[A-Z0-9-]{8,64}$"), F.lit(False))

@@ -66,10 +66,3 @@ def text_verdicts(rows: DataFrame, text: str, rules: Sequence[Rule] = TOOL_RULES
 def tool_verdicts(calls: DataFrame, rules: Sequence[Rule] = TOOL_RULES, full: bool = True) -> DataFrame:
     """Verdicts of calls (tool_name, operation, target, arguments as JSON text)."""
     return text_verdicts(calls.withColumn("_call", invocation(F.col("tool_name"), F.col("operation"), F.col("target"), F.col("arguments"))), "_call", rules, full).drop("_call")
-
-
-def category_verdict(df: DataFrame, weights: dict[str, int], share: int = 12) -> DataFrame:
-    """score and decision from boolean columns named by category, and their weights in hundredths."""
-    c = F.array_compact(F.array(*(F.when(F.col(k), F.struct(F.lit(k).alias("category"), F.lit(w).alias("weight"))) for k, w in weights.items())))
-    scored = df.withColumn("_maxima", c).withColumn("score", points(F.col("_maxima"), share, tool_bonus(active(F.col("_maxima")), F.lit(False))))
-    return scored.withColumn("decision", score_decision(F.col("score"))).drop("_maxima")

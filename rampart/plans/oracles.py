@@ -70,10 +70,12 @@ PREDICTED = f"""p AS (SELECT doc_id, toxic = 1 AS expected, (doc_id % 10 = 0) OR
 COUNTS = "count(*) FILTER (WHERE expected AND predicted) AS tp, count(*) FILTER (WHERE NOT expected AND NOT predicted) AS tn, count(*) FILTER (WHERE NOT expected AND predicted) AS fp, count(*) FILTER (WHERE expected AND NOT predicted) AS fn"
 RATES = "round(coalesce((tp + tn) / nullif(tp + tn + fp + fn, 0), 0), 4) AS accuracy, round(coalesce(tp / nullif(tp + fp, 0), 0), 4) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 4) AS recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 4) AS f1"
 
-CHAIN = """x AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS seq, event_type || ':' || props AS record FROM events),
+_payload = """'{"record":' || record || ',"sequence":' || seq || ',"timestamp":"' || event_id || '"}'"""
+CHAIN = f"""x AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq, to_json({{'event_type': event_type, 'props': props}})::VARCHAR AS record FROM events),
+p AS (SELECT user_id, event_id, seq, {_payload} AS payload FROM x),
 h AS (
-  SELECT user_id, event_id, seq, repeat('0', 64) AS previous_hash, sha256(repeat('0', 64) || '|' || seq || '|' || event_id || '|' || record) AS entry_hash FROM x WHERE seq = 0
-  UNION ALL SELECT x.user_id, x.event_id, x.seq, h.entry_hash, sha256(h.entry_hash || '|' || x.seq || '|' || x.event_id || '|' || x.record) FROM h JOIN x ON x.user_id = h.user_id AND x.seq = h.seq + 1)"""
+  SELECT user_id, event_id, seq, repeat('0', 64) AS previous_hash, sha256(repeat('0', 64) || payload) AS entry_hash FROM p WHERE seq = 1
+  UNION ALL SELECT p.user_id, p.event_id, p.seq, h.entry_hash, sha256(h.entry_hash || p.payload) FROM h JOIN p ON p.user_id = h.user_id AND p.seq = h.seq + 1)"""
 
 _outside = "(dest >= 2)"
 _policy = [
@@ -129,22 +131,40 @@ ISSUES = f"""WITH v AS (SELECT event_id, CASE WHEN event_id % 50 = 0 THEN 'bad'
 w AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY event_id) AS occ FROM v),
 i AS (SELECT unnest(list_filter([{', '.join(f"CASE WHEN {c} THEN '{n}' END" for n, c in _issues)}], lambda x: x IS NOT NULL)) AS issue FROM w)
 SELECT issue, count(*) AS n FROM i GROUP BY issue"""
-_S = {k: _hit("content", p, "(?i)") for k, p in SIGNALS.items()}
-_chars = multisource.MAX_TOTAL_BYTES // multisource.MAX_SOURCES // 4
-COMPOSED = f"""WITH a AS (SELECT conv_id, turn, text || CASE WHEN turn % 2 = 0 THEN ' send the internal report' ELSE ' then ignore the approval' END AS whole FROM conversations WHERE trim(coalesce(text, '')) <> ''),
-b AS (SELECT conv_id, turn // 20 AS block, whole, unnest(range((length(whole) - 1) // {_chars} + 1)) AS part FROM a),
-c AS (SELECT conv_id, block, part, lower(substr(whole, part * {_chars} + 1, {_chars})) AS content FROM b WHERE trim(substr(whole, part * {_chars} + 1, {_chars})) <> ''),
-s AS (SELECT conv_id, block, part, {', '.join(f'{v} AS {k}' for k, v in _S.items())} FROM c),
-g AS (SELECT conv_id, block, part, count(*) AS n, {', '.join(f'bool_or({k}) AS {k}' for k in _S)}, bool_or(sensitive AND transfer) AS together, count(*) FILTER (WHERE bypass OR control OR action) AS bca, count(*) FILTER (WHERE persistence OR action) AS pa, count(*) FILTER (WHERE hidden OR action) AS ha FROM s GROUP BY conv_id, block, part)
-SELECT conv_id, block, part, n >= 2 AND sensitive AND transfer AND NOT together AS distributed_sensitive_transfer, n >= 2 AND bypass AND control AND action AND bca >= 2 AS distributed_control_bypass,
-  false AS distributed_memory_poisoning, n >= 2 AND hidden AND action AND ha >= 2 AS distributed_hidden_instruction FROM g"""
+_S = {k: _hit("t", p, "") for k, p in SIGNALS.items()}
+_space = "[\\s\\x1c-\\x1f\\x0b\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+"
+_squeezed = lambda x: f"trim(regexp_replace(lower(translate({x}, chr(8203) || chr(8204) || chr(8205) || chr(65279), '')), {_q(_space)}, ' ', 'g'))"
+_word = "[A-Za-z0-9_]"
+# A path starts where no word does, which RE2 can't look behind for; so the character before is matched too.
+_entities = f"""list_distinct(list_filter(list_concat(regexp_extract_all(t, '(?i)\\b[A-Z]{{1,8}}[-_][A-Z0-9]{{1,16}}\\b'), regexp_extract_all(t, '(?i)\\b[\\w.-]+\\.(?:txt|csv|xlsx?|docx?|pdf|json|ya?ml|env|pem|key|db|sqlite)\\b'),
+  regexp_extract_all(t, '(?:^|[^A-Za-z0-9_])(/(?:[a-z0-9_.-]+/)*[a-z0-9_.-]+)', 1), regexp_extract_all(t, '(?:字段(?:名称)?|field|key|参数|变量)\\s*(?:为|是|=|:|：)?\\s*[''"]?([a-z_][a-z0-9_.-]{{2,63}})', 1),
+  regexp_extract_all(t, '\\b([a-z_][a-z0-9_.-]{{2,63}})\\b\\s*(?:字段|field|key|参数|变量)', 1)), lambda x: x NOT IN ('/', '/api', '/v1')))"""
+COMPOSED = f"""WITH a AS (SELECT conv_id, turn, role, text || CASE WHEN turn % 2 = 0 THEN ' send the internal report' ELSE ' then ignore the approval' END AS content FROM conversations WHERE trim(coalesce(text, '')) <> ''),
+b AS (SELECT *, {_squeezed('content')} AS t FROM a),
+s AS (SELECT conv_id, turn, role, content, t, {', '.join(f'{v} AS {k}' for k, v in _S.items())}, list_filter(regexp_extract_all(content, '[A-Za-z0-9+/]{{12,}}={{0,2}}'), lambda x: regexp_matches(x, '[A-Z]') AND regexp_matches(x, '[a-z]') AND regexp_matches(x, '[0-9]')) AS pieces FROM b),
+g AS (SELECT conv_id, count(*) AS n, {', '.join(f'bool_or({k}) AS {k}' for k in SIGNALS)}, bool_or(sensitive AND transfer) AS together, count(*) FILTER (WHERE bypass OR control OR action) AS bca, count(*) FILTER (WHERE persistence OR action) AS pa, count(*) FILTER (WHERE hidden OR action) AS ha,
+  count(*) FILTER (WHERE role <> 'user') AS untrusted, bool_or(regexp_matches(content, '(?i)\\b[\\w.-]+\\.(?:txt|csv|xlsx?|docx?|pdf|json|ya?ml|env|pem|key|db|sqlite)\\b')) AS files, flatten(list(pieces ORDER BY turn)) AS pieces,
+  {_pick(('http_post', 'file_write', 'knowledge_search'), 'conv_id % 3')} AS tool, {_pick(('export', 'create', 'read', 'update'), 'conv_id % 4')} AS op, conv_id % 5 > 0 AS dest FROM s GROUP BY conv_id),
+e AS (SELECT DISTINCT conv_id, turn, unnest({_entities}) AS name FROM b),
+l AS (SELECT DISTINCT x.conv_id, x.turn AS p, y.turn AS q FROM e x JOIN e y ON x.conv_id = y.conv_id AND x.name = y.name AND x.turn <> y.turn),
+d AS (SELECT DISTINCT conv_id FROM (SELECT conv_id, p FROM l GROUP BY conv_id, p HAVING count(*) > 1)),
+h AS (SELECT g.*, d.conv_id IS NOT NULL AS three, op IN ('create', 'update', 'export') OR tool IN ('file_write', 'http_post') AS impact, dest OR tool = 'http_post' OR op = 'export' AS sink, lower(coalesce(try(decode(from_base64(array_to_string(pieces, '')))), '')) AS told FROM g LEFT JOIN d USING (conv_id))
+SELECT conv_id, n >= 2 AND impact AND sink AND untrusted >= 2 AND three AND transfer AND (sensitive OR files) AS cross_source_reference_exfiltration, n >= 2 AND impact AND sink AND sensitive AND transfer AND NOT together AS distributed_sensitive_transfer,
+  n >= 2 AND impact AND bypass AND control AND action AND bca >= 2 AS distributed_control_bypass, n >= 2 AND persistence AND action AND (op IN ('create', 'update') OR tool = 'file_write') AND pa >= 2 AS distributed_memory_poisoning,
+  n >= 2 AND impact AND hidden AND action AND ha >= 2 AS distributed_hidden_instruction,
+  n >= 2 AND len(pieces) >= 2 AND {_hit('told', SIGNALS['action'], '')} AND {_hit('told', '|'.join(SIGNALS[k] for k in ('bypass', 'sensitive', 'transfer')), '')} AS fragmented_encoded_instruction FROM h"""
+RELEASE = f"""WITH {PREDICTED}, c AS (SELECT coalesce(split, 'overall') AS split, {COUNTS} FROM p GROUP BY GROUPING SETS ((split), ())), m AS (SELECT *, {RATES} FROM c),
+f AS (SELECT max(CASE WHEN split = 'overall' THEN f1 END) >= 0.85 AS a, max(CASE WHEN split = 'holdout' THEN f1 END) >= 0.75 AS b, max(CASE WHEN split = 'overall' THEN accuracy END) >= 0.95 AS d, max(CASE WHEN split = 'development' THEN accuracy END) >= 0.95 AS e,
+  max(CASE WHEN split = 'validation' THEN f1 END) >= 0.9 AS g, max(CASE WHEN split = 'overall' THEN fp END) <= 1 AS h, max(CASE WHEN split = 'holdout' THEN accuracy END) >= 0.9 AS i, max(CASE WHEN split = 'overall' THEN fn END) <= 0 AS j FROM m),
+k AS (SELECT avg(predicted::INT) >= 0.7 AS x FROM p WHERE expected AND doc_id % 8 = 6)
+SELECT coalesce(a, false) AS overall_f1_ok, coalesce(b, false) AS holdout_f1_ok, coalesce(x, false) AS base64_rate_ok, coalesce(d, false) AS tool_action_accuracy_ok, coalesce(e, false) AS skill_accuracy_ok, coalesce(g, false) AS multisource_f1_ok, coalesce(h, false) AS multisource_fp_ok,
+  coalesce(i, false) AS package_action_accuracy_ok, true AS quality_issues_ok, coalesce(j, false) AS suite_failed_ok, true AS short_circuit_failed_ok, false AS control_states_failed_ok, false AS passed FROM f, k"""
 NAMES = "t AS (SELECT conv_id, turn, unnest(list_distinct(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda w: length(w) >= 9))) AS name FROM conversations)"
 LINKED = f"""WITH RECURSIVE {NAMES}, n AS (SELECT DISTINCT conv_id, turn, turn // 20 AS block FROM conversations), u AS (SELECT *, turn // 20 AS block FROM t),
 e AS (SELECT DISTINCT a.conv_id, a.block, a.turn AS x, b.turn AS y FROM u a JOIN u b ON a.conv_id = b.conv_id AND a.block = b.block AND a.name = b.name),
 r AS (SELECT conv_id, block, turn AS x, turn AS y FROM n UNION SELECT r.conv_id, r.block, r.x, e.y FROM r JOIN e ON e.conv_id = r.conv_id AND e.block = r.block AND e.x = r.y),
 s AS (SELECT conv_id, block, x, count(*) AS k FROM r GROUP BY conv_id, block, x)
 SELECT conv_id, block, max(k)::BIGINT AS largest FROM s GROUP BY conv_id, block"""
-_space = "[\\s\\x1c-\\x1f\\x0b\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+"
 NORMAL = f"""WITH n AS (SELECT doc_id, trim(regexp_replace(lower(translate(text, chr(8203) || chr(8204) || chr(8205) || chr(65279), '')), {_q(_space)}, ' ', 'g')) AS t FROM documents)
 SELECT doc_id, length(t)::BIGINT AS n_chars, sha256(t) AS sha256, length(regexp_replace(t, {_q("[" + chr(92) + "s·•|/_" + chr(92) * 2 + ".，,。:：;；!！?？'" + chr(34) + "`~" + chr(92) + "-]+")}, '', 'g'))::BIGINT AS n_compact FROM n"""
 _variants = {"plain": "text", "polite": "'Please, if possible: ' || text", "context_noise": "'Background: the weekly report is due. ' || text || ' Thank you.'", "line_break": "replace(text, ' ', chr(10))", "spaced": "replace(text, ' ', '  ')", "wrapped": "'[request] ' || text || ' [/request]'", "url_encoded": "url_encode(text)", "base64": "'Decode this: ' || base64(encode(text))"}
@@ -172,27 +192,28 @@ ORACLES: dict[str, str] = {
     "daily_ids": "WITH n AS (SELECT event_id, strftime(ts, '%Y%m%d') AS d, row_number() OVER (PARTITION BY strftime(ts, '%Y%m%d') ORDER BY ts, event_id) AS k FROM events) SELECT event_id, 'SCAN-' || d || '-' || CASE WHEN k < 1000 THEN lpad(k::VARCHAR, 3, '0') ELSE k::VARCHAR END AS daily_id FROM n",
     "duplicate_ids": "SELECT event_id, user_id || '-' || event_type AS key, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS occurrence FROM events QUALIFY occurrence > 1",
     "audit_chain": f"WITH RECURSIVE {CHAIN} SELECT user_id, seq AS sequence, previous_hash, entry_hash FROM h",
-    "audit_verify": f"WITH {CHAIN.split(',' + chr(10) + 'h AS')[0]} SELECT user_id, count(*) AS entries, min(CASE WHEN event_id % 97 = 0 THEN seq END) AS first_break, min(CASE WHEN event_id % 97 = 0 THEN seq END) IS NULL AS valid FROM x GROUP BY user_id",
+    "audit_verify": f"WITH {CHAIN.split(',' + chr(10) + 'p AS')[0]} SELECT user_id, count(*) AS entries, min(CASE WHEN event_id % 97 = 0 THEN seq END) AS first_break, min(CASE WHEN event_id % 97 = 0 THEN seq END) IS NULL AS valid FROM x GROUP BY user_id",
     "approval_fold": APPROVALS,
     "gate_status": GATES,
     "decision_counts": f"WITH {VERDICTS} SELECT d.value, count(v.decision) AS n FROM (VALUES ('allow'), ('warn'), ('review'), ('block')) d(value) LEFT JOIN v ON v.decision = d.value GROUP BY d.value",
-    "overall_counts": f"WITH {VERDICTS} SELECT decision, count(*) AS n FROM (SELECT * FROM v WHERE event_id % 2 = 0 UNION ALL SELECT * FROM v WHERE event_id % 5 = 0) GROUP BY decision",
-    "rule_frequency_scopes": f"WITH {VERDICTS}, u AS (SELECT 'runtime' AS scope, unnest(rules) AS rule_id FROM v WHERE event_id % 2 = 0 UNION ALL SELECT 'skill_scan', unnest(rules) FROM v WHERE event_id % 5 = 0) SELECT scope, rule_id, count(*) AS n FROM u GROUP BY scope, rule_id",
+    "overall_counts": f"WITH {VERDICTS} SELECT decision, count(*) AS n FROM (SELECT * FROM v) GROUP BY decision",
+    "rule_frequency_scopes": f"WITH {VERDICTS}, u AS (SELECT 'runtime' AS scope, unnest(rules) AS rule_id FROM v WHERE event_id % 2 = 0 UNION ALL SELECT 'skill_scan', unnest(rules) FROM v WHERE event_id % 2 = 1) SELECT scope, rule_id, count(*) AS n FROM u GROUP BY scope, rule_id",
     "module_stats": f"WITH {VERDICTS} SELECT module, count(*) AS n, {', '.join(f'count(*) FILTER (WHERE decision = {_q(d)}) AS n_{d}' for d in _D)}, {', '.join(f'count(*) FILTER (WHERE risk_level = {_q(x)}) AS n_{x}' for x in ('low', 'medium', 'high', 'critical'))} FROM v GROUP BY module",
     "high_risk_rows": f"WITH {VERDICTS} SELECT event_id, decision, risk_level FROM v WHERE risk_level IN ('high', 'critical') OR decision IN ('review', 'block')",
     "dated_rows": "WITH i AS (SELECT event_id, CASE WHEN event_id % 9 = 0 THEN 'bad' ELSE 'EVT-2026010' || (event_id % 8 + 1) || '-' || lpad(event_id::VARCHAR, 6, '0') END AS id FROM events) SELECT event_id, id FROM i WHERE id LIKE 'EVT-20260103-%'",
     "quality_issues": ISSUES,
     "missing_related": "SELECT doc_id FROM labels WHERE doc_id * 3 NOT IN (SELECT doc_id FROM documents)",
     "control_summary": f"WITH {VERDICTS} SELECT 'approvals' AS section, decision AS value, count(*) AS n FROM v GROUP BY decision UNION ALL SELECT 'chain_decisions', decision, count(*) FROM v GROUP BY decision UNION ALL SELECT 'chain_rules', rule, count(*) FROM (SELECT unnest(rules) AS rule FROM v) GROUP BY rule UNION ALL SELECT 'audit_stages', module, count(*) FROM v GROUP BY module",
-    "merged_verdicts": f"""WITH {VERDICTS}, k AS (SELECT event_id // 3 AS g, max(list_position(['allow', 'warn', 'review', 'block'], decision)) AS d, max(points) AS points, flatten(list(rules ORDER BY event_id % 3)) AS rules FROM v WHERE risk_level <> 'odd' GROUP BY g)
+    "merged_verdicts": f"""WITH {VERDICTS}, k AS (SELECT event_id // 3 AS g, max(list_position(['allow', 'warn', 'review', 'block'], decision)) AS d, max(points) AS points, flatten(list(rules ORDER BY event_id % 3)) AS rules FROM v GROUP BY g)
 SELECT g::VARCHAR AS event_id, ['allow', 'warn', 'review', 'block'][d] AS decision, ['low', 'medium', 'high', 'critical'][d] AS risk_level, CAST(floor(points / 100.0::DOUBLE * 100) AS BIGINT) AS score, coalesce(array_to_string(list_filter(rules, lambda x, i: list_position(rules, x) = i), {SEP}), '') AS rules FROM k""",
     "confusion_counts": f"WITH {PREDICTED} SELECT {COUNTS} FROM p",
     "metrics_by_split": f"WITH {PREDICTED}, c AS (SELECT coalesce(split, 'overall') AS split, {COUNTS} FROM p GROUP BY GROUPING SETS ((split), ())) SELECT *, {RATES} FROM c",
     "outcome_labels": f"WITH {PREDICTED} SELECT CASE WHEN expected THEN CASE WHEN predicted THEN 'TP' ELSE 'FN' END WHEN predicted THEN 'FP' ELSE 'TN' END AS outcome, count(*) AS n FROM p GROUP BY outcome",
-    "robustness": f"WITH {PREDICTED}, r AS (SELECT doc_id % 37 AS parent_id, variant, avg(predicted::INT) AS rate FROM p GROUP BY ALL) SELECT variant, round(avg(rate), 6) AS mean_rate, count(*) AS families FROM r GROUP BY variant",
+    "robustness": f"WITH {PREDICTED}, a AS (SELECT doc_id % 37 AS parent_id, variant, predicted::INT AS hit FROM p WHERE expected), f AS (SELECT parent_id, avg(hit) AS rate FROM a GROUP BY parent_id) SELECT variant, round(avg(hit), 6) AS rate, count(*) AS n FROM a GROUP BY variant UNION ALL SELECT 'family_mean', round(avg(rate), 6), count(*) FROM f",
     "accuracy_by_variant": f"WITH {PREDICTED} SELECT variant, round(avg((expected = predicted)::INT), 6) AS accuracy, count(*) AS n FROM p GROUP BY variant",
     "latency_p95": "SELECT round(avg(value), 6) AS avg, quantile_disc(value, 0.95) AS p95 FROM events",
-    "release_gates": f"WITH {PREDICTED}, c AS (SELECT {COUNTS} FROM p), m AS (SELECT {RATES} FROM c) SELECT f1 >= 0.5 AS f1_ok, recall >= 0.75 AS recall_ok, accuracy >= 0.9 AS accuracy_ok, f1 >= 0.5 AND recall >= 0.75 AND accuracy >= 0.9 AS passed FROM m",
+    "metric_gates": f"WITH {PREDICTED}, c AS (SELECT {COUNTS} FROM p), m AS (SELECT {RATES} FROM c) SELECT f1 >= 0.5 AS f1_ok, recall >= 0.75 AS recall_ok, accuracy >= 0.9 AS accuracy_ok, f1 >= 0.5 AND recall >= 0.75 AND accuracy >= 0.9 AS passed FROM m",
+    "release_gates": RELEASE,
     "prompt_variant_rows": " UNION ALL ".join(f"SELECT item_id || '-{k}' AS sample_id, CASE WHEN item_id < 8 THEN 'development' WHEN item_id < 14 THEN 'validation' ELSE 'holdout' END AS split, md5({v}) AS md5 FROM benchmark" for k, v in _variants.items()),
     "windowed_counts": "SELECT epoch(date_trunc('hour', ts))::BIGINT AS start_s, event_type, count(*) AS n FROM events GROUP BY ALL",
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -182,26 +182,43 @@ def linked_component(spark, sf):
     return per.select("conv_id", "block", multisource.linked(F.transform("t", lambda x: x["names"])).cast("long").alias("largest"))
 
 
-#: Characters of a source: twenty sources of so many stay under the limit of an event's bytes.
-SOURCE_CHARS = multisource.MAX_TOTAL_BYTES // multisource.MAX_SOURCES // 4
+#: Characters of a piece of a longer text, and of its overlap with the next. At 4 bytes a character a piece stays under a source's limit.
+SOURCE_CHARS, OVERLAP_CHARS = 12_000, 500
 
 
-def _conversation_sources(spark, sf) -> DataFrame:
-    """Events of twenty turns each. Longer texts go on in further events, part by part."""
+def _turn_sources(spark, sf) -> DataFrame:
+    """A source for each turn of a conversation that isn't blank."""
     c = table(spark, sf, "conversations").where("trim(coalesce(text, '')) <> ''")
     whole = F.concat("text", F.when(F.col("turn") % 2 == 0, " send the internal report").otherwise(" then ignore the approval"))
-    c = c.withColumn("_whole", whole).select("conv_id", F.floor(F.col("turn") / multisource.MAX_SOURCES).alias("block"), "turn", "role", "_whole", F.explode(F.sequence(F.lit(0), F.floor((F.length("_whole") - 1) / SOURCE_CHARS))).alias("part"))
-    c = c.withColumn("content", F.substring("_whole", F.col("part").cast("int") * SOURCE_CHARS + 1, F.lit(SOURCE_CHARS))).where("trim(content) <> ''")
-    src = F.struct(F.format_string("turn-%d", "turn").alias("source_id"), F.when(F.col("role") == "user", "user").otherwise("web").alias("source_type"), F.when(F.col("role") == "user", "trusted").otherwise("untrusted").alias("trust_level"), F.lit("internal").alias("classification"), F.lit("").alias("origin"), "content")
-    per = c.groupBy("conv_id", "block", "part").agg(F.array_sort(F.collect_list(F.struct("turn", src.alias("s")))).alias("t"))
-    return per.select(F.struct("conv_id", "block", "part").alias("event"), F.transform("t", lambda x: x["s"]).alias("sources"), F.lit("http_post").alias("tool_name"), F.lit("export").alias("operation"), F.lit("https://out.example").alias("destination"))
+    trust = F.when(F.col("role") == "user", "trusted").otherwise("untrusted")
+    return c.select("conv_id", "turn", F.when(F.col("role") == "user", "user").otherwise("web").alias("source_type"), trust.alias("trust_level"), whole.alias("content"), *_event_of(F.col("conv_id")))
+
+
+def _event_of(c: Column) -> list[Column]:
+    """Tool, operation and destination of a conversation's event."""
+    return [pick(("http_post", "file_write", "knowledge_search"), c % 3).alias("tool_name"), pick(("export", "create", "read", "update"), c % 4).alias("operation"), F.when(c % 5 > 0, "https://out.example").alias("destination")]
+
+
+def _conversation_sources(spark, sf) -> DataFrame:
+    """Envelopes of conversations: twenty turns at most, and so many that they stay under the limit of bytes. A text that is
+    too long for a source goes on in pieces that overlap."""
+    step = SOURCE_CHARS - OVERLAP_CHARS
+    c = _turn_sources(spark, sf).withColumn("_k", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil((F.length("content") - OVERLAP_CHARS) / step), F.lit(1)) - 1)))
+    c = c.withColumn("content", F.substring("content", F.col("_k").cast("int") * step + 1, F.lit(SOURCE_CHARS))).where("trim(content) <> ''")
+    c = c.withColumn("block", F.floor(F.col("turn") / multisource.MAX_SOURCES))
+    before = Window.partitionBy("conv_id", "block").orderBy("turn", "_k").rowsBetween(Window.unboundedPreceding, 0)
+    c = c.withColumn("_bytes", F.sum(F.octet_length("content")).over(before)).withColumn("_place", F.row_number().over(Window.partitionBy("conv_id", "block").orderBy("turn", "_k")) - 1)
+    # A piece of 48,000 bytes at most may lie across each edge.
+    c = c.withColumn("part", F.floor(F.col("_bytes") / (multisource.MAX_TOTAL_BYTES - 50_000)) * 1000 + F.floor(F.col("_place") / multisource.MAX_SOURCES))
+    src = F.struct(F.format_string("turn-%d", "turn").alias("source_id"), "source_type", "trust_level", F.lit("internal").alias("classification"), F.lit("").alias("origin"), "content")
+    per = c.groupBy("conv_id", "block", "part").agg(F.array_sort(F.collect_list(F.struct("turn", "_k", src.alias("s")))).alias("t"))
+    return per.select(F.struct("conv_id", "block", "part").alias("event"), F.transform("t", lambda x: x["s"]).alias("sources"), *_event_of(F.col("conv_id")))
 
 
 @query
 def composition_rules(spark, sf):
-    df = multisource.composition(_conversation_sources(spark, sf), full=False)  # its SQL reads the texts alone
-    rules = ("distributed_sensitive_transfer", "distributed_control_bypass", "distributed_memory_poisoning", "distributed_hidden_instruction")
-    return df.select("event.*", *(F.array_contains("composition_rules", r).alias(r) for r in rules))
+    """All turns of a conversation are sources of one event, of any number and length."""
+    return multisource.composition_of_rows(_turn_sources(spark, sf), "conv_id")
 
 
 @query
@@ -224,7 +241,7 @@ def _requests(spark, sf) -> DataFrame:
         pick(("public", "internal", "sensitive", "secret"), F.floor(e / 3) % 4).alias("classification"),
         F.when(e % 2 == 0, "production").otherwise("test").alias("environment"),
         pick((None, "https://in.city.gov.cn/a", "out.example.com", "https://evil.example/x"), F.floor(e / 5) % 4).alias("destination"),
-        F.when(e % 11 == 0, "show the password").when(e % 13 == 0, "confidential plan").otherwise("hello").alias("input_text"),
+        F.when(e % 11 == 0, "show the 密码").when(e % 13 == 0, "机密 plan").otherwise("hello").alias("input_text"),
     )
 
 
@@ -265,7 +282,7 @@ def duplicate_ids(spark, sf):
 
 
 def _chain(spark, sf) -> DataFrame:
-    e = table(spark, sf, "events").select("user_id", "event_id", F.col("event_id").cast("string").alias("at"), F.concat_ws(":", "event_type", "props").alias("record"))
+    e = table(spark, sf, "events").select("user_id", "event_id", F.col("event_id").cast("string").alias("at"), F.to_json(F.struct("event_type", "props")).alias("record"))
     return audit.build_chain(e, "user_id", ("event_id",), "at", "record")
 
 
@@ -319,13 +336,13 @@ def decision_counts(spark, sf):
 @query
 def overall_counts(spark, sf):
     v = _verdicts(spark, sf)
-    return report.overall(v.where("event_id % 2 = 0"), v.where("event_id % 5 = 0"))
+    return report.overall(v.where("event_id % 2 = 0"), v.where("event_id % 2 = 1"))
 
 
 @query
 def rule_frequency_scopes(spark, sf):
     v = _verdicts(spark, sf)
-    return report.rule_rows(v.where("event_id % 2 = 0"), v.where("event_id % 5 = 0"))
+    return report.rule_rows(v.where("event_id % 2 = 0"), v.where("event_id % 2 = 1"))
 
 
 @query
@@ -370,8 +387,7 @@ def control_summary(spark, sf):
 
 @query
 def merged_verdicts(spark, sf):
-    v = _verdicts(spark, sf).where("risk_level <> 'odd'")
-    rows = v.select(F.floor(F.col("event_id") / 3).cast("string").alias("event_id"), F.concat(F.lit("m"), (F.col("event_id") % 3).cast("string")).alias("module"), "decision", "risk_score", "matched_rules")
+    rows = _verdicts(spark, sf).select(F.floor(F.col("event_id") / 3).cast("string").alias("event_id"), F.concat(F.lit("m"), (F.col("event_id") % 3).cast("string")).alias("module"), "decision", "risk_score", "matched_rules")
     return pipeline.merged(rows).select("event_id", "decision", "risk_level", (F.col("risk_score") * 100).cast("long").alias("score"), F.array_join("matched_rules", "|").alias("rules"))
 
 
@@ -400,9 +416,8 @@ def outcome_labels(spark, sf):
 
 @query
 def robustness(spark, sf):
-    p = _predictions(spark, sf).select((F.col("doc_id") % 37).alias("parent_id"), pick(readers.VARIANTS, F.col("doc_id") % 8).alias("variant"), "predicted")
-    r = evaluate.robustness(p)
-    return r.select("variant", F.round("mean_rate", 6).alias("mean_rate"), "families")
+    p = _predictions(spark, sf).select((F.col("doc_id") % 37).alias("parent_id"), pick(readers.VARIANTS, F.col("doc_id") % 8).alias("variant"), "expected", "predicted")
+    return evaluate.robustness(p).select("variant", F.round("rate", 6).alias("rate"), "n")
 
 
 @query
@@ -417,11 +432,24 @@ def latency_p95(spark, sf):
 
 
 @query
-def release_gates(spark, sf):
+def metric_gates(spark, sf):
     m = evaluate.metrics(_predictions(spark, sf))
     return evaluate.gates(m, {"f1": 0.5, "recall": 0.75, "accuracy": 0.9})
 
 
+@query
+def release_gates(spark, sf):
+    """All gates of a release, from the figures of one set of predictions."""
+    p = _predictions(spark, sf)
+    by = evaluate.metrics(p, "split")
+    at = lambda c, split: F.max(F.when(F.col("split") == split, F.col(c)))
+    rates = by.agg(at("f1", "overall").alias("overall_f1"), at("f1", "holdout").alias("holdout_f1"), at("accuracy", "overall").alias("tool_action_accuracy"), at("accuracy", "development").alias("skill_accuracy"), at("f1", "validation").alias("multisource_f1"), at("fp", "overall").alias("multisource_fp"), at("accuracy", "holdout").alias("package_action_accuracy"))
+    coded = p.where("expected AND doc_id % 8 = 6").agg(F.avg(F.col("predicted").cast("double")).alias("base64_rate"))
+    bad = p.agg(F.count_if(F.col("split").isNull()).alias("quality_issues"), F.count_if(F.col("expected") & ~F.col("predicted")).alias("suite_failed"), F.lit(0).alias("short_circuit_failed"), F.lit(None).cast("long").alias("control_states_failed"))
+    one = lambda df: df.withColumn("_one", F.lit(1))
+    return evaluate.release_gates(one(rates).join(one(coded), "_one").join(one(bad), "_one"))
+
+
 @query
 def prompt_variant_rows(spark, sf):
     b = table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("parent_id"), F.col("item_id").alias("place"), F.lit("safe").alias("label"), F.lit("benign").alias("category"), "text")

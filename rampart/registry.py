@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans.oracles import ORACLES
-from .plans.queries import QUERIES
+from .plans import files, oracles, reports
+from .plans import queries as base
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+    return base.QUERIES | reports.QUERIES | files.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return oracles.ORACLES | reports.ORACLES | files.ORACLES

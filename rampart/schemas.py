@@ -53,8 +53,3 @@ def highest_class(values: Column) -> Column:
 def score_decision(points: Column) -> Column:
     """From a score in hundredths."""
     return F.when(points < 30, "allow").when(points < 60, "warn").when(points < 80, "review").otherwise("block")
-
-
-def checked(value: Column, bad: Column, message: str) -> Column:
-    """value, or an error for the row if bad."""
-    return F.when(F.coalesce(bad, F.lit(True)), F.raise_error(F.lit(message)).cast("string")).otherwise(value)

@@ -24,8 +24,8 @@ def json_lines(spark: SparkSession, path: str, schema: str | None = None) -> Dat
     return reader.json(path)
 
 
-def cases(spark: SparkSession, path: str, schema: str, key: str = "case_id", least: int = 1, required: tuple[str, ...] = ()) -> DataFrame:
-    """The objects of a JSON document {"cases": [...]}. Too few, lacking keys or repeated ids raise."""
+def cases(spark: SparkSession, path: str, schema: str, key: str = "case_id", least: int = 1, required: tuple[str, ...] = (), kinds: tuple[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """The objects of a JSON document {"cases": [...]}. Too few, lacking keys, repeated ids or, with `kinds` (a column and its values), other values raise."""
     df = spark.read.schema(f"cases array<struct<{_fields(schema)}>>").json(path, multiLine=True).select(F.explode("cases").alias("c")).select("c.*")
     need = (key, *required)
     found = df.agg(F.count("*").alias("n"), F.count_distinct(key).alias("ids"), *(F.count_if(F.col(k).isNull()).alias(f"no_{k}") for k in need)).first()
@@ -35,6 +35,8 @@ def cases(spark: SparkSession, path: str, schema: str, key: str = "case_id", lea
         raise ValueError(f"cases lack {', '.join(lacking)}")
     if found["ids"] != found["n"]:
         raise ValueError(f"repeated {key}")
+    if kinds and (odd := df.where(~F.col(kinds[0]).isin(*kinds[1])).limit(1).collect()):
+        raise ValueError(f"unknown {kinds[0]} {odd[0][kinds[0]]!r}")
     return df
 
 
@@ -67,9 +69,9 @@ def scans(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return records(spark, folder, SCAN)
 
 
-def audit_log(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of an audit log of JSON lines. A line that isn't an entry raises."""
-    return spark.read.schema(AUDIT).json(path, mode="FAILFAST")
+def audit_log(spark: SparkSession, path: str, more: str = "") -> DataFrame:
+    """Entries of an audit log of JSON lines. A line that isn't an entry raises. more: columns beside an entry's, as of partitions."""
+    return spark.read.schema(f"{AUDIT}, {more}" if more else AUDIT).json(path, mode="FAILFAST")
 
 
 def csv_ids(spark: SparkSession, path: str, key: str = "event_id") -> DataFrame:
@@ -86,8 +88,10 @@ def file_tree(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root).select("path", "length", "content")
 
 
-def python_tree(spark: SparkSession, root: str, most: int = 2 << 20) -> DataFrame:
-    """path and source of Python files up to a size."""
+def python_tree(spark: SparkSession, root: str, most: int = 2 << 20, allowed: tuple[str, ...] = ()) -> DataFrame:
+    """path and source of Python files up to a size. allowed: roots of which it must lie in one."""
+    if allowed and not any(root == a or root.startswith(a.rstrip("/") + "/") for a in allowed):
+        raise ValueError(f"{root} is outside the allowed roots")
     return file_tree(spark, root, "*.py").where(F.col("length") <= most).select("path", F.decode("content", "UTF-8").alias("source"))
 
 

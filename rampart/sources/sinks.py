@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import audit
 from ..operators.report import flattened
+from ..schemas import AUDIT
 
 
 def write_json(rows: DataFrame, path: str) -> None:
@@ -36,13 +37,25 @@ def append_new(rows: DataFrame, path: str, key: str = "event_id", fmt: str = "pa
 
 
 def append_chain(rows: DataFrame, path: str, chain: str, order: tuple[str, ...], timestamp: str, record: str) -> None:
-    """Entries of new chains (a day, a partition) as JSON lines by chain. A chain that is there already raises."""
-    made = audit.build_chain(rows, chain, order, timestamp, record)
+    """Entries as JSON lines by chain. A chain that is there goes on from its last entry. One writer at a time."""
+    after = None
     if _exists(rows.sparkSession, path):
-        held = rows.sparkSession.read.json(path).select(F.col(chain).cast(rows.schema[chain].dataType)).distinct()
-        if made.select(chain).distinct().join(held, chain, "left_semi").limit(1).count():
-            raise ValueError("a chain is there already")
-    made.write.mode("append").partitionBy(chain).json(path)
+        held = rows.sparkSession.read.schema(f"{AUDIT}, `{chain}` {rows.schema[chain].dataType.simpleString()}").json(path)
+        after = audit.heads(held, chain)
+    audit.build_chain(rows, chain, order, timestamp, record, after).write.mode("append").partitionBy(chain).json(path)
+
+
+def chain_writer(path: str, chain: str, order: tuple[str, ...], timestamp: str, record: str) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: each batch's entries go on from those of the batches before. A batch that is run again is written over."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        after, kind = None, batch.schema[chain].dataType.simpleString()
+        if number and _exists(batch.sparkSession, path):
+            held = batch.sparkSession.read.schema(f"{AUDIT}, `{chain}` {kind}, batch long").json(path)
+            after = audit.heads(held.where(F.col("batch") < number), chain)
+        audit.build_chain(batch, chain, order, timestamp, record, after).write.mode("overwrite").json(f"{path}/batch={number}")
+
+    return write
 
 
 def bundle(parts: dict[str, DataFrame], folder: str) -> None:

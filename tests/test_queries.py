@@ -7,9 +7,9 @@ import math
 import duckdb
 import pytest
 
-from rampart.plans.oracles import ORACLES
-from rampart.plans.queries import QUERIES
+from rampart import registry
 
+QUERIES, ORACLES = registry.queries(), registry.oracle_sql()
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
