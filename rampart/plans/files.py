@@ -270,7 +270,7 @@ _AUDIT = "sequence long, timestamp string, record string, previous_hash string,
 def stream_session_taint(spark, sf):
     """The state of sessions kept from batch to batch gives the rows that windows give."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    path, rows = shared_folder(spark, "taint"), _requests(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
+    path, rows = shared_folder(spark, "taint"), _requests(spark, sf).withColumns({"ts": F.col("ts").cast("timestamp"), "session_id": F.col("session_id").cast("string")})
     folder = shared_folder(spark, "taint-in")
     first = rows.select(F.expr("percentile_approx(unix_micros(ts), 0.5)")).first()[0]
     for early in (True, False):  # in the order of time, as a stream comes
