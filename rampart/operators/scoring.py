@@ -35,9 +35,13 @@ def pattern(rule: Rule, dotall: bool = False) -> str:
 def matched(text: Column, rule: Rule, dotall: bool = False) -> Column:
     """Whether a rule matches a text in lower case. Texts without any of the literals that a match must hold are told
     by plain searches, which cost far less than the regex."""
-    regex = pattern(rule, dotall)
+    return said(text, pattern(rule, dotall), rule.regex)
+
+
+def said(text: Column, regex: str, plain: str | None = None) -> Column:
+    """Whether a text in lower case matches a regex. plain: the same without flags."""
     found = text.rlike(regex)
-    needed = None if regex.startswith(FLAGS) else required(rule.regex)
+    needed = None if regex.startswith(FLAGS) else required(plain or regex)
     if not needed:
         return found
     return reduce(or_, (text.contains(n) for n in needed)) & found
@@ -54,6 +58,12 @@ def fenced(df: DataFrame, condition: Column) -> DataFrame:
     return df.withColumn("_fence", F.rand(0)).where((F.col("_fence") >= 0) & condition).drop("_fence")
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df with its columns worked out before any filter on them: pushed down, a filter would hold a copy of all that its
+    columns are made of, which for nested ones grows without bound."""
+    return fenced(df, F.lit(True))
+
+
 def hits(text: Column, rules: Sequence[Rule], dotall: bool = False, keep: int = 8, length: int = 180) -> Column:
     """Array of (rule_id, category, weight, evidence) of the rules that match a text in lower case, strongest first.
 

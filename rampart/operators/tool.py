@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import BREAK, base64_decoded, compact, nfkc, squeezed, url_decoded
 from ..rules import TOOL_RULES, Rule
 from ..schemas import level_of, score_decision
-from .scoring import active, any_hit, bonuses, category_maxima, has, hits, points
+from .scoring import active, any_hit, bonuses, category_maxima, has, hits, points, settled
 
 FLAGS = "(?ius)"  # a dot also stands for a newline: a call is several lines
 CATEGORIES = tuple(dict.fromkeys(r.category for r in TOOL_RULES))
@@ -56,11 +56,12 @@ def text_verdicts(rows: DataFrame, text: str, rules: Sequence[Rule] = TOOL_RULES
     df = df.withColumn("_decoded", F.array_join(decoded, BREAK))
     close = F.when(F.length(compact(F.col("_plain"))) >= 6, compact(F.col("_plain")))
     df = df.withColumn("_all", F.array_join(F.array_distinct(F.array_compact(F.array(F.lower(source), "_plain", close, F.lower("_decoded")))), BREAK))
-    df = df.withColumn("matches", hits(F.col("_all"), rules, True, length=140)).withColumn("_in_decoded", any_hit(F.lower("_decoded"), rules, True))
+    df = settled(df.withColumn("matches", hits(F.col("_all"), rules, True, length=140)))
+    df = df.withColumn("_in_decoded", (F.size("matches") > 0) & any_hit(F.when(F.size("matches") > 0, F.lower("_decoded")).otherwise(""), rules, True))
     df = df.withColumn("_maxima", category_maxima(F.col("matches"), CATEGORIES)).withColumn("categories", active(F.col("_maxima")))
     df = df.withColumn("score", points(F.col("_maxima"), 12, tool_bonus(F.col("categories"), F.col("_in_decoded"))))
     df = df.withColumn("decision", score_decision(F.col("score"))).withColumn("risk_level", level_of(F.col("decision"))).withColumn("permission_scope", scope(F.col("categories")))
-    return df.drop("_nfkc", "_plain", "_decoded", "_in_decoded", "_all", "_maxima")
+    return settled(df.drop("_nfkc", "_plain", "_decoded", "_in_decoded", "_all", "_maxima"))
 
 
 def tool_verdicts(calls: DataFrame, rules: Sequence[Rule] = TOOL_RULES, full: bool = True) -> DataFrame:
