@@ -7,12 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import BREAK, base64_decoded, compact, nfkc, squeezed, url_decoded
+from ..functions.text import base64_decoded, compact, nfkc, squeezed, url_decoded
 from ..rules import TOOL_RULES, Rule
 from ..schemas import level_of, score_decision
 from .scoring import active, any_hit, bonuses, category_maxima, has, hits, points, settled
 
-FLAGS = "(?ius)"  # a dot also stands for a newline: a call is several lines
+#: Between views that are matched together. A call is several lines, so dots cross them; no pattern's dots cross so many.
+BREAK = "\n" + "\0" * 160 + "\n"
 CATEGORIES = tuple(dict.fromkeys(r.category for r in TOOL_RULES))
 
 

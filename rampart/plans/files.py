@@ -76,6 +76,15 @@ def lenient_folder(spark, sf):
     return held.where("event_id IS NOT NULL").select(F.regexp_extract("event_id", "([0-9]+)$", 1).cast("long").alias("part"), F.col("module").cast("long").alias("n"))
 
 
+@query("WITH d AS (SELECT event_id % 40 AS part, count(*) AS n FROM events GROUP BY part) SELECT 'APR-' || part AS approval_id, n::VARCHAR AS requested_by FROM d WHERE part % 3 = 1 AND part % 8 > 0")
+def approval_folder(spark, sf):
+    path = shared_folder(spark, "approvals")
+    for r in table(spark, sf, "events").groupBy((F.col("event_id") % 40).alias("part")).agg(F.count("*").alias("n")).collect():
+        held = {"approval_id": f"APR-{r['part']}", "status": ("pending", "approved", "rejected")[r["part"] % 3], "created_at": f"2026-01-01T00:00:{r['part']:02d}", "requested_by": str(r["n"])}
+        put(spark, f"{path}/APR-{r['part']}.json", json.dumps(held).encode() if r["part"] % 8 else b"{")
+    return readers.approvals(spark, path, "approved").select("approval_id", "requested_by")
+
+
 @query("SELECT event_id, user_id FROM events")
 def csv_append_once(spark, sf):
     """Two appends that overlap leave each id once."""
@@ -232,6 +241,17 @@ def report_bundle(spark, sf):
     return spark.read.csv(f"{path}/types_csv", header=True, schema="event_type string, n long").join(spark.read.json(f"{path}/types_json").select("event_type"), "event_type")
 
 
+@query("SELECT 'runtime' AS section, count(*) AS n FROM events UNION ALL SELECT 'skill', 0")
+def report_read_back(spark, sf):
+    """A summary written as a bundle and read back."""
+    path = shared_folder(spark, "summary")
+    rows = _events(spark, sf).select(F.col("event_type").alias("module"), F.lit("allow").alias("decision"), F.lit("low").alias("risk_level"), F.array(F.lit("a")).alias("matched_rules"), F.lit(True).alias("tool_guard_entered"))
+    none = rows.where("false").withColumn("related_event_id", F.lit(None).cast("string")).drop("tool_guard_entered")
+    issues = spark.createDataFrame([], "file string, issue string")
+    sinks.bundle({"summary": report.summary(rows, none, issues)}, path)
+    return readers.report_summaries(spark, path).where("measure IN ('total_events', 'total_scans')").select("section", "n")
+
+
 def _stream(spark, sf, df: DataFrame, files: int = 3) -> DataFrame:
     """df as a stream of some files, one a batch."""
     path = shared_folder(spark, "stream")
@@ -251,8 +271,9 @@ def stream_history(spark, sf):
     """Batches that repeat ids leave each once in the history, and the last batch as `latest`."""
     path, e = shared_folder(spark, "history"), _events(spark, sf).select("event_id", "event_type")
     twice = e.unionByName(e.where("event_id % 5 = 0"))
-    _run(spark, _stream(spark, sf, twice).writeStream.foreachBatch(sinks.record_writer(f"{path}/latest", f"{path}/all")))
-    return spark.read.parquet(f"{path}/all").select("event_id")
+    _run(spark, _stream(spark, sf, twice).writeStream.foreachBatch(sinks.record_writer(f"{path}/latest", f"{path}/all", table=f"{path}/table")))
+    flat = spark.read.csv(f"{path}/table", header=True, schema="event_id long, event_type string")
+    return spark.read.parquet(f"{path}/all").join(flat, "event_id").select("event_id")
 
 
 @query("SELECT user_id, count(*) AS entries, true AS valid FROM events GROUP BY user_id")

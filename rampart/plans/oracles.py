@@ -169,6 +169,41 @@ NORMAL = f"""WITH n AS (SELECT doc_id, trim(regexp_replace(lower(translate(text,
 SELECT doc_id, length(t)::BIGINT AS n_chars, sha256(t) AS sha256, length(regexp_replace(t, {_q("[" + chr(92) + "s·•|/_" + chr(92) * 2 + ".，,。:：;；!！?？'" + chr(34) + "`~" + chr(92) + "-]+")}, '', 'g'))::BIGINT AS n_compact FROM n"""
 _variants = {"plain": "text", "polite": "'Please, if possible: ' || text", "context_noise": "'Background: the weekly report is due. ' || text || ' Thank you.'", "line_break": "replace(text, ' ', chr(10))", "spaced": "replace(text, ' ', '  ')", "wrapped": "'[request] ' || text || ' [/request]'", "url_encoded": "url_encode(text)", "base64": "'Decode this: ' || base64(encode(text))"}
 
+# Skills and packages: what each line of a source calls, and what the calls weigh.
+_CALLS = ("[]", "['os.system']", "['requests.post']", "[]", "['open_sensitive']", "['eval']", "['subprocess', 'subprocess_shell']", "['eval']")
+_AFTER_BROKEN = ("[]", "['os.system']", "[]", "[]", "['open_sensitive']", "['eval']", "['subprocess']")
+_case = lambda at, values: f"CASE {at} " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values)) + " END"
+_own = {"os.system": 8, "requests.post": 4, "open_sensitive": 7, "eval": 9, "subprocess": 8, "subprocess_shell": 12}
+_holds = lambda name: f"list_contains(calls, '{name}')"
+_w = " + ".join([*(f"CASE WHEN {_holds(k)} THEN {v} ELSE 0 END" for k, v in _own.items()), f"CASE WHEN {_holds('open_sensitive')} AND {_holds('requests.post')} THEN 5 ELSE 0 END", f"CASE WHEN {_holds('open_sensitive')} THEN 2 ELSE 0 END", f"CASE WHEN {_holds('subprocess_shell')} THEN 4 ELSE 0 END", f"CASE WHEN {_holds('eval')} THEN 3 ELSE 0 END", "CASE WHEN len(calls) >= 3 THEN 3 ELSE 0 END"])
+SKILLS = f"""a AS (SELECT event_id, event_id % 8 AS x, (event_id // 8) % 7 AS y FROM events),
+b AS (SELECT event_id, x, list_concat({_case('x', _CALLS)}, CASE WHEN x = 7 THEN {_case('y', _AFTER_BROKEN)} ELSE {_case('y', _CALLS[:7])} END) AS every FROM a),
+c AS (SELECT event_id, x, list_filter(every, lambda n, i: list_position(every, n) = i) AS calls FROM b), w AS (SELECT event_id, x, calls, {_w} AS w FROM c)"""
+SKILL_SCAN = f"""WITH {SKILLS} SELECT event_id, coalesce(array_to_string(calls, {SEP}), '') AS calls, w::BIGINT AS total_weight, (CASE WHEN w <= 0 THEN 0 WHEN w <= 4 THEN 30 WHEN w <= 9 THEN 65 WHEN w <= 14 THEN 85 ELSE 100 END)::BIGINT AS score,
+  CASE WHEN w <= 0 THEN 'allow' WHEN w <= 4 THEN 'warn' WHEN w <= 9 THEN 'review' ELSE 'block' END AS decision, CASE WHEN w <= 0 THEN 'low' WHEN w <= 4 THEN 'medium' WHEN w <= 9 THEN 'high' ELSE 'critical' END AS risk_level FROM w"""
+PACKAGE_SCAN = f"""WITH {SKILLS}, f AS (
+  SELECT event_id // 20 AS p, 'dangerous_python_behavior' AS rule, CASE WHEN w <= 4 THEN 1 WHEN w <= 9 THEN 2 ELSE 3 END AS s FROM w WHERE len(calls) > 0
+  UNION ALL SELECT event_id // 20, 'python_ast_parse_failure', 2 FROM w WHERE x = 7
+  UNION ALL SELECT DISTINCT event_id // 20, CASE (event_id // 20) % 3 WHEN 0 THEN 'dependency_not_exactly_pinned' WHEN 1 THEN 'embedded_secret_material' ELSE 'executable_or_native_payload' END, CASE (event_id // 20) % 3 WHEN 0 THEN 1 ELSE 2 END FROM events),
+n AS (SELECT event_id // 20 AS p, count(*) + 1 AS files FROM events GROUP BY p), g AS (SELECT p, max(s) AS worst, count(*) AS findings, array_to_string(list_sort(list(DISTINCT rule)), {SEP}) AS rules FROM f GROUP BY p)
+SELECT p::VARCHAR AS package, ['allow', 'warn', 'review', 'block'][worst + 1] AS decision, ['low', 'medium', 'high', 'critical'][worst + 1] AS risk_level, least(100, [0, 35, 65, 90][worst + 1] + 2 * (findings - 1))::BIGINT AS score, files, findings, rules FROM g JOIN n USING (p)"""
+
+
+def _call_verdicts() -> str:
+    """Calls made of events, each rule over each view: the text, its normal form, and that without marks."""
+    compact = f"regexp_replace(plain, {_q('[' + chr(92) + 's·•|/_' + chr(92) * 2 + '.，,。:：;；!！?？' + chr(39) + chr(34) + '`~' + chr(92) + '-]+')}, '', 'g')"
+    cs = tool.CATEGORIES
+    flags = ", ".join(f"({_hit('low', r.regex, '(?s)')} OR {_hit('plain', r.regex, '(?s)')} OR (length(close) >= 6 AND {_hit('close', r.regex, '(?s)')})) AS r_{r.rule_id}" for r in TOOL_RULES)
+    best = ", ".join(f"greatest(0, {', '.join(f'CASE WHEN r_{r.rule_id} THEN {r.weight} ELSE 0 END' for r in TOOL_RULES if r.category == c)}) AS w_{c}" for c in cs)
+    named = _join((r.rule_id, f"r_{r.rule_id}") for r in sorted(TOOL_RULES, key=lambda r: (-r.weight, r.rule_id)))
+    body = _verdict()
+    score, rest = body[body.index("least(100,") : body.index("::BIGINT AS score")], body[body.index("::BIGINT AS score, ") + 19 : body.index(" AS permission_scope FROM w)")]
+    return f"""WITH e AS (SELECT event_id, 'tool_name: ' || {_pick(('shell', 'http_request', 'file_read', 'database'), 'event_id % 4')} || chr(10) || 'operation: ' || {_pick(('read', 'delete', 'export'), 'event_id % 3')} || chr(10) || 'target: ' || {_pick(('/data/report.csv', '../../etc/passwd', 'https://x.example/in'), 'event_id % 5 % 3')} || chr(10) || 'arguments: ' || coalesce(props, '') AS t FROM events),
+v AS (SELECT event_id, lower(t) AS low, {_squeezed('t')} AS plain FROM e), x AS (SELECT *, {compact} AS close FROM v), f AS (SELECT event_id, {flags} FROM x), w AS (SELECT event_id, {best}, {named} AS rules FROM f),
+s AS (SELECT event_id, rules, {score}::BIGINT AS score, {rest} AS permission_scope FROM w)
+SELECT event_id, score, CASE WHEN score < 30 THEN 'allow' WHEN score < 60 THEN 'warn' WHEN score < 80 THEN 'review' ELSE 'block' END AS decision, CASE WHEN score < 30 THEN 'low' WHEN score < 60 THEN 'medium' WHEN score < 80 THEN 'high' ELSE 'critical' END AS risk_level, permission_scope, rules FROM s"""
+
+
 ORACLES: dict[str, str] = {
     "tool_rule_hits": " UNION ALL ".join(f"SELECT {_q(r.rule_id)} AS rule_id, count(*) FILTER (WHERE {_hit('text', r.regex)}) AS n_docs FROM documents" for r in TOOL_RULES),
     "tool_rule_topk": "WITH h AS (" + " UNION ALL ".join(f"SELECT {_q(r.rule_id)} AS rule_id FROM pages WHERE {_hit('html', r.regex)}" for r in TOOL_RULES) + ") SELECT rule_id, count(*) AS n FROM h GROUP BY rule_id ORDER BY n DESC, rule_id LIMIT 20",
@@ -182,6 +217,10 @@ ORACLES: dict[str, str] = {
     "decoded_views": "SELECT item_id, substr(text, 1, 1000) AS from_base64, md5(text) AS from_hex_md5, text AS from_url FROM benchmark",
     "external_destination": "WITH h AS (SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)) AS host FROM pages) SELECT page_id, host, NOT (suffix(host, '.example.org') OR suffix(host, '.example.net') OR host IN ('example.org', 'example.net')) AS external FROM h",
     "signal_flags": f"SELECT page_id, {', '.join(_hit('html', p, '(?i)') + ' AS ' + k for k, p in SIGNALS.items())} FROM pages",
+    "tool_verdict_views": _call_verdicts(),
+    "entity_extract": f"SELECT page_id, unnest({_entities}) AS entity FROM (SELECT page_id, lower(url) AS t FROM pages)",
+    "skill_scan": SKILL_SCAN,
+    "package_scan": PACKAGE_SCAN,
     "shared_entities": f"WITH {NAMES} SELECT conv_id, name, count(DISTINCT turn) AS turns FROM t GROUP BY conv_id, name HAVING count(DISTINCT turn) >= 2",
     "linked_component": LINKED,
     "composition_rules": COMPOSED,

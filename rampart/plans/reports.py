@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import approvals, evaluate, multisource, pipeline, report, skills, tool
 from ..schemas import CLASSES, SOURCE, highest_class
-from ..sources.readers import _fields
+from ..sources.readers import _fields, shuffled
 from .oracles import POLICY, PREDICTED, VERDICTS, _pick
 from .queries import _predictions, _requests, _verdicts, pick, table
 
@@ -249,3 +249,6 @@ def manifest_digests(spark, sf):
     return _envelopes(spark, sf).select("event_id", multisource.manifest_digest(F.col("sources")).alias("digest"))
 
 
+@query("SELECT event_id, row_number() OVER (ORDER BY md5('20260828-' || event_id), event_id) AS place FROM events")
+def shuffled_rows(spark, sf):
+    return shuffled(table(spark, sf, "events").select("event_id"), "event_id", 20260828)

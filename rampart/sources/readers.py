@@ -10,7 +10,7 @@ import zipfile
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schemas import AUDIT, SCAN, VERDICT
@@ -65,6 +65,18 @@ def lenient_records(spark: SparkSession, folder: str, schema: str = VERDICT) ->
     return spark.read.schema(schema).json(f"{folder}/*.json", multiLine=True, mode="DROPMALFORMED")
 
 
+def approvals(spark: SparkSession, folder: str, status: str | None = None) -> DataFrame:
+    """Approval records of a folder, of one status or all, newest first; unreadable documents are left out."""
+    held = lenient_records(spark, folder, "approval_id string, event_id string, status string, created_at string, requested_by string, decided_by string")
+    held = held.where("approval_id IS NOT NULL")
+    return (held if status is None else held.where(F.col("status") == status)).orderBy(F.desc("created_at"), "approval_id")
+
+
+def report_summaries(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows of report.summary() that a bundle has in its folder."""
+    return spark.read.schema("section string, measure string, value string, n long").json(f"{folder}/summary_json")
+
+
 def scans(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return records(spark, folder, SCAN)
 
@@ -139,6 +151,16 @@ def sheet_library(spark: SparkSession, path: str, header_row: int = 2) -> DataFr
     return file_tree(spark, path, "*.xlsx").select("path", "content").mapInPandas(run, "file string, row int, cells map<string,string>")
 
 
+def shuffled(rows: DataFrame, key: str, seed: int, place: str = "place") -> DataFrame:
+    """rows with their place from 1 in an order that the seed shuffles, the same in every run. Rows are counted by parts of the order first and numbered within them, so none is gathered."""
+    turn = F.md5(F.concat(F.lit(f"{seed}-"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
+    df = rows.withColumn("_turn", turn).withColumn("_part", F.substring("_turn", 1, 2))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # over 256 rows at most
+    ahead = df.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_ahead", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    n = F.row_number().over(Window.partitionBy("_part").orderBy("_turn", key)) + F.col("_ahead")
+    return df.join(F.broadcast(ahead), "_part").withColumn(place, n).drop("_turn", "_part", "_ahead")
+
+
 #: Ways in which a benchmark varies a text.
 VARIANTS = ("plain", "polite", "context_noise", "line_break", "spaced", "url_encoded", "base64", "wrapped")
 

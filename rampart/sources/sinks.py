@@ -65,14 +65,16 @@ def bundle(parts: dict[str, DataFrame], folder: str) -> None:
         write_csv(df, f"{folder}/{name}_csv")
 
 
-def record_writer(latest: str, history: str, key: str = "event_id") -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: the last batch as `latest`, and new ids appended to `history`."""
+def record_writer(latest: str, history: str, key: str = "event_id", table: str | None = None) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: the last batch as `latest`, new ids appended to `history` and, as flat rows, to the CSV `table`."""
 
     def write(batch: DataFrame, _: int) -> None:
         held = batch.persist()
         try:
             write_json(held, latest)
             append_new(held, history, key)
+            if table is not None:
+                append_new(flattened(held), table, key, "csv")
         finally:
             held.unpersist()
 
