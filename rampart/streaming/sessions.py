@@ -110,7 +110,10 @@ class ApprovalLife(StatefulProcessor):
 
 
 def stream_approvals(events: DataFrame) -> DataFrame:
-    """approval_id, action, status and accepted of a stream of approval events. Consumption is accepted once."""
+    """approval_id, action, status and accepted of a stream of approval events. Consumption is accepted once.
+
+    While timers are open the query has work to come, so a trigger of what is available now doesn't end by itself.
+    """
     return events.groupBy("approval_id").transformWithStateInPandas(ApprovalLife(), APPROVAL, "Append", "ProcessingTime")
 
 
