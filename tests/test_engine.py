@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import time
 import zipfile
 from datetime import datetime, timedelta
 
@@ -420,7 +421,9 @@ def test_streamed_approvals_and_windows(spark, tmp_path):
     approval_events(spark).where("approval_id IN ('used', 'self', 'no')").coalesce(1).write.parquet(str(tmp_path / "a"))
     stream = spark.readStream.schema(APPROVAL_EVENT + ", seq int").parquet(str(tmp_path / "a"))
     q = stream_approvals(stream).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "acp")).start(str(tmp_path / "aout"))
-    q.processAllAvailable()  # with timers open, a query never ends by itself
+    end = time.monotonic() + 120  # with timers open, a query never ends by itself
+    while sum(p.numInputRows for p in q.recentProgress) < 8 and time.monotonic() < end:
+        time.sleep(0.5)
     q.stop()
     rows = spark.read.parquet(str(tmp_path / "aout")).collect()
     assert sum(r.action == "consume" and r.accepted for r in rows) == 1 and {(r.approval_id, r.action, r.accepted) for r in rows} >= {("self", "decide", False), ("no", "decide", True)}
