@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -12,8 +13,6 @@ from ..rules import TOOL_RULES, Rule
 from ..schemas import level_of, score_decision
 from .scoring import active, any_hit, bonuses, category_maxima, has, hits, points, settled
 
-#: Between views that are matched together. A call is several lines, so dots cross them; no pattern's dots cross so many.
-BREAK = "\n" + "\0" * 160 + "\n"
 CATEGORIES = tuple(dict.fromkeys(r.category for r in TOOL_RULES))
 
 
@@ -48,15 +47,21 @@ def scope(categories: Column) -> Column:
     )
 
 
+def _break(rules: Sequence[Rule]) -> str:
+    """What stands between views that are matched together. A call is several lines, so dots cross them; no counted run of dots crosses so many characters."""
+    widest = max((int(n) for r in rules for n in re.findall(r"\{\d*,(\d+)\}", r.regex)), default=0)
+    return "\n" + "\0" * (widest + 1) + "\n"
+
+
 def text_verdicts(rows: DataFrame, text: str, rules: Sequence[Rule] = TOOL_RULES, full: bool = False) -> DataFrame:
     """rows with matches, categories, score (hundredths), decision, risk_level and permission_scope of a text column."""
-    source = F.coalesce(F.col(text), F.lit(""))
+    source, between = F.coalesce(F.col(text), F.lit("")), _break(rules)
     # ASCII is its own NFKC form and needs no UDF.
     df = rows.withColumn("_nfkc", F.coalesce(nfkc(F.when(source.rlike("[^\\x00-\\x7f]"), source)), source) if full else source).withColumn("_plain", squeezed(F.col("_nfkc")))
     decoded = F.concat(F.array_compact(F.array(squeezed(url_decoded(F.col("_plain"))))), base64_decoded(F.col("_nfkc")))
-    df = df.withColumn("_decoded", F.array_join(decoded, BREAK))
+    df = df.withColumn("_decoded", F.array_join(decoded, between))
     close = F.when(F.length(compact(F.col("_plain"))) >= 6, compact(F.col("_plain")))
-    df = df.withColumn("_all", F.array_join(F.array_distinct(F.array_compact(F.array(F.lower(source), "_plain", close, F.lower("_decoded")))), BREAK))
+    df = df.withColumn("_all", F.array_join(F.array_distinct(F.array_compact(F.array(F.lower(source), "_plain", close, F.lower("_decoded")))), between))
     df = settled(df.withColumn("matches", hits(F.col("_all"), rules, True, length=140)))
     df = df.withColumn("_in_decoded", (F.size("matches") > 0) & any_hit(F.when(F.size("matches") > 0, F.lower("_decoded")).otherwise(""), rules, True))
     df = df.withColumn("_maxima", category_maxima(F.col("matches"), CATEGORIES)).withColumn("categories", active(F.col("_maxima")))
