@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .alignment import op11_alignment
 from .divergence import OP12_SQL, op12_source_divergence
 from .language_id import op8_language_id
 from .line_dedup import OP2_SQL, op2_line_dedup
@@ -31,6 +32,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": op8_language_id,
         "op9_warc": op9_warc,
         "op10_media_columns": op10_media_columns,
+        "op11_alignment": op11_alignment,
         "op12_source_divergence": op12_source_divergence,
     }
 
@@ -42,5 +44,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_quality_rules": OP5_SQL,
         "op6_mixing": OP6_SQL,
         "op9_warc": OP9_SQL,
+        "op11_alignment": op11_alignment,
         "op12_source_divergence": OP12_SQL,
     }
