@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .alignment import op11_alignment
 from .divergence import OP12_SQL, op12_source_divergence
+from .extraction import op13_extraction
 from .language_id import op8_language_id
 from .line_dedup import OP2_SQL, op2_line_dedup
 from .media import op10_media_columns
@@ -34,6 +35,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_media_columns": op10_media_columns,
         "op11_alignment": op11_alignment,
         "op12_source_divergence": op12_source_divergence,
+        "op13_extraction": op13_extraction,
     }
 
 
