@@ -38,8 +38,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
-from .packing import _byte_characters, tokenizer_path
+from .common import materialise, table, text_chunks
+from .packing import _LETTER, _byte_characters, tokenizer_path
 
 #: Pieces that a task keeps: so many of the latest, and as many before those; longer ones aren't kept.
 CACHE_ENTRIES = 100_000
@@ -60,11 +60,19 @@ def piece_path() -> str:
     return str(public_tokenizers.path("piece_bpe_32k.model"))
 
 
+#: Figures of a piece of text: n_a, n_b, n_groups, links (B id << 32 | A id), groups as text.
 Piece = tuple[int, int, int, tuple[int, ...], str]
+_BEYOND = "\n"
+_ATOMS = re.compile(rf"[{_LETTER}]+[!-/:-@[-`{{-~]*(?:\n[{_LETTER}]+[!-/:-@[-`{{-~]*)*")
+_ATOM = re.compile(rf"[{_LETTER}]+|\n|[^{_LETTER}\n]+")
 
 
 class Aligner:
-    """Groups and links of texts under tokenizer files A (byte-level) and B (pieces with byte fallback)."""
+    """Groups and links of texts under tokenizer files A (byte-level) and B (pieces with byte fallback).
+
+    Pieces are cut once more into words, marks and line ends where no entry of B holds the two characters at the cut
+    (A always cuts there), so that a word is worked out once, whatever follows it.
+    """
 
     def __init__(self, path_a: str, path_b: str):
         from sentencepiece import SentencePieceProcessor
@@ -74,51 +82,65 @@ class Aligner:
         self.a.encode_special_tokens = True
         self.b = SentencePieceProcessor(model_file=path_b)
         own = {c: b for b, c in _byte_characters().items()}
-        self.bytes_a = {i: bytes(own[c] for c in entry) if all(c in own for c in entry) else entry.encode() for entry, i in self.a.get_vocab().items()}
-        entries = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
+        vocabulary = self.a.get_vocab()
+        self.bytes_a, self.names_a = [b""] * (max(vocabulary.values()) + 1), [str(i) for i in range(max(vocabulary.values()) + 1)]
+        for entry, i in vocabulary.items():
+            self.bytes_a[i] = bytes(own[c] for c in entry) if all(c in own for c in entry) else entry.encode()
+        n = self.b.get_piece_size()
+        entries = [self.b.id_to_piece(i) for i in range(n)]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(entries)]
-        self.cuts = not any(x != "▁" and y == "▁" for p in entries for x, y in zip(p, p[1:], strict=False))
+        self.names_b = [str(i) for i in range(n)]
+        self.together = {p[k : k + 2] for i, p in enumerate(entries) if not self.b.is_byte(i) for k in range(len(p) - 1)}
+        self.cuts = not any(x[0] != "▁" and x[1] == "▁" for x in self.together)
+        # What B makes of a line end: then texts without a space in front can be read behind one.
+        self.line_end = self.b.encode(_BEYOND)
+        self.finer = self.cuts and not any(_BEYOND in x for x in self.together) and len(self.line_end) == 2
         self.known: dict[str, Piece | None] = {}
         self.before: dict[str, Piece | None] = {}
+        self.bare: dict[str, Piece | None] = {}
 
-    def _tokens(self, text: str) -> tuple[list[int], list[bytes], list[int], list[bytes]]:
-        a, b = self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text)
-        return a, [self.bytes_a[i] for i in a], b, [self.bytes_b[i] for i in b]
-
-    def whole(self, text: str) -> Piece | None:
-        """A text without a cut; None if a side's bytes aren't the text's."""
-        a, bytes_a, b, bytes_b = self._tokens(text)
-        wanted = (" " + text).encode()
+    def _made(self, wanted: bytes, a: list[int], b: list[int]) -> Piece | None:
+        """None if a side's bytes aren't the wanted ones."""
+        bytes_a, bytes_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
         if b"".join(bytes_a) != wanted or b"".join(bytes_b) != wanted:
             return None
+        names_a, names_b = [self.names_a[i] for i in a], [self.names_b[i] for i in b]
+        if len(b) == 1:
+            high = b[0] << 32
+            return len(a), 1, 1, tuple([high | i for i in a]), f"{','.join(names_a)}|{names_b[0]}"
+        if len(a) == 1:
+            low = a[0]
+            return 1, len(b), 1, tuple([i << 32 | low for i in b]), f"{names_a[0]}|{','.join(names_b)}"
         links, groups = [], []
         i = j = first_a = first_b = 0
         end_a, end_b = len(bytes_a[0]), len(bytes_b[0])
         while True:
             links.append(b[j] << 32 | a[i])
-            step_a, step_b = end_a <= end_b, end_b <= end_a
-            if step_a:
+            if end_a < end_b:
                 i += 1
-            if step_b:
+                end_a += len(bytes_a[i])
+            elif end_b < end_a:
                 j += 1
-            if step_a and step_b:
-                groups.append(f"{','.join(map(str, a[first_a:i]))}|{','.join(map(str, b[first_b:j]))}")
+                end_b += len(bytes_b[j])
+            else:
+                i, j = i + 1, j + 1
+                groups.append(f"{','.join(names_a[first_a:i])}|{','.join(names_b[first_b:j])}")
                 first_a, first_b = i, j
                 if i == len(a):
                     break
-            if step_a:
                 end_a += len(bytes_a[i])
-            if step_b:
                 end_b += len(bytes_b[j])
         return len(a), len(b), len(groups), tuple(links), ";".join(groups)
 
-    def _piece(self, piece: str) -> Piece | None:
-        found = self.before[piece] if piece in self.before else self.whole(piece)
-        if len(piece) <= CACHED_LENGTH:
-            if len(self.known) >= CACHE_ENTRIES:
-                self.before, self.known = self.known, {}
-            self.known[piece] = found
-        return found
+    def _many(self, texts: list[str]) -> list[Piece | None]:
+        """Texts, each with a space in front."""
+        spaced = [" " + t for t in texts]
+        ids_a, ids_b = self.a.encode_batch_fast(spaced, add_special_tokens=False), self.b.encode(texts, num_threads=1)
+        return [self._made(t.encode(), a.ids, b) for t, a, b in zip(spaced, ids_a, ids_b, strict=True)]
+
+    def whole(self, text: str) -> Piece | None:
+        """A text without a cut."""
+        return self._many([text])[0]
 
     def pieces(self, text: str) -> list[str]:
         """The text (without the space in front) cut at each space that follows a character other than white space."""
@@ -136,26 +158,68 @@ class Aligner:
             open_end = not part or part[-1].isspace()
         return out
 
-    def of(self, text: str | None) -> tuple[int, int, int, int, str, Counter]:
-        """n_a, n_b, n_groups, n_links, groups_sha256 and the multiplicity of each pair (B id << 32 | A id)."""
-        if not text:
-            return 0, 0, 0, 0, "", Counter()
-        known, piece = self.known, self._piece
-        found: list[Piece | None] = []
-        for part in self.pieces(text):
-            try:
-                found.append(known[part])
-            except KeyError:
-                found.append(piece(part))
-                known = self.known
-        if any(x is None for x in found):
-            one = self.whole(text)
-            if one is None:
-                return 0, 0, 0, 0, "", Counter()
-            found = [one]
-        n_a, n_b, n_groups, links, names = zip(*found, strict=True)
-        digest = hashlib.sha256(";".join(names).encode()).hexdigest()
-        return sum(n_a), sum(n_b), sum(n_groups), sum(map(len, links)), digest, Counter(chain.from_iterable(links))
+    def _atoms(self, piece: str) -> list[str]:
+        if not self.finer or not _ATOMS.fullmatch(piece):
+            return [piece]
+        atoms = _ATOM.findall(piece)
+        if any(x[-1] + y[0] in self.together for x, y in zip(atoms, atoms[1:], strict=False)):
+            return [piece]
+        return atoms
+
+    def _learn(self, pieces: set[str]) -> dict[str, Piece | None]:
+        """Figures of pieces that aren't known."""
+        cut = {p: self._atoms(p) for p in pieces}
+        spaced = list({a[0] for a in cut.values()})
+        found = {p: self._held(p) for p in spaced}
+        new = [p for p in spaced if found[p] is False]
+        found |= zip(new, self._many(new), strict=True)
+        if len(self.bare) > CACHE_ENTRIES:
+            self.bare.clear()
+        more = list({x for a in cut.values() for x in a[1:]} - self.bare.keys())
+        if more:
+            ids_a, ids_b = self.a.encode_batch_fast(more, add_special_tokens=False), self.b.encode([_BEYOND + t for t in more], num_threads=1)
+            for t, a, b in zip(more, ids_a, ids_b, strict=True):
+                self.bare[t] = self._made(t.encode(), a.ids, b[2:]) if b[:2] == self.line_end else None
+        out = {}
+        for piece, (first, *rest) in cut.items():
+            parts = [found[first], *(self.bare[x] for x in rest)]
+            if any(x is None for x in parts):
+                out[piece] = None
+            elif rest:
+                n_a, n_b, n_groups, links, names = zip(*parts, strict=True)
+                out[piece] = sum(n_a), sum(n_b), sum(n_groups), tuple(chain.from_iterable(links)), ";".join(names)
+            else:
+                out[piece] = parts[0]
+        return out | found
+
+    def _held(self, piece: str) -> Piece | None | bool:
+        """False if it isn't known."""
+        return self.known[piece] if piece in self.known else self.before.get(piece, False)
+
+    def of_many(self, texts: list[str | None]) -> list[tuple[int, int, int, int, str, Counter]]:
+        """For each text n_a, n_b, n_groups, n_links, groups_sha256 and the multiplicity of each pair (B id << 32 | A id)."""
+        cut = [self.pieces(t) if t else [] for t in texts]
+        own = set(chain.from_iterable(cut))
+        used = {p: self._held(p) for p in own}
+        used |= self._learn({p for p, x in used.items() if x is False})
+        out = []
+        for text, pieces in zip(texts, cut, strict=True):
+            found = [used[p] for p in pieces]
+            if None in found:
+                one = self.whole(text)
+                found = [] if one is None else [one]
+            if not found:
+                out.append((0, 0, 0, 0, "", Counter()))
+                continue
+            n_a, n_b, n_groups, links, names = zip(*found, strict=True)
+            digest = hashlib.sha256(";".join(names).encode()).hexdigest()
+            out.append((sum(n_a), sum(n_b), sum(n_groups), sum(map(len, links)), digest, Counter(chain.from_iterable(links))))
+        for p, x in used.items():
+            if len(p) <= CACHED_LENGTH:
+                if len(self.known) >= CACHE_ENTRIES:
+                    self.before, self.known = self.known, {}
+                self.known[p] = x
+        return out
 
 
 def aligned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
@@ -178,18 +242,18 @@ def aligned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
 
         for batch in batches:
             align = align or Aligner(path_a, path_b)
-            held = 0
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                n_a, n_b, n_groups, n_links, digest, counts = align.of(text.as_py())
-                own = np.fromiter(counts, dtype=np.int64, count=len(counts))
-                order = np.argsort(own)
-                rows.append((ref, doc, n_a, n_b, n_groups, n_links, digest))
-                pairs.append(own[order])
-                ms.append(np.fromiter(counts.values(), dtype=np.int32, count=len(counts))[order])
-                ref, held = ref + 1, held + len(counts)
-                if held >= HELD_POSTINGS:
-                    yield flush()
-                    held = 0
+            held, ids = 0, batch.column(0).to_pylist()
+            for first, texts in text_chunks(batch):
+                for k, (n_a, n_b, n_groups, n_links, digest, counts) in enumerate(align.of_many(texts), first):
+                    own = np.fromiter(counts, dtype=np.int64, count=len(counts))
+                    order = np.argsort(own)
+                    rows.append((ref, ids[k], n_a, n_b, n_groups, n_links, digest))
+                    pairs.append(own[order])
+                    ms.append(np.fromiter(counts.values(), dtype=np.int32, count=len(counts))[order])
+                    ref, held = ref + 1, held + len(counts)
+                    if held >= HELD_POSTINGS:
+                        yield flush()
+                        held = 0
             if rows:
                 yield flush()
 
