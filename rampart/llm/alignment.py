@@ -30,6 +30,7 @@ import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -64,6 +65,7 @@ def piece_path() -> str:
 Piece = tuple[int, int, int, tuple[int, ...], str]
 _BEYOND = "\n"
 _ATOMS = re.compile(rf"[{_LETTER}]+[!-/:-@[-`{{-~]*(?:\n[{_LETTER}]+[!-/:-@[-`{{-~]*)*")
+_WORD = re.compile(rf" ?[{_LETTER}]+")
 _ATOM = re.compile(rf"[{_LETTER}]+|\n|[^{_LETTER}\n]+")
 
 
@@ -81,15 +83,18 @@ class Aligner:
         self.a = Tokenizer.from_file(path_a)
         self.a.encode_special_tokens = True
         self.b = SentencePieceProcessor(model_file=path_b)
-        own = {c: b for b, c in _byte_characters().items()}
+        before = self.a.pre_tokenizer
+        self.by_parts = type(self.a.model).__name__ == "BPE" and type(before).__name__ == "ByteLevel" and not before.add_prefix_space and self.a.normalizer is None
+        self.characters = _byte_characters()
+        own = {c: b for b, c in self.characters.items()}
         vocabulary = self.a.get_vocab()
-        self.bytes_a, self.names_a = [b""] * (max(vocabulary.values()) + 1), [str(i) for i in range(max(vocabulary.values()) + 1)]
+        self.bytes_a = [b""] * (max(vocabulary.values()) + 1)
         for entry, i in vocabulary.items():
             self.bytes_a[i] = bytes(own[c] for c in entry) if all(c in own for c in entry) else entry.encode()
         n = self.b.get_piece_size()
         entries = [self.b.id_to_piece(i) for i in range(n)]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(entries)]
-        self.names_b = [str(i) for i in range(n)]
+        self.names = [str(i) for i in range(max(n, len(self.bytes_a)))]
         self.together = {p[k : k + 2] for i, p in enumerate(entries) if not self.b.is_byte(i) for k in range(len(p) - 1)}
         self.cuts = not any(x[0] != "▁" and x[1] == "▁" for x in self.together)
         # What B makes of a line end: then texts without a space in front can be read behind one.
@@ -104,39 +109,52 @@ class Aligner:
         bytes_a, bytes_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
         if b"".join(bytes_a) != wanted or b"".join(bytes_b) != wanted:
             return None
-        names_a, names_b = [self.names_a[i] for i in a], [self.names_b[i] for i in b]
-        if len(b) == 1:
+        n_a, n_b = len(a), len(b)
+        if n_b == 1:
             high = b[0] << 32
-            return len(a), 1, 1, tuple([high | i for i in a]), f"{','.join(names_a)}|{names_b[0]}"
-        if len(a) == 1:
+            return n_a, 1, 1, tuple([high | i for i in a]), f"{','.join([self.names[i] for i in a])}|{b[0]}"
+        if n_a == 1:
             low = a[0]
-            return 1, len(b), 1, tuple([i << 32 | low for i in b]), f"{names_a[0]}|{','.join(names_b)}"
-        links, groups = [], []
-        i = j = first_a = first_b = 0
+            return 1, n_b, 1, tuple([i << 32 | low for i in b]), f"{low}|{','.join([self.names[i] for i in b])}"
+        names, links, groups = self.names, [], []
+        i = j = 0
+        x, y = a[0], b[0]
+        text_a, text_b = names[x], names[y]
         end_a, end_b = len(bytes_a[0]), len(bytes_b[0])
         while True:
-            links.append(b[j] << 32 | a[i])
+            links.append(y << 32 | x)
             if end_a < end_b:
                 i += 1
+                x = a[i]
+                text_a += "," + names[x]
                 end_a += len(bytes_a[i])
             elif end_b < end_a:
                 j += 1
+                y = b[j]
+                text_b += "," + names[y]
                 end_b += len(bytes_b[j])
             else:
+                groups.append(f"{text_a}|{text_b}")
                 i, j = i + 1, j + 1
-                groups.append(f"{','.join(names_a[first_a:i])}|{','.join(names_b[first_b:j])}")
-                first_a, first_b = i, j
-                if i == len(a):
+                if i == n_a:
                     break
+                x, y = a[i], b[j]
+                text_a, text_b = names[x], names[y]
                 end_a += len(bytes_a[i])
                 end_b += len(bytes_b[j])
-        return len(a), len(b), len(groups), tuple(links), ";".join(groups)
+        return n_a, n_b, len(groups), tuple(links), ";".join(groups)
 
     def _many(self, texts: list[str]) -> list[Piece | None]:
         """Texts, each with a space in front."""
-        spaced = [" " + t for t in texts]
-        ids_a, ids_b = self.a.encode_batch_fast(spaced, add_special_tokens=False), self.b.encode(texts, num_threads=1)
-        return [self._made(t.encode(), a.ids, b) for t, a, b in zip(spaced, ids_a, ids_b, strict=True)]
+        spaced, ids_b = [" " + t for t in texts], self.b.encode(texts, num_threads=1)
+        return [self._made(t.encode(), a, b) for t, a, b in zip(spaced, self._ids_a(spaced), ids_b, strict=True)]
+
+    def _ids_a(self, texts: list[str]) -> list[list[int]]:
+        """Words are one pre-token each and go to A's model itself."""
+        words = [bool(self.by_parts and _WORD.fullmatch(t)) for t in texts]
+        rest = iter([e.ids for e in self.a.encode_batch_fast([t for t, w in zip(texts, words, strict=True) if not w], add_special_tokens=False)])
+        part, characters = self.a.model.tokenize, self.characters
+        return [[x.id for x in part(t.encode().decode("latin-1").translate(characters))] if w else next(rest) for t, w in zip(texts, words, strict=True)]
 
     def whole(self, text: str) -> Piece | None:
         """A text without a cut."""
@@ -159,7 +177,7 @@ class Aligner:
         return out
 
     def _atoms(self, piece: str) -> list[str]:
-        if not self.finer or not _ATOMS.fullmatch(piece):
+        if piece.isalpha() or not self.finer or not _ATOMS.fullmatch(piece):
             return [piece]
         atoms = _ATOM.findall(piece)
         if any(x[-1] + y[0] in self.together for x, y in zip(atoms, atoms[1:], strict=False)):
@@ -177,19 +195,19 @@ class Aligner:
             self.bare.clear()
         more = list({x for a in cut.values() for x in a[1:]} - self.bare.keys())
         if more:
-            ids_a, ids_b = self.a.encode_batch_fast(more, add_special_tokens=False), self.b.encode([_BEYOND + t for t in more], num_threads=1)
-            for t, a, b in zip(more, ids_a, ids_b, strict=True):
-                self.bare[t] = self._made(t.encode(), a.ids, b[2:]) if b[:2] == self.line_end else None
+            ids_b = self.b.encode([_BEYOND + t for t in more], num_threads=1)
+            for t, a, b in zip(more, self._ids_a(more), ids_b, strict=True):
+                self.bare[t] = self._made(t.encode(), a, b[2:]) if b[:2] == self.line_end else None
         out = {}
         for piece, (first, *rest) in cut.items():
             parts = [found[first], *(self.bare[x] for x in rest)]
             if any(x is None for x in parts):
                 out[piece] = None
-            elif rest:
-                n_a, n_b, n_groups, links, names = zip(*parts, strict=True)
-                out[piece] = sum(n_a), sum(n_b), sum(n_groups), tuple(chain.from_iterable(links)), ";".join(names)
             else:
-                out[piece] = parts[0]
+                whole = parts[0]
+                for x in parts[1:]:
+                    whole = whole[0] + x[0], whole[1] + x[1], whole[2] + x[2], whole[3] + x[3], f"{whole[4]};{x[4]}"
+                out[piece] = whole
         return out | found
 
     def _held(self, piece: str) -> Piece | None | bool:
@@ -200,7 +218,8 @@ class Aligner:
         """For each text n_a, n_b, n_groups, n_links, groups_sha256 and the multiplicity of each pair (B id << 32 | A id)."""
         cut = [self.pieces(t) if t else [] for t in texts]
         own = set(chain.from_iterable(cut))
-        used = {p: self._held(p) for p in own}
+        known, before = self.known, self.before
+        used = {p: known[p] if p in known else before.get(p, False) for p in own}
         used |= self._learn({p for p, x in used.items() if x is False})
         out = []
         for text, pieces in zip(texts, cut, strict=True):
@@ -213,7 +232,8 @@ class Aligner:
                 continue
             n_a, n_b, n_groups, links, names = zip(*found, strict=True)
             digest = hashlib.sha256(";".join(names).encode()).hexdigest()
-            out.append((sum(n_a), sum(n_b), sum(n_groups), sum(map(len, links)), digest, Counter(chain.from_iterable(links))))
+            all_a, all_b, all_groups = sum(n_a), sum(n_b), sum(n_groups)
+            out.append((all_a, all_b, all_groups, all_a + all_b - all_groups, digest, Counter(chain.from_iterable(links))))
         for p, x in used.items():
             if len(p) <= CACHED_LENGTH:
                 if len(self.known) >= CACHE_ENTRIES:
@@ -222,11 +242,17 @@ class Aligner:
         return out
 
 
+@lru_cache(maxsize=2)
+def _aligner(path_a: str, path_b: str) -> Aligner:
+    """A Python worker's own, so that its tasks share what they know."""
+    return Aligner(path_a, path_b)
+
+
 def aligned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """A row for each document: its figures, and its postings sorted by pair. ref is a key of the row."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        align, ref = None, TaskContext.get().partitionId() << 36
+        align, ref = _aligner(path_a, path_b), TaskContext.get().partitionId() << 36
         rows: list[tuple] = []
         pairs: list[np.ndarray] = []
         ms: list[np.ndarray] = []
@@ -241,7 +267,6 @@ def aligned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
             return out
 
         for batch in batches:
-            align = align or Aligner(path_a, path_b)
             held, ids = 0, batch.column(0).to_pylist()
             for first, texts in text_chunks(batch):
                 for k, (n_a, n_b, n_groups, n_links, digest, counts) in enumerate(align.of_many(texts), first):
