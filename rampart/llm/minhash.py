@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise, per_batch, table, text_chunks
 from .components import components
-from .hashing import U64, between, mix, prefix
+from .hashing import U64, Residues, mix
 
 TREES, DEPTH, MIN_DEPTH = 12, 5, 2
 PLACES = TREES * DEPTH
@@ -66,7 +66,7 @@ def shingle_sets(texts: list[str | None], size: int) -> list[np.ndarray]:
     if not gap[0]:
         edge = np.append(0, edge)
     start, end = edge[0::2], edge[1::2]
-    words = between(prefix(codes), start, end)
+    words = Residues(codes).between(start, end)
     bounds = np.cumsum([0, *(len(r) + 1 for r in raw)])
     at = np.searchsorted(start, bounds)
     rolled = words.copy()

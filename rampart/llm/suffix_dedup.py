@@ -16,14 +16,16 @@ each many times, so the suffixes are narrowed first, without loss:
    hashes, so a comparison takes a logarithmic number of steps. Neighbours that share
    `length` bytes are repeats, once their bytes have been compared; where a hash lied, the
    bytes decide. Nothing is removed on counts alone: a context that occurs often goes from
-   all its places if the sort found its two places equal.
+   all its places if the sort found its two places equal, and the bytes of every one of
+   these places have the SHA-256 of the two.
 
 A gram with more than HOT_CONTEXTS contexts isn't gathered. Its frequent contexts are
 sorted under the context's own hash, and the windows of the others under the window's,
 so each group has two contexts, and the sort and the bytes decide there too.
 
 Of one text that occurs in several rows all goes, once SHA-256 agrees that it is one text.
-Texts and contexts are told apart by 128 bits, grams by 64.
+Texts are told apart by 128 bits, contexts by 126 and grams by 64; should two texts or
+contexts share them, the job ends with an error and removes nothing.
 
 Defined cases: a null text is empty; texts shorter than `length` are kept whole;
 repeated rows are copies, so each goes whole if long enough; a null id passes
@@ -33,6 +35,7 @@ through; an empty table gives an empty one; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, per_batch, table
-from .hashing import U64, between, mix, powers, prefix
+from .hashing import U64, Residues, between, mix, powers, prefix
 
 LENGTH = 400
 GRAM_SHARE = 2  # a gram is a half of the length
@@ -49,6 +52,7 @@ _PLACE = U64(26)
 HOT_CONTEXTS = 20_000
 SORT_BYTES = 1_000_000
 BROADCAST_TEXTS = 1_000_000
+SALTS = 32
 
 
 def _gram(length: int) -> int:
@@ -81,7 +85,7 @@ def ranges(codes: np.ndarray, length: int) -> list[np.ndarray]:
         hi = np.append(turn - 1, len(place) - 1)
         anchor = place[lo].astype(np.int64)
         shape = mix(((anchor - lo) * (length + 1) + (hi - lo)).astype(np.uint64))
-        contexts = [mix(between(s, lo, hi + length) ^ shape) for s in (sums, prefix(part, 1))]
+        contexts = [mix(h ^ shape) for h in (between(sums, lo, hi + length), Residues(part).between(lo, hi + length))]
         found.append([lo + at, hi + at, anchor + at, grams[anchor], *contexts])
     return [np.concatenate(c) for c in zip(*found, strict=True)]
 
@@ -214,7 +218,7 @@ def repeats(contexts: list[bytes], grams: np.ndarray, distance: np.ndarray, leng
 
 KIND = ("gram", "c1", "c2")
 CONTEXTS = "gram long, c1 long, c2 long, t1 long, t2 long, lo long, distance long, often boolean, context binary"
-DECIDED = "gram long, c1 long, c2 long, often boolean, t1 long, t2 long, a long, b long"
+DECIDED = "gram long, c1 long, c2 long, often boolean, t1 long, t2 long, a long, b long, proof binary"
 
 
 def _contexts(length: int):
@@ -241,7 +245,8 @@ def _sorted_repeats(length: int):
             whole = (first == 0) & (last == np.array([len(c) for c in contexts]) - length)
             keep = np.where(often, whole, first >= 0)
             columns = (*map(np.array, ids), often, np.array(t1), np.array(t2), lo + first, lo + last + length)
-            return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], names=_names(DECIDED))
+            proof = [sha256(c).digest() if o else None for c, o, k in zip(contexts, often, keep, strict=True) if k]
+            return pa.RecordBatch.from_arrays([*(pa.array(c[keep]) for c in columns), pa.array(proof, pa.binary())], names=_names(DECIDED))
 
         # Rows come in the order of their grams; a gram's are worked on together, with those of others up to SORT_BYTES.
         for batch in batches:
@@ -265,7 +270,7 @@ def _windows(length: int):
         for t1, t2, lo, often, context in zip(*(batch.column(k).to_pylist() for k in (3, 4, 5, 7, 8)), strict=True):
             codes = np.frombuffer(context, dtype=np.uint8)
             at = np.arange(len(codes) - length + 1)
-            hashes = [between(prefix(codes, k), at, at + length).view(np.int64) for k in (0, 1)]
+            hashes = [h.view(np.int64) for h in (between(prefix(codes), at, at + length), Residues(codes).between(at, at + length))]
             out.append([np.full(len(at), t1), np.full(len(at), t2), np.full(len(at), lo), at + lo, np.full(len(at), often), *hashes])
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=_names(WINDOWS))
 
@@ -312,8 +317,8 @@ def _hot(texts: DataFrame, kinds: DataFrame, length: int) -> tuple[DataFrame, Da
     frequent = kinds.where("n > 1 AND first <> last")
     # A kind's two places meet under its own hash; the gram is kept as distance from it.
     met = _met(texts, _both(frequent).select(own, F.col("gram").alias("c1"), *[F.col(c) for c in ("c2", "often", "t1", "t2", "lo", "hi", "anchor")]), length)
-    whole = _decided(met, length).select(F.col("c1").alias("gram"), "c2").distinct()
-    whole = frequent.join(whole, ["gram", "c2"]).select(*KIND)
+    whole = _decided(met, length).select(F.col("c1").alias("gram"), "c2", "proof").distinct()
+    whole = frequent.join(whole, ["gram", "c2"]).select(*KIND, "proof")
     contexts = _met(texts, kinds.select(*KIND, (F.col("n") > 1).alias("often"), "first.*"), length)
     windows = materialise(contexts.mapInArrow(per_batch(_windows(length)), WINDOWS), "windows")
     place = F.struct("t1", "t2", F.col("at").alias("lo"), F.col("at").alias("hi"), F.col("at").alias("anchor"))
@@ -334,6 +339,14 @@ def copies(docs: DataFrame, length: int) -> DataFrame:
     return same.where("_n > 1").select("t1", "t2", F.lit(0).cast("long").alias("a"), sure.cast("long").alias("b"))
 
 
+def _spread(places: DataFrame, whole: DataFrame) -> DataFrame:
+    """The places of kinds that go whole. Too many kinds for a broadcast meet their places in SALTS deals, as one may have most of them."""
+    if whole.limit(BROADCAST_TEXTS + 1).count() <= BROADCAST_TEXTS:
+        return places.join(F.broadcast(whole), list(KIND))
+    dealt = whole.withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return places.withColumn("_deal", F.pmod(F.hash("t1", "t2", "lo"), F.lit(SALTS))).join(dealt, [*KIND, "_deal"])
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT_CONTEXTS) -> DataFrame:
     """t1, t2 of each text with repeats and `spans`, unmerged (a, b) byte ranges that cover them. docs: keyed()."""
     texts = docs.select("t1", "t2", F.col("_text").cast("binary").alias("_bytes")).where(F.octet_length("_bytes") >= length)
@@ -349,15 +362,16 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT_CONTEXT
     often = few.where("n > 1 AND first <> last")
     single = few.where("least = 1 AND kinds > 1 AND (n = 1 OR first = last)").select(*KIND, F.lit(False).alias("often"), "first.*")
     decided = _decided(_met(texts, _both(often).unionByName(single), length), length)
-    whole, spans = decided.where("often").select(*KIND).distinct(), decided.where("NOT often").select("t1", "t2", "a", "b")
+    whole, spans = decided.where("often").select(*KIND, "proof").distinct(), decided.where("NOT often").select("t1", "t2", "a", "b")
     if crowded.limit(1).count():
         more, runs = _hot(texts, crowded, length)
         whole, spans = whole.unionByName(more), spans.unionByName(runs)
     # Copies of one text go whole, so their ranges need not be found again: a large group of them would meet in one task.
     same = materialise(copies(docs, length), "copies")
     others = cut.join(_few(same.select("t1", "t2"), BROADCAST_TEXTS), ["t1", "t2"], "left_anti")
-    spread = others.join(_few(materialise(whole, "whole"), BROADCAST_TEXTS), list(KIND)).select("t1", "t2", F.col("lo").alias("a"), (F.col("hi") + length).alias("b"))
-    return spread.unionByName(spans).unionByName(same).groupBy("t1", "t2").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    spread = _spread(others, materialise(whole, "whole")).select("t1", "t2", F.col("lo").alias("a"), (F.col("hi") + length).alias("b"), "proof")
+    sure = spans.unionByName(same).withColumn("proof", F.lit(None).cast("binary"))
+    return spread.unionByName(sure).groupBy("t1", "t2").agg(F.collect_set(F.struct("a", "b", "proof")).alias("spans"))
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -378,8 +392,11 @@ def _cut(names: list[str]):
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         out: list[tuple] = []
         for text, spans in zip(batch.column(len(names)), batch.column(len(names) + 1), strict=True):
-            data = text.as_buffer()
-            runs = merged([(s["a"], s["b"]) for s in spans.as_py()])
+            data, wanted = text.as_buffer(), spans.as_py()
+            for s in wanted:
+                if s["proof"] is not None and sha256(data[s["a"] : s["b"]]).digest() != s["proof"]:
+                    raise ValueError("two contexts share 126 bits")
+            runs = merged([(s["a"], s["b"]) for s in wanted])
             edges = [0, *(x for run in runs for x in run), len(data)]
             kept = b"".join(data[a:b].to_pybytes() for a, b in zip(edges[0::2], edges[1::2], strict=True))
             out.append((len(data), len(data) - len(kept), len(runs), kept))
@@ -403,4 +420,7 @@ def dedup_strings(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",), lengt
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_strings(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+    """Also kept_bytes, how many are left, and text, what they say (a character that lost some of its bytes is U+FFFD)."""
+    rows = dedup_strings(table(spark, sf_dir, "documents"))
+    left = [F.octet_length("kept").cast("long").alias("kept_bytes"), F.decode(F.col("kept"), "UTF-8").alias("text")]
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2(F.col("kept"), 256).alias("kept_sha256"), *left)

@@ -147,3 +147,9 @@ def test_rest_is_exact(seed, n, percent):
             if minhash.alike(len(np.intersect1d(sets[a], sets[b])), len(sets[a]), len(sets[b]), percent):
                 want.link(a, b)
     assert [found.root(k) for k in range(len(sets))] == [want.root(k) for k in range(len(sets))]
+
+
+def test_words_that_share_every_hash_modulo_2_64(spark):
+    word = [bin(i).count("1") & 1 for i in range(1024)]
+    docs = table(spark, [(1, "".join("ab"[b] for b in word)), (2, "".join("ba"[b] for b in word)), (3, "".join("AB"[b] for b in word))])
+    assert {r.doc_id: r.component_id for r in near_duplicates(docs, 4).collect()} == {1: 1, 2: 2, 3: 1}

@@ -5,7 +5,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from rampart.llm import suffix_dedup
+from rampart.llm import hashing, suffix_dedup
 from rampart.llm.suffix_dedup import Suffixes, dedup_strings, merge_sort, merged, op4_suffix_dedup, ranges, repeats
 
 from .helpers import none, odd_docs, prose, table
@@ -31,7 +31,9 @@ def got_of(df):
 def test_against_brute_force(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     want = {i: (n, r, k, hashlib.sha256(b).hexdigest()) for (i, _), (n, r, k, b) in zip(rows, plain([t for _, t in rows], 400), strict=True)}
-    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in op4_suffix_dedup(spark, sf).collect()} == want
+    got = op4_suffix_dedup(spark, sf).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == want
+    assert all(r.kept_bytes == r.n_bytes - r.n_removed and ("\ufffd" in r.text or len(r.text.encode()) == r.kept_bytes) for r in got)
 
 
 def passages():
@@ -89,6 +91,48 @@ def test_a_lying_hash_is_found_out(monkeypatch):
     assert first.tolist() == [0, -1, 0] and last.tolist() == [0, -1, 0]
 
 
+def thue_morse(bits=10):
+    word = [bin(i).count("1") & 1 for i in range(1 << bits)]
+    return "".join("ab"[b] for b in word), "".join("ba"[b] for b in word)
+
+
+def test_words_that_share_every_hash_modulo_2_64(spark):
+    one, other = (np.frombuffer(w.encode(), dtype=np.uint8) for w in thue_morse(11))
+    n = np.array([0]), np.array([len(one)])
+    assert hashing.between(hashing.prefix(one), *n) == hashing.between(hashing.prefix(other), *n)
+    assert hashing.Residues(one).between(*n) != hashing.Residues(other).between(*n)
+    texts = [(1, one.tobytes().decode()), (2, other.tobytes().decode()), (3, "x" + one.tobytes().decode() + "y"), (4, "z" + other.tobytes().decode())]
+    want = sorted((i, *x) for (i, _), x in zip(texts, plain([t for _, t in texts], 400), strict=True))
+    assert got_of(dedup_strings(table(spark, texts))) == want
+
+
+def test_residues_are_of_the_bytes_alone():
+    codes = np.frombuffer(b"abcab" * 400 + b"abd", dtype=np.uint8)
+    held = hashing.Residues(codes)
+    assert len(set(held.between(np.arange(0, 2000, 5), np.arange(3, 2003, 5)).tolist())) == 1
+    assert held.between(np.array([2000]), np.array([2003])) != held.between(np.array([0]), np.array([3]))
+
+
+def test_a_forged_context_removes_nothing(spark):
+    """A place whose bytes aren't those that the sort has compared ends the job."""
+    import pyarrow as pa
+    import pytest
+
+    spans = pa.array([[{"a": 0, "b": 4, "proof": hashlib.sha256(b"abcd").digest()}]])
+    cut = suffix_dedup._cut([])
+    batch = lambda text: pa.RecordBatch.from_arrays([pa.array([text], pa.binary()), spans], names=["_bytes", "spans"])
+    assert cut(batch(b"abcdef")).column(3).to_pylist() == [b"ef"]
+    with pytest.raises(ValueError, match="126 bits"):
+        cut(batch(b"abcxef"))
+
+
+def test_many_kinds_meet_in_deals(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BROADCAST_TEXTS", 1)
+    rows = passages()
+    want = sorted((i, *x) for (i, _), x in zip(rows, plain([t for _, t in rows], 40), strict=True))
+    assert got_of(dedup_strings(table(spark, rows), length=40)) == want
+
+
 def test_odd_rows(spark):
     docs = odd_docs(spark)
     got = dedup_strings(docs).collect()
