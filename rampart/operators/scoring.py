@@ -64,31 +64,18 @@ def settled(df: DataFrame) -> DataFrame:
     return fenced(df, F.lit(True))
 
 
-def hits(text: Column, rules: Sequence[Rule], dotall: bool = False, keep: int = 8, length: int = 180) -> Column:
-    """Array of (rule_id, category, weight, evidence) of the rules that match a text in lower case, strongest first.
-
-    Each rule is one literal pattern. Evidence is only drawn for rules that match.
-    """
-    one = [
-        F.when(
-            matched(text, r, dotall),
-            F.struct(
-                F.lit(-r.weight).alias("order"), F.lit(r.rule_id).alias("rule_id"), F.lit(r.category).alias("category"), F.lit(r.weight).alias("weight"),
-                F.slice(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(pattern(r, dotall)), 0), lambda e: F.substring(F.trim(e), 1, length))), 1, keep).alias("evidence"),
-            ),
-        )
-        for r in rules
-    ]
-    found = F.array_sort(F.array_compact(F.array(*one)))
-    return F.transform(found, lambda m: m.dropFields("order"))
-
-
 def category_maxima(matches: Column, categories: Sequence[str], weight: str = "weight") -> Column:
     """Array of (category, weight): the greatest weight of each category that is met."""
     each = [F.struct(F.lit(c).alias("category"), F.array_max(F.transform(F.filter(matches, lambda m: m["category"] == c), lambda m: m[weight])).alias("weight")) for c in categories]
     return F.filter(F.array(*each), lambda c: c["weight"].isNotNull())
 
 
+def met_maxima(matches: Column, weight: str = "weight") -> Column:
+    """category_maxima() of the categories that are met, whatever they are, by name."""
+    met = F.array_sort(F.array_distinct(F.transform(matches, lambda m: m["category"])))
+    return F.transform(met, lambda c: F.struct(c.alias("category"), F.array_max(F.transform(F.filter(matches, lambda m: m["category"] == c), lambda m: m[weight])).alias("weight")))
+
+
 def active(maxima: Column) -> Column:
     return F.transform(F.filter(maxima, lambda c: c["weight"] >= ACTIVE), lambda c: c["category"])
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ..functions.text import base64_decoded, compact, nfkc, squeezed, url_decoded
 from ..rules import TOOL_RULES, Rule
 from ..schemas import level_of, score_decision
-from .scoring import active, any_hit, bonuses, category_maxima, has, hits, points, settled
+from .rule_index import RuleIndex, hits, matching
+from .scoring import active, bonuses, has, met_maxima, points, settled
 
 CATEGORIES = tuple(dict.fromkeys(r.category for r in TOOL_RULES))
 
@@ -47,29 +48,32 @@ def scope(categories: Column) -> Column:
     )
 
 
-def _break(rules: Sequence[Rule]) -> str:
+def _break(regexes: Iterable[str]) -> str:
     """What stands between views that are matched together. A call is several lines, so dots cross them; no counted run of dots crosses so many characters."""
-    widest = max((int(n) for r in rules for n in re.findall(r"\{\d*,(\d+)\}", r.regex)), default=0)
+    widest = max((int(n) for r in regexes for n in re.findall(r"\{\d*,(\d+)\}", r)), default=0)
     return "\n" + "\0" * (widest + 1) + "\n"
 
 
-def text_verdicts(rows: DataFrame, text: str, rules: Sequence[Rule] = TOOL_RULES, full: bool = False) -> DataFrame:
+def text_verdicts(rows: DataFrame, text: str, rules: Sequence[Rule] | DataFrame = TOOL_RULES, full: bool = False) -> DataFrame:
     """rows with matches, categories, score (hundredths), decision, risk_level and permission_scope of a text column."""
-    source, between = F.coalesce(F.col(text), F.lit("")), _break(rules)
+    index = RuleIndex.of(rows.sparkSession, rules, True)
+    source, between = F.coalesce(F.col(text), F.lit("")), _break(index.regexes)
     # ASCII is its own NFKC form and needs no UDF.
     df = rows.withColumn("_nfkc", F.coalesce(nfkc(F.when(source.rlike("[^\\x00-\\x7f]"), source)), source) if full else source).withColumn("_plain", squeezed(F.col("_nfkc")))
     decoded = F.concat(F.array_compact(F.array(squeezed(url_decoded(F.col("_plain"))))), base64_decoded(F.col("_nfkc")))
     df = df.withColumn("_decoded", F.array_join(decoded, between))
     close = F.when(F.length(compact(F.col("_plain"))) >= 6, compact(F.col("_plain")))
     df = df.withColumn("_all", F.array_join(F.array_distinct(F.array_compact(F.array(F.lower(source), "_plain", close, F.lower("_decoded")))), between))
-    df = settled(df.withColumn("matches", hits(F.col("_all"), rules, True, length=140)))
-    df = df.withColumn("_in_decoded", (F.size("matches") > 0) & any_hit(F.when(F.size("matches") > 0, F.lower("_decoded")).otherwise(""), rules, True))
-    df = df.withColumn("_maxima", category_maxima(F.col("matches"), CATEGORIES)).withColumn("categories", active(F.col("_maxima")))
+    df = df.withColumn("_candidates", index.candidates(F.col("_all")))
+    df = settled(df.withColumn("_matching", matching(F.col("_all"), F.col("_candidates"))))
+    df = settled(df.withColumn("matches", hits(F.col("_all"), F.col("_matching"), length=140)))
+    df = df.withColumn("_in_decoded", (F.size("matches") > 0) & (F.size(matching(F.lower("_decoded"), F.col("_matching"))) > 0))
+    df = df.withColumn("_maxima", met_maxima(F.col("matches"))).withColumn("categories", active(F.col("_maxima")))
     df = df.withColumn("score", points(F.col("_maxima"), 12, tool_bonus(F.col("categories"), F.col("_in_decoded"))))
     df = df.withColumn("decision", score_decision(F.col("score"))).withColumn("risk_level", level_of(F.col("decision"))).withColumn("permission_scope", scope(F.col("categories")))
-    return settled(df.drop("_nfkc", "_plain", "_decoded", "_in_decoded", "_all", "_maxima"))
+    return settled(df.drop("_nfkc", "_plain", "_decoded", "_in_decoded", "_all", "_maxima", "_candidates", "_matching"))
 
 
-def tool_verdicts(calls: DataFrame, rules: Sequence[Rule] = TOOL_RULES, full: bool = True) -> DataFrame:
+def tool_verdicts(calls: DataFrame, rules: Sequence[Rule] | DataFrame = TOOL_RULES, full: bool = True) -> DataFrame:
     """Verdicts of calls (tool_name, operation, target, arguments as JSON text)."""
     return text_verdicts(calls.withColumn("_call", invocation(F.col("tool_name"), F.col("operation"), F.col("target"), F.col("arguments"))), "_call", rules, full).drop("_call")
