@@ -7,10 +7,12 @@ import json
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical, masked
+from ..sources.shared import materialised
+from .scans import HOT_ROWS, Fold, scanned
 
 START = "0" * 64
 
@@ -71,13 +73,62 @@ def build_chain(rows: DataFrame, chain: str, order: tuple[str, ...], timestamp:
     return held.mapInArrow(_linked, f"`{chain}` {kind}, sequence long, timestamp string, record string, previous_hash string, entry_hash string")
 
 
-def verify_chain(entries: DataFrame, chain: str) -> DataFrame:
-    """chain, entries, valid and first_break (the least sequence that is out of place, doesn't follow or doesn't hash)."""
-    w = Window.partitionBy(chain).orderBy("sequence")
-    before = F.lag("entry_hash", 1, START).over(w)
-    bad = (F.col("sequence") != F.row_number().over(w)) | (F.col("previous_hash") != before) | (F.col("entry_hash") != entry_hash(F.col("previous_hash"), F.col("sequence"), F.col("timestamp"), F.col("record")))
-    checked = entries.withColumn("_bad", F.coalesce(bad, F.lit(True)))
-    return checked.groupBy(chain).agg(F.count("*").alias("entries"), F.min(F.when(F.col("_bad"), F.col("sequence"))).alias("first_break")).withColumn("valid", F.col("first_break").isNull())
+def _checked(entries: DataFrame, chain: str, hot_rows: int) -> DataFrame:
+    """entries (with _start and _start_hash, which the chain goes on from) with `_bad`."""
+    folds = [Fold("_place", "count"), Fold("_before", "last", F.col("entry_hash"))]
+    df = scanned(entries, chain, ("sequence",), folds, hot_rows)
+    own = entry_hash(F.col("previous_hash"), F.col("sequence"), F.col("timestamp"), F.col("record"))
+    follows = F.when(F.col("_place") == 0, F.col("_start_hash")).otherwise(F.col("_before"))
+    bad = (F.col("sequence") != F.col("_start") + F.col("_place") + 1) | (F.col("previous_hash") != follows) | (F.col("entry_hash") != own)
+    return df.withColumn("_bad", F.coalesce(bad, F.lit(True)))
+
+
+def verify_chain(entries: DataFrame, chain: str, after: DataFrame | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """chain, entries, valid and first_break (the least sequence that is out of place, doesn't follow or doesn't hash).
+
+    A long chain is checked in ranges of its sequence, each task with the last hash before its own. after: checked() of an
+    earlier run, in which case only entries beyond it are read, and counted.
+    """
+    if after is None:
+        rows = entries.withColumns({"_start": F.lit(0).cast("long"), "_start_hash": F.lit(START)})
+    else:
+        from_ = after.select(F.col(chain).alias("_chain"), F.col("last_sequence").alias("_start"), F.col("last_hash").alias("_start_hash"))
+        met = entries.join(from_, F.col(chain).eqNullSafe(F.col("_chain")), "left").drop("_chain").fillna(0, ["_start"]).fillna(START, ["_start_hash"])
+        rows = met.where(F.col("sequence").isNull() | (F.col("sequence") > F.col("_start")))
+    return _checked(rows, chain, hot_rows).groupBy(chain).agg(F.count("*").alias("entries"), F.min(F.when(F.col("_bad"), F.col("sequence"))).alias("first_break")).withColumn("valid", F.col("first_break").isNull())
+
+
+#: Entries of a Merkle tree's leaf, and children of a node above.
+LEAF, FANOUT = 1024, 1024
+
+
+def merkle_leaves(entries: DataFrame, chain: str, size: int = LEAF) -> DataFrame:
+    """chain, leaf (from 0), entries, last_sequence, last_hash and digest of each run of `size` sequence numbers. Leaves that are full don't change as a chain goes on."""
+    leaf = F.floor((F.col("sequence") - 1) / size).alias("leaf")
+    hashes = F.array_sort(F.collect_list(F.struct("sequence", "entry_hash")))
+    held = entries.groupBy(chain, leaf).agg(F.count("*").alias("entries"), hashes.alias("_h"))
+    last = F.element_at("_h", -1)
+    digest = F.sha2(F.array_join(F.transform("_h", lambda x: x["entry_hash"]), ""), 256)
+    return held.select(chain, "leaf", "entries", last["sequence"].alias("last_sequence"), last["entry_hash"].alias("last_hash"), digest.alias("digest"))
+
+
+def merkle_roots(leaves: DataFrame, chain: str, fanout: int = FANOUT) -> DataFrame:
+    """chain, entries, last_sequence, last_hash and root. Levels are combined until each chain has one node; a node alone stays as it is."""
+    held = leaves.select(chain, F.col("leaf").alias("node"), "entries", "last_sequence", "last_hash", "digest")
+    while held.groupBy(chain).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] not in (None, 1):
+        up = held.groupBy(chain, F.floor(F.col("node") / fanout).alias("node")).agg(
+            F.sum("entries").alias("entries"), F.array_sort(F.collect_list(F.struct("node", "digest"))).alias("_d"), F.max("last_sequence").alias("last_sequence"), F.max_by("last_hash", "last_sequence").alias("last_hash")
+        )
+        joined = F.sha2(F.array_join(F.transform("_d", lambda x: x["digest"]), ""), 256)
+        held = materialised(up.select(chain, "node", "entries", "last_sequence", "last_hash", F.when(F.size("_d") > 1, joined).otherwise(F.get("_d", F.lit(0))["digest"]).alias("digest")), "merkle")
+    return held.select(chain, "entries", "last_sequence", "last_hash", F.col("digest").alias("root"))
+
+
+def checked(entries: DataFrame, chain: str, size: int = LEAF, fanout: int = FANOUT) -> DataFrame:
+    """merkle_roots() of the chains that verify: what a later run goes on from."""
+    fine = verify_chain(entries, chain).where("valid").select(F.col(chain).alias("_chain"))
+    roots = merkle_roots(merkle_leaves(entries, chain, size), chain, fanout)
+    return roots.join(fine, F.col(chain).eqNullSafe(F.col("_chain"))).drop("_chain")
 
 
 def tail(entries: DataFrame, n: int) -> DataFrame:

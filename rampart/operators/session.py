@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import external
 from ..schemas import CLASSES, rank
+from .scans import HOT_ROWS, Fold, scanned
 
 # What a task chain takes for outbound, high-impact and reading; words of credentials and sensitive data.
 OUTBOUND, LONG_CHAIN, READS = ("export", "create", "update"), ("export", "delete", "execute"), ("read", "search")
@@ -31,20 +32,18 @@ def chain_decision(operation: Column, tool: Column, destination: Column, outside
     return rules, F.when(one | two, "block").when(three | four, "review").otherwise("allow")
 
 
-def session_verdicts(events: DataFrame, order: tuple[str, ...] = ("ts", "event_id"), suffixes: tuple[str, ...] = (".gov.cn",)) -> DataFrame:
+def session_verdicts(events: DataFrame, order: tuple[str, ...] = ("ts", "event_id"), suffixes: tuple[str, ...] = (".gov.cn",), hot_rows: int = HOT_ROWS) -> DataFrame:
     """events (session_id, principal_id, input_text, tool_name, operation, classification, destination) with the state
     before each row, chain_rules and chain_decision. Only reads and searches raise the class. Another principal than the
-    session's first raises. A row is judged on what came before it, in the given order."""
-    before = Window.partitionBy("session_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    start = Window.partitionBy("session_id").orderBy(*order)
+    session's first raises. A row is judged on what came before it, in the given order. A session of any number of rows
+    is scanned by many tasks, once it has hot_rows."""
     op, text, cls = F.lower("operation"), F.coalesce(F.col("input_text"), F.lit("")), _class(F.col("classification"))
     outside = external(F.col("destination"), F.array(*map(F.lit, suffixes)))
-    df = events.withColumns({
-        "prior_class": F.coalesce(F.max(F.when(op.isin(*READS), cls)).over(before), F.lit(0)),
-        "prior_credential": F.coalesce(F.max(text.rlike(CREDENTIAL)).over(before), F.lit(False)),
-        "prior_sensitive": F.coalesce(F.max(text.rlike(SENSITIVE) | (cls >= 1)).over(before), F.lit(False)),
-        "prior_events": F.count("*").over(before), "_owner": F.first("principal_id").over(start),
-    })
+    folds = [
+        Fold("prior_class", "max", F.when(op.isin(*READS), cls)), Fold("prior_credential", "max", text.rlike(CREDENTIAL)),
+        Fold("prior_sensitive", "max", text.rlike(SENSITIVE) | (cls >= 1)), Fold("prior_events", "count"), Fold("_owner", "first", F.col("principal_id")),
+    ]
+    df = scanned(events, "session_id", order, folds, hot_rows).fillna(0, ["prior_class"]).fillna(False, ["prior_credential", "prior_sensitive"])
     rules, decision = chain_decision(op, F.col("tool_name"), F.col("destination"), outside, F.col("prior_class"), F.col("prior_credential"), F.col("prior_sensitive"), F.least("prior_events", F.lit(KEPT)))
     owned = F.col("_owner").eqNullSafe(F.col("principal_id"))
     decision = F.when(~owned, F.raise_error(F.lit("session belongs to another principal")).cast("string")).otherwise(decision)

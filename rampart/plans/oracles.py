@@ -160,12 +160,25 @@ f AS (SELECT max(CASE WHEN split = 'overall' THEN f1 END) >= 0.85 AS a, max(CASE
 k AS (SELECT avg(predicted::INT) >= 0.7 AS x FROM p WHERE expected AND doc_id % 8 = 6)
 SELECT coalesce(a, false) AS overall_f1_ok, coalesce(b, false) AS holdout_f1_ok, coalesce(x, false) AS base64_rate_ok, coalesce(d, false) AS tool_action_accuracy_ok, coalesce(e, false) AS skill_accuracy_ok, coalesce(g, false) AS multisource_f1_ok, coalesce(h, false) AS multisource_fp_ok,
   coalesce(i, false) AS package_action_accuracy_ok, true AS quality_issues_ok, coalesce(j, false) AS suite_failed_ok, true AS short_circuit_failed_ok, false AS control_states_failed_ok, false AS passed FROM f, k"""
-NAMES = "t AS (SELECT conv_id, turn, unnest(list_distinct(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda w: length(w) >= 9))) AS name FROM conversations)"
-LINKED = f"""WITH RECURSIVE {NAMES}, n AS (SELECT DISTINCT conv_id, turn, turn // 20 AS block FROM conversations), u AS (SELECT *, turn // 20 AS block FROM t),
-e AS (SELECT DISTINCT a.conv_id, a.block, a.turn AS x, b.turn AS y FROM u a JOIN u b ON a.conv_id = b.conv_id AND a.block = b.block AND a.name = b.name),
-r AS (SELECT conv_id, block, turn AS x, turn AS y FROM n UNION SELECT r.conv_id, r.block, r.x, e.y FROM r JOIN e ON e.conv_id = r.conv_id AND e.block = r.block AND e.x = r.y),
-s AS (SELECT conv_id, block, x, count(*) AS k FROM r GROUP BY conv_id, block, x)
-SELECT conv_id, block, max(k)::BIGINT AS largest FROM s GROUP BY conv_id, block"""
+NAMES = f"""b AS (SELECT conv_id, turn, regexp_replace({_squeezed("coalesce(text, '')")}, '([a-z]{{9,}})', ' \\1.csv ', 'g') AS t FROM conversations), t AS (SELECT DISTINCT conv_id, turn, unnest({_entities}) AS name FROM b)"""
+LINKED = f"""WITH RECURSIVE {NAMES}, n AS (SELECT DISTINCT conv_id, turn FROM conversations),
+e AS (SELECT DISTINCT a.conv_id, a.turn AS x, b.turn AS y FROM t a JOIN t b ON a.conv_id = b.conv_id AND a.name = b.name),
+r AS (SELECT conv_id, turn AS x, turn AS y FROM n UNION SELECT r.conv_id, r.x, e.y FROM r JOIN e ON e.conv_id = r.conv_id AND e.x = r.y),
+s AS (SELECT conv_id, x, count(*) AS k FROM r GROUP BY conv_id, x)
+SELECT conv_id, count(*) AS sources, max(k)::BIGINT AS largest FROM s GROUP BY conv_id"""
+LINKED_SESSIONS = """WITH RECURSIVE w AS (SELECT DISTINCT conv_id, unnest(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda w: length(w) >= 12)) AS name FROM conversations),
+f AS (SELECT name, min(conv_id) AS a FROM w GROUP BY name HAVING min(conv_id) < max(conv_id)), d AS (SELECT DISTINCT f.a AS x, w.conv_id AS y FROM w JOIN f USING (name) WHERE w.conv_id > f.a),
+e AS (SELECT x, y FROM d UNION ALL SELECT y, x FROM d), r AS (SELECT DISTINCT x AS node, x AS seen FROM e UNION SELECT r.node, e.y FROM r JOIN e ON e.x = r.seen)
+SELECT node AS conv_id, min(seen) AS component FROM r GROUP BY node"""
+MERKLE = f"""WITH RECURSIVE {CHAIN}, l0 AS (SELECT user_id, (seq - 1) // 16 AS node, count(*) AS n, max(seq) AS s, sha256(string_agg(entry_hash, '' ORDER BY seq)) AS digest, arg_max(entry_hash, seq) AS last_hash FROM h GROUP BY 1, 2),
+{", ".join(f"l{k} AS (SELECT user_id, node // 4 AS node, sum(n) AS n, max(s) AS s, CASE WHEN count(*) > 1 THEN sha256(string_agg(digest, '' ORDER BY node)) ELSE min(digest) END AS digest, arg_max(last_hash, s) AS last_hash FROM l{k - 1} GROUP BY user_id, node // 4)" for k in range(1, 9))}
+SELECT user_id, n::BIGINT AS entries, last_hash, digest AS root FROM l8"""
+SCAN = TAINT.replace("s AS (SELECT *,", "s AS (SELECT * REPLACE (CASE WHEN session_id % 3 = 0 THEN 0 ELSE session_id END AS session_id),").replace("PARTITION BY session_id", "PARTITION BY CASE WHEN session_id % 3 = 0 THEN 0 ELSE session_id END")
+PACK_HITS = """WITH w AS (SELECT DISTINCT w FROM (SELECT unnest(string_split_regex(lower(text), '[^a-z]+')) AS w FROM conversations) WHERE length(w) >= 10)
+SELECT doc_id, w AS rule_id, 'word_' || w[1] AS category, length(w)::BIGINT AS weight FROM documents JOIN w ON contains(lower(text), w)"""
+INDEX = """WITH t AS (SELECT list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda w: length(w) >= 8) AS w FROM conversations), p AS (SELECT DISTINCT w[1] AS a, w[-1] AS b FROM t WHERE len(w) > 1 AND w[1] <> w[-1]),
+l AS (SELECT a, b, unnest(CASE WHEN contains(a, b) THEN [b] WHEN contains(b, a) THEN [a] ELSE [a, b] END) AS literal FROM p)
+SELECT literal, count(*) AS rules FROM l GROUP BY literal"""
 NORMAL = f"""WITH n AS (SELECT doc_id, trim(regexp_replace(lower(translate(text, chr(8203) || chr(8204) || chr(8205) || chr(65279), '')), {_q(_space)}, ' ', 'g')) AS t FROM documents)
 SELECT doc_id, length(t)::BIGINT AS n_chars, sha256(t) AS sha256, length(regexp_replace(t, {_q("[" + chr(92) + "s·•|/_" + chr(92) * 2 + ".，,。:：;；!！?？'" + chr(34) + "`~" + chr(92) + "-]+")}, '', 'g'))::BIGINT AS n_compact FROM n"""
 _variants = {"plain": "text", "polite": "'Please, if possible: ' || text", "context_noise": "'Background: the weekly report is due. ' || text || ' Thank you.'", "line_break": "replace(text, ' ', chr(10))", "spaced": "replace(text, ' ', '  ')", "wrapped": "'[request] ' || text || ' [/request]'", "url_encoded": "url_encode(text)", "base64": "'Decode this: ' || base64(encode(text))"}
@@ -297,7 +310,14 @@ ORACLES: dict[str, str] = {
     "linked_component": LINKED,
     "composition_rules": COMPOSED,
     "policy_decision": POLICY,
+    "linked_sessions": LINKED_SESSIONS,
     "session_taint": TAINT,
+    "session_scan": SCAN,
+    "audit_merkle": MERKLE,
+    "audit_verify_long": "SELECT 'all' AS chain, count(*) AS entries, min(CASE WHEN event_id % 97 = 96 THEN k END) AS first_break, count(*) FILTER (WHERE event_id % 97 = 96) = 0 AS valid FROM (SELECT event_id, row_number() OVER (ORDER BY event_id) AS k FROM events)",
+    "audit_verify_on": "SELECT user_id, count(*) AS entries, min(CASE WHEN event_id % 97 = 0 THEN k END) AS first_break, count(*) FILTER (WHERE event_id % 97 = 0) = 0 AS valid FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events) WHERE k > 40 GROUP BY user_id",
+    "rule_pack_hits": PACK_HITS,
+    "rule_index": INDEX,
     "last_n_events": "SELECT event_id, user_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 50",
     "first_owner": "SELECT user_id, first(event_type ORDER BY ts, event_id) AS owner FROM events GROUP BY user_id",
     "daily_ids": "WITH n AS (SELECT event_id, strftime(ts, '%Y%m%d') AS d, row_number() OVER (PARTITION BY strftime(ts, '%Y%m%d') ORDER BY ts, event_id) AS k FROM events) SELECT event_id, 'SCAN-' || d || '-' || CASE WHEN k < 1000 THEN lpad(k::VARCHAR, 3, '0') ELSE k::VARCHAR END AS daily_id FROM n",

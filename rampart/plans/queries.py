@@ -8,11 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import approvals, audit, evaluate, multisource, packages, pipeline, policy, prompt, report, session, skills, tool
+from ..operators import approvals, audit, evaluate, links, multisource, packages, pipeline, policy, prompt, report, session, skills, tool
+from ..operators.rule_index import RuleIndex, inverted, matching
 from ..operators.scoring import active, any_hit, fenced, matched, points
 from ..rules import TOOL_RULES
 from ..schemas import DECISIONS, score_decision
 from ..sources import readers
+from ..sources.shared import materialised
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -113,6 +115,25 @@ def prompt_keyword_baseline(spark, sf):
     return turns.select("conv_id", "turn", prompt.keyword_verdict(F.coalesce("text", F.lit(""))).alias("decision"))
 
 
+@query
+def rule_pack_hits(spark, sf):
+    """A pack of thousands of rules made of a table: words of conversations, looked for in all documents through their index."""
+    words = table(spark, sf, "conversations").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("w")).where("length(w) >= 10").distinct()
+    pack = words.select(F.col("w").alias("rule_id"), F.concat(F.lit("word_"), F.substring("w", 1, 1)).alias("category"), F.lit("").alias("description"), (F.length("w") / 100).alias("weight"), F.array("w").alias("patterns"))
+    docs = spread(table(spark, sf, "documents").select("doc_id", F.lower("text").alias("text")))
+    found = docs.withColumn("c", RuleIndex.of(spark, pack).candidates(F.col("text")))
+    return found.select("doc_id", F.explode(matching(F.col("text"), F.col("c"))).alias("m")).select("doc_id", "m.rule_id", "m.category", F.col("m.weight").cast("long").alias("weight"))
+
+
+@query
+def rule_index(spark, sf):
+    """The inverted index of such a pack, with patterns of two words: literals and how many rules hang on each."""
+    words = table(spark, sf, "conversations").select(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: F.length(w) >= 8).alias("w")).where("size(w) > 1")
+    pairs = words.select(F.get("w", F.lit(0)).alias("a"), F.try_element_at("w", F.lit(-1)).alias("b")).where("a <> b").distinct()
+    pack = pairs.select(F.concat_ws("/", "a", "b").alias("rule_id"), F.lit("two_words").alias("category"), F.lit("").alias("description"), F.lit(0.5).alias("weight"), F.array(F.concat(F.lit("(?:"), "a", F.lit("|"), "b", F.lit(").{0,9}end"))).alias("patterns"))
+    return inverted(pack).select("literal", F.size("rule_ids").cast("long").alias("rules"))
+
+
 # Text functions
 
 
@@ -167,8 +188,9 @@ def entity_extract(spark, sf):
 
 
 def _turn_names(spark, sf) -> DataFrame:
-    words = F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: F.length(w) >= 9))
-    return table(spark, sf, "conversations").select("conv_id", "turn", words.alias("names"))
+    """Names in each turn, where a word of nine letters or more is the name of a file."""
+    named = F.regexp_replace(T.squeezed(F.coalesce("text", F.lit(""))), "([a-z]{9,})", " $1.csv ")
+    return table(spark, sf, "conversations").select("conv_id", "turn", T.entities(named).alias("names"))
 
 
 @query
@@ -180,10 +202,19 @@ def shared_entities(spark, sf):
 
 @query
 def linked_component(spark, sf):
-    """Twenty turns of a conversation make one event, as an event has so many sources at most."""
-    names = _turn_names(spark, sf).withColumn("block", F.floor(F.col("turn") / multisource.MAX_SOURCES))
-    per = names.groupBy("conv_id", "block").agg(F.array_sort(F.collect_list(F.struct("turn", "names"))).alias("t"))
-    return per.select("conv_id", "block", multisource.linked(F.transform("t", lambda x: x["names"])).cast("long").alias("largest"))
+    """Turns of a conversation that names link, in a conversation of any length."""
+    names = _turn_names(spark, sf)
+    each = names.select("conv_id", "turn", F.explode("names").alias("name"))
+    return links.largest_linked(names, each, ["conv_id"], "turn", "name")
+
+
+@query
+def linked_sessions(spark, sf):
+    """All conversations as one event, whose sources are conversations and whose names are words of twelve letters or more: a component of thousands of sources."""
+    words = F.explode(F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: F.length(w) >= 12)))
+    rows = table(spark, sf, "conversations").select(F.lit("all").alias("event"), "conv_id", words.alias("name"))
+    roots = links.components(links.name_edges(rows, ["event"], "conv_id", "name"), ["event"])
+    return roots.select(F.col("node").alias("conv_id"), F.col("root").alias("component"))
 
 
 #: Characters of a piece of a longer text, and of its overlap with the next. At 4 bytes a character a piece stays under a source's limit.
@@ -260,6 +291,14 @@ def session_taint(spark, sf):
     return df.select("event_id", F.col("prior_class").cast("long").alias("prior_class"), "prior_credential", "prior_sensitive", "prior_events", F.array_join("chain_rules", "|").alias("rules"), F.col("chain_decision").alias("decision"))
 
 
+@query
+def session_scan(spark, sf):
+    """A third of all rows are one session, scanned in ranges."""
+    rows = _requests(spark, sf).withColumn("session_id", F.when(F.col("session_id") % 3 == 0, 0).otherwise(F.col("session_id")))
+    df = session.session_verdicts(rows.withColumn("principal_id", F.col("session_id").cast("string")), hot_rows=1000)
+    return df.select("event_id", F.col("prior_class").cast("long").alias("prior_class"), "prior_credential", "prior_sensitive", "prior_events", F.array_join("chain_rules", "|").alias("rules"), F.col("chain_decision").alias("decision"))
+
+
 @query
 def last_n_events(spark, sf):
     return session.last_events(table(spark, sf, "events"), 50, by="user_id").select("event_id", "user_id")
@@ -301,6 +340,35 @@ def audit_verify(spark, sf):
     return audit.verify_chain(changed, "user_id").select("user_id", "entries", "first_break", "valid")
 
 
+@query
+def audit_verify_long(spark, sf):
+    """One chain of all events, checked in ranges."""
+    e = table(spark, sf, "events").select(F.lit("all").alias("chain"), "event_id", F.col("event_id").cast("string").alias("at"), F.to_json(F.struct("event_type", "props")).alias("record"))
+    entries = audit.build_chain(e, "chain", ("event_id",), "at", "record")
+    changed = entries.withColumn("record", F.when(F.col("timestamp").cast("long") % 97 == 96, F.concat("record", F.lit("!"))).otherwise(F.col("record")))
+    return audit.verify_chain(changed, "chain", hot_rows=1000).select("chain", "entries", "first_break", "valid")
+
+
+#: Entries of each chain that an earlier run has checked.
+CHECKED = 40
+
+
+@query
+def audit_verify_on(spark, sf):
+    """Chains go on from what was checked: only later entries are read."""
+    entries = materialised(_chain(spark, sf), "chain")
+    after = audit.checked(entries.where(F.col("sequence") <= CHECKED), "user_id")
+    bad = (F.col("timestamp").cast("long") % 97 == 0) & (F.col("sequence") > CHECKED)
+    changed = entries.withColumn("record", F.when(bad, F.concat("record", F.lit("!"))).otherwise(F.col("record")))
+    return audit.verify_chain(changed, "user_id", after).select("user_id", "entries", "first_break", "valid")
+
+
+@query
+def audit_merkle(spark, sf):
+    """Roots of trees with leaves of 16 entries and four children a node."""
+    return audit.merkle_roots(audit.merkle_leaves(_chain(spark, sf), "user_id", 16), "user_id", 4).select("user_id", "entries", "last_hash", "root")
+
+
 @query
 def approval_fold(spark, sf):
     e = F.col("event_id")
