@@ -39,7 +39,7 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, per_batch, table
@@ -419,8 +419,13 @@ def dedup_strings(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",), lengt
     return clean.unionByName(cleaned)
 
 
+def text_of(kept: Column) -> Column:
+    """Bytes as text; of a character that lost some of its bytes U+FFFD is left."""
+    return F.make_valid_utf8(kept.cast("string"))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Also kept_bytes, how many are left, and text, what they say (a character that lost some of its bytes is U+FFFD)."""
     rows = dedup_strings(table(spark, sf_dir, "documents"))
-    left = [F.octet_length("kept").cast("long").alias("kept_bytes"), F.decode(F.col("kept"), "UTF-8").alias("text")]
+    left = [F.octet_length("kept").cast("long").alias("kept_bytes"), text_of(F.col("kept")).alias("text")]
     return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2(F.col("kept"), 256).alias("kept_sha256"), *left)

@@ -4,6 +4,7 @@ from collections import Counter
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from rampart.llm import hashing, suffix_dedup
 from rampart.llm.suffix_dedup import Suffixes, dedup_strings, merge_sort, merged, op4_suffix_dedup, ranges, repeats
@@ -126,6 +127,11 @@ def test_a_forged_context_removes_nothing(spark):
         cut(batch(b"abcxef"))
 
 
+def test_text_of_cut_characters(spark):
+    df = spark.createDataFrame([(b"a\xc3\xa9b\xa9c\xc3",), (b"",), (None,)], "kept binary").select(suffix_dedup.text_of(F.col("kept")).alias("t"))
+    assert [r.t for r in df.collect()] == ["a\u00e9b\ufffdc\ufffd", "", None]
+
+
 def test_many_kinds_meet_in_deals(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "BROADCAST_TEXTS", 1)
     rows = passages()
