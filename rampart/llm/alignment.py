@@ -28,7 +28,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
@@ -94,7 +93,10 @@ class Aligner:
         n = self.b.get_piece_size()
         entries = [self.b.id_to_piece(i) for i in range(n)]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(entries)]
-        self.names = [str(i) for i in range(max(n, len(self.bytes_a)))]
+        self.sizes_a, self.sizes_b = (np.array([len(x) for x in y]) for y in (self.bytes_a, self.bytes_b))
+        self.n_names = max(n, len(self.bytes_a))
+        self.names = [f"{i}{mark}" for mark in ",|;" for i in range(self.n_names)]
+        self.name_sizes = np.array([len(x) for x in self.names])
         self.together = {p[k : k + 2] for i, p in enumerate(entries) if not self.b.is_byte(i) for k in range(len(p) - 1)}
         self.cuts = not any(x[0] != "▁" and x[1] == "▁" for x in self.together)
         # What B makes of a line end: then texts without a space in front can be read behind one.
@@ -104,50 +106,55 @@ class Aligner:
         self.before: dict[str, Piece | None] = {}
         self.bare: dict[str, Piece | None] = {}
 
-    def _made(self, wanted: bytes, a: list[int], b: list[int]) -> Piece | None:
-        """None if a side's bytes aren't the wanted ones."""
-        bytes_a, bytes_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
-        if b"".join(bytes_a) != wanted or b"".join(bytes_b) != wanted:
-            return None
-        n_a, n_b = len(a), len(b)
-        if n_b == 1:
-            high = b[0] << 32
-            return n_a, 1, 1, tuple([high | i for i in a]), f"{','.join([self.names[i] for i in a])}|{b[0]}"
-        if n_a == 1:
-            low = a[0]
-            return 1, n_b, 1, tuple([i << 32 | low for i in b]), f"{low}|{','.join([self.names[i] for i in b])}"
-        names, links, groups = self.names, [], []
-        i = j = 0
-        x, y = a[0], b[0]
-        text_a, text_b = names[x], names[y]
-        end_a, end_b = len(bytes_a[0]), len(bytes_b[0])
-        while True:
-            links.append(y << 32 | x)
-            if end_a < end_b:
-                i += 1
-                x = a[i]
-                text_a += "," + names[x]
-                end_a += len(bytes_a[i])
-            elif end_b < end_a:
-                j += 1
-                y = b[j]
-                text_b += "," + names[y]
-                end_b += len(bytes_b[j])
-            else:
-                groups.append(f"{text_a}|{text_b}")
-                i, j = i + 1, j + 1
-                if i == n_a:
-                    break
-                x, y = a[i], b[j]
-                text_a, text_b = names[x], names[y]
-                end_a += len(bytes_a[i])
-                end_b += len(bytes_b[j])
-        return n_a, n_b, len(groups), tuple(links), ";".join(groups)
+    def _made(self, wanted: list[bytes], a: list[list[int]], b: list[list[int]]) -> list[Piece | None]:
+        """Figures of texts from their bytes and ids, None where a side's bytes aren't the text's. All are worked out at once: texts end where both sides' tokens do."""
+        flat_a, flat_b = (np.fromiter(chain.from_iterable(x), dtype=np.int64) for x in (a, b))
+        n_a, n_b = (np.array([len(x) for x in y], dtype=np.int64) for y in (a, b))
+        sums = [np.append(0, np.cumsum(sizes[flat])) for sizes, flat in ((self.sizes_a, flat_a), (self.sizes_b, flat_b))]
+        size_a, size_b = (np.diff(x[np.append(0, np.cumsum(n))]) for x, n in zip(sums, (n_a, n_b), strict=True))
+        sizes = np.array([len(w) for w in wanted], dtype=np.int64)
+        fine = (size_a == sizes) & (size_b == sizes) & (sizes > 0)
+        if fine.all():
+            whole = b"".join(wanted)
+            if b"".join([self.bytes_a[i] for i in flat_a.tolist()]) == whole and b"".join([self.bytes_b[i] for i in flat_b.tolist()]) == whole:
+                return self._grouped(flat_a, flat_b, n_a, n_b)
+            fine = np.array([b"".join([self.bytes_a[i] for i in x]) == w == b"".join([self.bytes_b[i] for i in y]) for w, x, y in zip(wanted, a, b, strict=True)])
+        at = np.flatnonzero(fine).tolist()
+        out: list[Piece | None] = [None] * len(wanted)
+        if at:
+            for k, x in zip(at, self._made([wanted[k] for k in at], [a[k] for k in at], [b[k] for k in at]), strict=True):
+                out[k] = x
+        return out
+
+    def _grouped(self, flat_a: np.ndarray, flat_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> list[Piece]:
+        if not len(n_a):
+            return []
+        end_a, end_b = np.cumsum(self.sizes_a[flat_a]), np.cumsum(self.sizes_b[flat_b])
+        # The B tokens that each A token meets.
+        first = np.searchsorted(end_b, end_a - self.sizes_a[flat_a], side="right")
+        last = np.searchsorted(end_b, end_a, side="left")
+        met = last - first + 1
+        after = np.cumsum(met)
+        links = (flat_b[np.arange(after[-1]) + np.repeat(first - (after - met), met)] << 32 | np.repeat(flat_a, met)).tolist()
+        ends_a, ends_b = end_b[last] == end_a, end_a[np.searchsorted(end_a, end_b)] == end_b
+        group_a, group_b = np.cumsum(ends_a) - ends_a, np.cumsum(ends_b) - ends_b
+        # Ids in the order of groups, each with what follows it: a comma, a bar after the last A id, a semicolon after the last B id.
+        codes = np.empty(len(flat_a) + len(flat_b), dtype=np.int64)
+        codes[np.arange(len(flat_a)) + np.searchsorted(group_b, group_a, side="left")] = flat_a + self.n_names * ends_a
+        codes[np.arange(len(flat_b)) + np.searchsorted(group_a, group_b, side="right")] = flat_b + 2 * self.n_names * ends_b
+        names = self.names
+        text = "".join([names[c] for c in codes.tolist()])
+        until_a, until = np.cumsum(n_a), np.cumsum(n_a + n_b)
+        n_groups = np.diff(np.append(0, np.cumsum(ends_a)[until_a - 1])).tolist()
+        ends = np.cumsum(self.name_sizes[codes])[until - 1].tolist()
+        links_end = after[until_a - 1].tolist()
+        rows = zip(n_a.tolist(), n_b.tolist(), n_groups, [0, *links_end], links_end, [0, *ends], ends, strict=False)
+        return [(x, y, g, tuple(links[i:j]), text[k : m - 1]) for x, y, g, i, j, k, m in rows]
 
     def _many(self, texts: list[str]) -> list[Piece | None]:
         """Texts, each with a space in front."""
-        spaced, ids_b = [" " + t for t in texts], self.b.encode(texts, num_threads=1)
-        return [self._made(t.encode(), a, b) for t, a, b in zip(spaced, self._ids_a(spaced), ids_b, strict=True)]
+        spaced = [" " + t for t in texts]
+        return self._made([t.encode() for t in spaced], self._ids_a(spaced), self.b.encode(texts, num_threads=1) if texts else [])
 
     def _ids_a(self, texts: list[str]) -> list[list[int]]:
         """Words are one pre-token each and go to A's model itself."""
@@ -184,61 +191,74 @@ class Aligner:
             return [piece]
         return atoms
 
-    def _learn(self, pieces: set[str]) -> dict[str, Piece | None]:
+    def _learn(self, pieces: list[str]) -> list[Piece | None]:
         """Figures of pieces that aren't known."""
-        cut = {p: self._atoms(p) for p in pieces}
-        spaced = list({a[0] for a in cut.values()})
-        found = {p: self._held(p) for p in spaced}
-        new = [p for p in spaced if found[p] is False]
+        cut = list(map(self._atoms, pieces))
+        known, before, bare = self.known, self.before, self.bare
+        found: dict[str, Piece | None] = {}
+        for first, *_ in cut:
+            found[first] = known[first] if first in known else before.get(first, False)
+        new = [p for p, x in found.items() if x is False]
         found |= zip(new, self._many(new), strict=True)
-        if len(self.bare) > CACHE_ENTRIES:
-            self.bare.clear()
-        more = list({x for a in cut.values() for x in a[1:]} - self.bare.keys())
+        if len(bare) > CACHE_ENTRIES:
+            bare.clear()
+        more = list({x for atoms in cut for x in atoms[1:] if x not in bare})
         if more:
             ids_b = self.b.encode([_BEYOND + t for t in more], num_threads=1)
-            for t, a, b in zip(more, self._ids_a(more), ids_b, strict=True):
-                self.bare[t] = self._made(t.encode(), a, b[2:]) if b[:2] == self.line_end else None
-        out = {}
-        for piece, (first, *rest) in cut.items():
-            parts = [found[first], *(self.bare[x] for x in rest)]
-            if any(x is None for x in parts):
-                out[piece] = None
-            else:
-                whole = parts[0]
-                for x in parts[1:]:
-                    whole = whole[0] + x[0], whole[1] + x[1], whole[2] + x[2], whole[3] + x[3], f"{whole[4]};{x[4]}"
-                out[piece] = whole
-        return out | found
-
-    def _held(self, piece: str) -> Piece | None | bool:
-        """False if it isn't known."""
-        return self.known[piece] if piece in self.known else self.before.get(piece, False)
-
-    def of_many(self, texts: list[str | None]) -> list[tuple[int, int, int, int, str, Counter]]:
-        """For each text n_a, n_b, n_groups, n_links, groups_sha256 and the multiplicity of each pair (B id << 32 | A id)."""
-        cut = [self.pieces(t) if t else [] for t in texts]
-        own = set(chain.from_iterable(cut))
-        known, before = self.known, self.before
-        used = {p: known[p] if p in known else before.get(p, False) for p in own}
-        used |= self._learn({p for p, x in used.items() if x is False})
+            alone = [b[:2] == self.line_end for b in ids_b]
+            made = self._made([t.encode() for t in more], self._ids_a(more), [b[2:] for b in ids_b])
+            bare |= {t: x if fine else None for t, x, fine in zip(more, made, alone, strict=True)}
         out = []
-        for text, pieces in zip(texts, cut, strict=True):
-            found = [used[p] for p in pieces]
-            if None in found:
-                one = self.whole(text)
-                found = [] if one is None else [one]
-            if not found:
-                out.append((0, 0, 0, 0, "", Counter()))
-                continue
-            n_a, n_b, n_groups, links, names = zip(*found, strict=True)
-            digest = hashlib.sha256(";".join(names).encode()).hexdigest()
-            all_a, all_b, all_groups = sum(n_a), sum(n_b), sum(n_groups)
-            out.append((all_a, all_b, all_groups, all_a + all_b - all_groups, digest, Counter(chain.from_iterable(links))))
-        for p, x in used.items():
+        for first, *rest in cut:
+            whole = found[first]
+            for x in rest:
+                part = bare[x]
+                if whole is None or part is None:
+                    whole = None
+                    break
+                whole = whole[0] + part[0], whole[1] + part[1], whole[2] + part[2], whole[3] + part[3], f"{whole[4]};{part[4]}"
+            out.append(whole)
+        self._keep(found)
+        return out
+
+    def _keep(self, found: dict[str, Piece | None]) -> None:
+        for p, x in found.items():
             if len(p) <= CACHED_LENGTH:
                 if len(self.known) >= CACHE_ENTRIES:
                     self.before, self.known = self.known, {}
                 self.known[p] = x
+
+    def of_many(self, texts: list[str | None]) -> list[tuple[int, int, int, int, str, np.ndarray, np.ndarray]]:
+        """For each text n_a, n_b, n_groups, n_links, groups_sha256, and the pairs (B id << 32 | A id) in order with their multiplicities."""
+        cut = [self.pieces(t) if t else [] for t in texts]
+        at: dict[str, int] = {}
+        codes = np.fromiter((at.setdefault(p, len(at)) for p in chain.from_iterable(cut)), dtype=np.int64, count=sum(map(len, cut)))
+        known, before = self.known, self.before
+        held = [known[p] if p in known else before.get(p, False) for p in at]
+        new = [(k, p) for (p, k), x in zip(at.items(), held, strict=True) if x is False]
+        for (k, _), x in zip(new, self._learn([p for _, p in new]), strict=True):
+            held[k] = x
+        self._keep(dict(zip(at, held, strict=True)))
+        figures = np.array([x[:3] if x is not None else (-1, 0, 0) for x in held], dtype=np.int64).reshape(-1, 3)
+        count = np.array([len(x[3]) if x is not None else 0 for x in held], dtype=np.int64)
+        pairs = np.fromiter(chain.from_iterable([x[3] for x in held if x is not None]), dtype=np.int64, count=count.sum())
+        start = np.cumsum(count) - count
+        names = [x[4] if x is not None else "" for x in held]
+        out, k = [], 0
+        for text, pieces in zip(texts, cut, strict=True):
+            own = codes[k : k + len(pieces)]
+            k += len(pieces)
+            each = figures[own]
+            if len(own) and (each[:, 0] < 0).any():
+                one = self.whole(text)
+                own_pairs, total, name = (np.array(one[3], dtype=np.int64), one[:3], one[4]) if one is not None else (pairs[:0], (0, 0, 0), "")
+            else:
+                n = count[own]
+                after = np.cumsum(n)
+                own_pairs = pairs[np.arange(after[-1] if len(n) else 0) + np.repeat(start[own] - (after - n), n)]
+                total, name = each.sum(axis=0).tolist(), ";".join([names[c] for c in own.tolist()])
+            digest = hashlib.sha256(name.encode()).hexdigest() if name else ""
+            out.append((*total, len(own_pairs), digest, *np.unique(own_pairs, return_counts=True)))
         return out
 
 
@@ -260,7 +280,7 @@ def aligned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
         def flush() -> pa.RecordBatch:
             offsets = np.zeros(len(rows) + 1, dtype=np.int32)
             np.cumsum([len(p) for p in pairs], out=offsets[1:])
-            values = pa.StructArray.from_arrays([pa.array(np.concatenate(pairs), pa.int64()), pa.array(np.concatenate(ms), pa.int32())], fields=list(_POSTING))
+            values = pa.StructArray.from_arrays([pa.array(np.concatenate(pairs), pa.int64()), pa.array(np.concatenate(ms).astype(np.int32))], fields=list(_POSTING))
             columns = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), [pa.int64()] * 6 + [pa.string()], strict=True)]
             out = pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(offsets), values)], names=["ref", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "postings"])
             rows.clear(), pairs.clear(), ms.clear()
@@ -269,13 +289,11 @@ def aligned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
         for batch in batches:
             held, ids = 0, batch.column(0).to_pylist()
             for first, texts in text_chunks(batch):
-                for k, (n_a, n_b, n_groups, n_links, digest, counts) in enumerate(align.of_many(texts), first):
-                    own = np.fromiter(counts, dtype=np.int64, count=len(counts))
-                    order = np.argsort(own)
+                for k, (n_a, n_b, n_groups, n_links, digest, own, counts) in enumerate(align.of_many(texts), first):
                     rows.append((ref, ids[k], n_a, n_b, n_groups, n_links, digest))
-                    pairs.append(own[order])
-                    ms.append(np.fromiter(counts.values(), dtype=np.int32, count=len(counts))[order])
-                    ref, held = ref + 1, held + len(counts)
+                    pairs.append(own)
+                    ms.append(counts)
+                    ref, held = ref + 1, held + len(own)
                     if held >= HELD_POSTINGS:
                         yield flush()
                         held = 0

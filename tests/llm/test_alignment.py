@@ -93,8 +93,8 @@ def test_texts_cut_at_spaces_are_as_whole_ones(tokenizers):
     made += [f"{w}{m}" for w in ("Word", "été", "s", "é̂") for m in (",", ".\nNext", "%%%", "'s", "...\nA.\nB!?", "\n", "\n\nx", "/a", "_b", "ʼ")]
     for text, got in zip([*TEXTS, *made], align.of_many([*TEXTS, *made]), strict=True):
         one = align.whole(text) if text else None
-        want = (0, 0, 0, 0, "", Counter()) if one is None else (one[0], one[1], one[2], len(one[3]), hashlib.sha256(one[4].encode()).hexdigest(), Counter(one[3]))
-        assert got == want, repr(text)
+        want = (0, 0, 0, 0, "", {}) if one is None else (one[0], one[1], one[2], len(one[3]), hashlib.sha256(one[4].encode()).hexdigest(), Counter(one[3]))
+        assert (*got[:5], dict(zip(*(x.tolist() for x in got[5:]), strict=True))) == want, repr(text)
 
 
 def test_against_every_token(spark, tokenizers, sf):
@@ -117,7 +117,7 @@ def test_a_bounded_table_forgets(tokenizers, monkeypatch):
     align = Aligner(tokenizer_path(), piece_path())
     text = " ".join(f"w{i % 11}" for i in range(200))
     one = align.whole(text)
-    assert align.of_many([text, "w0", text])[2][:4] == (one[0], one[1], one[2], len(one[3])) and len(align.known) <= 3 and align.of_many(["w1 w2"]) == align.of_many(["w1 w2"])
+    assert align.of_many([text, "w0", text])[2][:4] == (one[0], one[1], one[2], len(one[3])) and len(align.known) <= 3 and align.of_many(["w1 w2"])[0][:5] == align.of_many(["w1 w2"])[0][:5]
 
 
 def test_odd_rows(spark, tokenizers):
