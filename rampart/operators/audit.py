@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import hashlib
-import json
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import canonical, masked
+from ..functions.text import canonical, masked, parsed
 from ..sources.shared import materialised
 from .scans import HOT_ROWS, Fold, scanned
 
@@ -37,9 +36,9 @@ def _linked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chain, first, start, stamp, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if at is None or at[0] != (chain,):
                 at = ((chain,), first, start)
-            record = json.loads(text)
-            if not isinstance(record, dict):
-                raise ValueError("an audit record must be an object")
+            record = parsed(text) if text is not None else None
+            # What isn't an object is on record too, as what it was.
+            record = record if isinstance(record, dict) else {"invalid_record": text}
             record, sequence, previous = masked(record), at[1] + 1, at[2]
             payload = canonical({"record": record, "sequence": sequence, "timestamp": stamp})
             at = (at[0], sequence, hashlib.sha256((previous + payload).encode()).hexdigest())
@@ -59,7 +58,7 @@ def heads(entries: DataFrame, chain: str) -> DataFrame:
 def build_chain(rows: DataFrame, chain: str, order: tuple[str, ...], timestamp: str, record: str, after: DataFrame | None = None) -> DataFrame:
     """chain, sequence (from 1), timestamp, record (canonical, secrets masked), previous_hash and entry_hash.
 
-    record: JSON text of an object. after: heads() of chains that go on. A chain is linked in order by one task, which holds
+    record: JSON text of an object; any other text is entered as {"invalid_record": text}. after: heads() of chains that go on. A chain is linked in order by one task, which holds
     one hash of it; chains by day or partition are linked side by side. Order ties are broken by the order columns given.
     """
     if after is not None:

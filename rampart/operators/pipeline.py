@@ -74,10 +74,13 @@ def unified(df: DataFrame, module: str, event_id: str = "event_id", structured:
     return df.select(F.col(event_id).cast("string").alias("event_id"), F.lit(module).alias("module"), (F.col("score") / 100).alias("risk_score"), level_of(decision).alias("risk_level"), decision.alias("decision"), said.alias("reason"), rules.alias("matched_rules"), evidence.alias("evidence"), at.alias("timestamp"))
 
 
-def validated(verdicts: DataFrame) -> DataFrame:
-    """Unified verdicts; a row with an empty id, a score outside 0 to 1, an unknown decision or level, or null lists raises."""
+def validated(verdicts: DataFrame, strict: bool = False) -> DataFrame:
+    """Unified verdicts with `error`. A row with an empty id, a score outside 0 to 1, an unknown decision or level, or null lists is blocked and says so; strict: it raises."""
     bad = (F.coalesce("event_id", F.lit("")) == "") | ~F.col("risk_score").between(0, 1) | rank(F.col("decision"), DECISIONS).isNull() | rank(F.col("risk_level"), LEVELS).isNull() | F.col("matched_rules").isNull() | F.col("evidence").isNull()
-    return verdicts.withColumn("decision", F.when(F.coalesce(bad, F.lit(True)), F.raise_error(F.concat(F.lit("invalid verdict "), F.coalesce("event_id", F.lit("?")))).cast("string")).otherwise(F.col("decision")))
+    said = F.concat(F.lit("invalid verdict "), F.coalesce("event_id", F.lit("?")))
+    df = verdicts.withColumn("error", F.when(F.coalesce(bad, F.lit(True)), F.raise_error(said).cast("string") if strict else said))
+    wrong = F.col("error").isNotNull()
+    return df.withColumn("decision", F.when(wrong, DECISIONS[-1]).otherwise(F.col("decision"))).withColumn("risk_level", F.when(wrong, LEVELS[-1]).otherwise(F.col("risk_level")))
 
 
 def merged(verdicts: DataFrame) -> DataFrame:

@@ -63,19 +63,22 @@ def _is(value: Column, names) -> Column:
     return F.coalesce(value.isin(*names), F.lit(False))
 
 
-def policy_verdicts(requests: DataFrame, policy: Policy | None = None) -> DataFrame:
+def policy_verdicts(requests: DataFrame, policy: Policy | None = None, strict: bool = False) -> DataFrame:
     """requests (role, tool_name, operation, classification, environment, destination) with policy_findings and policy_decision.
 
-    An unknown role is blocked before all else. An unknown classification raises.
+    An unknown role is blocked before all else. An unknown classification is a finding that blocks; strict: it raises.
     """
     p = policy or Policy()
     clearance = F.coalesce(*(F.when(F.col("role") == r, CLASSES.index(c)) for r, c in p.role_clearance.items()))
     permitted = F.coalesce(*(F.when(F.col("role") == r, F.col("operation").isin(*ops)) for r, ops in p.role_allowed_operations.items()), F.lit(False))
     cls = rank(F.col("classification"), CLASSES)
-    cls = F.when(cls.isNull(), F.raise_error(F.lit("unknown classification")).cast("int")).otherwise(cls)
+    odd = cls.isNull()
+    if strict:
+        cls = F.when(odd, F.raise_error(F.lit("unknown classification")).cast("int")).otherwise(cls)
     outside = external(F.col("destination"), F.array(*map(F.lit, p.trusted_destination_suffixes)))
     blocked = _is(F.col("tool_name"), p.always_block_tools)
     rules = [
+        (odd, "unknown_classification", "block"),
         (cls > clearance, "classification_exceeds_clearance", "block"),
         (~permitted, "operation_not_permitted_for_role", "block"),
         (~_is(F.col("tool_name"), p.tool_risk), "unknown_tool_requires_review", "review"),

@@ -24,7 +24,7 @@ HOT_ROWS, HOT_SHARE = 100_000, 10_000
 
 @dataclass(frozen=True)
 class Fold:
-    """What the rows before make of a value. how: max, count (of rows), last, or first (which takes in the row itself)."""
+    """What the rows before make of a value. how: max, count (of rows, or of those with a value), last, or first (which takes in the row itself)."""
 
     name: str
     how: str
@@ -35,7 +35,7 @@ class Fold:
         if self.how == "max":
             return F.max(self.value).over(before)
         if self.how == "count":
-            return F.count(F.lit(1)).over(before)
+            return F.count(F.lit(1) if self.value is None else self.value).over(before)
         held = F.struct(self.value.alias("v"))
         return (F.last(held) if self.how == "last" else F.first(held)).over(before if self.how == "last" else upto)
 
@@ -44,7 +44,7 @@ class Fold:
         if self.how == "max":
             return F.max(self.value)
         if self.how == "count":
-            return F.count(F.lit(1))
+            return F.count(F.lit(1) if self.value is None else self.value)
         held = F.struct(self.value.alias("v"))
         return F.max_by(held, order) if self.how == "last" else F.min_by(held, order)
 

@@ -16,9 +16,11 @@ CREDENTIAL = r"(?iu)(api\s*key|token|cookie|密码|密钥|私钥|credential|secr
 SENSITIVE = r"(?iu)(内部|敏感|机密|客户|员工|审批|身份证|手机号|数据库)"
 
 
-def _class(value: Column) -> Column:
+def _class(value: Column, strict: bool) -> Column:
+    """The rank of a class. An unknown one is the highest, or raises."""
     found = rank(F.lower(value), CLASSES)
-    return F.when(found.isNull(), F.raise_error(F.lit("unknown classification")).cast("int")).otherwise(found)
+    odd = F.raise_error(F.lit("unknown classification")).cast("int") if strict else F.lit(len(CLASSES) - 1)
+    return F.when(found.isNull(), odd).otherwise(found)
 
 
 def chain_decision(operation: Column, tool: Column, destination: Column, outside: Column, prior_class: Column, credential: Column, sensitive: Column, earlier: Column) -> tuple[Column, Column]:
@@ -32,21 +34,26 @@ def chain_decision(operation: Column, tool: Column, destination: Column, outside
     return rules, F.when(one | two, "block").when(three | four, "review").otherwise("allow")
 
 
-def session_verdicts(events: DataFrame, order: tuple[str, ...] = ("ts", "event_id"), suffixes: tuple[str, ...] = (".gov.cn",), hot_rows: int = HOT_ROWS) -> DataFrame:
+def session_verdicts(events: DataFrame, order: tuple[str, ...] = ("ts", "event_id"), suffixes: tuple[str, ...] = (".gov.cn",), hot_rows: int = HOT_ROWS, strict: bool = False) -> DataFrame:
     """events (session_id, principal_id, input_text, tool_name, operation, classification, destination) with the state
-    before each row, chain_rules and chain_decision. Only reads and searches raise the class. Another principal than the
-    session's first raises. A row is judged on what came before it, in the given order. A session of any number of rows
+    before each row, chain_rules and chain_decision. Only reads and searches raise the class. A row of another principal
+    than the session's first is blocked and no part of the session; one of an unknown class is blocked and counts as of the
+    highest. strict: both raise. A row is judged on what came before it, in the given order. A session of any number of rows
     is scanned by many tasks, once it has hot_rows."""
-    op, text, cls = F.lower("operation"), F.coalesce(F.col("input_text"), F.lit("")), _class(F.col("classification"))
+    op, text, cls = F.lower("operation"), F.coalesce(F.col("input_text"), F.lit("")), _class(F.col("classification"), strict)
     outside = external(F.col("destination"), F.array(*map(F.lit, suffixes)))
+    owned = F.col("_owner").eqNullSafe(F.col("principal_id"))
+    df = scanned(events, "session_id", order, [Fold("_owner", "first", F.col("principal_id"))], hot_rows)
     folds = [
-        Fold("prior_class", "max", F.when(op.isin(*READS), cls)), Fold("prior_credential", "max", text.rlike(CREDENTIAL)),
-        Fold("prior_sensitive", "max", text.rlike(SENSITIVE) | (cls >= 1)), Fold("prior_events", "count"), Fold("_owner", "first", F.col("principal_id")),
+        Fold("prior_class", "max", F.when(owned & op.isin(*READS), cls)), Fold("prior_credential", "max", owned & text.rlike(CREDENTIAL)),
+        Fold("prior_sensitive", "max", owned & (text.rlike(SENSITIVE) | (cls >= 1))), Fold("prior_events", "count", F.when(owned, 1)),
     ]
-    df = scanned(events, "session_id", order, folds, hot_rows).fillna(0, ["prior_class"]).fillna(False, ["prior_credential", "prior_sensitive"])
+    df = scanned(df, "session_id", order, folds, hot_rows).fillna(0, ["prior_class"]).fillna(False, ["prior_credential", "prior_sensitive"])
     rules, decision = chain_decision(op, F.col("tool_name"), F.col("destination"), outside, F.col("prior_class"), F.col("prior_credential"), F.col("prior_sensitive"), F.least("prior_events", F.lit(KEPT)))
-    owned = F.col("_owner").eqNullSafe(F.col("principal_id"))
-    decision = F.when(~owned, F.raise_error(F.lit("session belongs to another principal")).cast("string")).otherwise(decision)
+    odd = rank(F.lower("classification"), CLASSES).isNull()
+    wrong = F.raise_error(F.lit("session belongs to another principal")).cast("string") if strict else F.lit("block")
+    decision = F.when(~owned, wrong).when(odd, "block").otherwise(decision)
+    rules = F.when(~owned, F.array(F.lit("session_of_another_principal"))).when(odd, F.concat(F.array(F.lit("unknown_classification")), rules)).otherwise(rules)
     return df.withColumn("chain_rules", rules).withColumn("chain_decision", decision).drop("_owner")
 
 

@@ -61,7 +61,7 @@ def test_scores_add_up(spark):
     for m in r.matches:
         by[m.category] = max(by.get(m.category, 0), m.effective_weight)
     top = max(by.values())
-    bonus = 10 * ({m.rule_id for m in r.matches} >= {"permission_bypass"} and by.get("sensitive_data_access", 0) >= 30)
+    bonus = 10 * (bool({m.rule_id for m in r.matches} & {"permission_bypass", "heuristic_control_bypass"}) and by.get("sensitive_data_access", 0) >= 30)
     assert r.score == min(100, (top * 100 + (sum(by.values()) - top) * 10 + bonus * 100 + 50) // 100)
 
 
@@ -131,7 +131,10 @@ def test_encoded_sources_together(spark):
 @pytest.mark.parametrize("bad", [src(" "), src("x" * 50_001), src("a", "carrier"), src("a", trust="odd"), src("a", cls="odd"), src("a", origin="o" * 2049)])
 def test_bad_envelopes_raise(spark, bad):
     with pytest.raises(Exception, match="invalid source envelope"):
-        multisource.checked_sources(events(spark, [("e", [bad], None, None, None)])).collect()
+        multisource.checked_sources(events(spark, [("e", [bad], None, None, None)]), strict=True).collect()
+    rows = [("bad", [bad], "shell", "execute", None), ("fine", [src("hello")], None, None, None)]
+    got = {r.event_id: r for r in multisource.multisource_verdicts(events(spark, rows), full=False).collect()}
+    assert (got["bad"].decision, got["bad"].matched_rules, got["fine"].decision) == ("block", ["invalid_source_envelope"], "allow")
 
 
 def test_fragments_spell_an_order(spark):
@@ -206,7 +209,9 @@ def test_policy(spark, tmp_path):
     assert [r.policy_decision for r in got] == ["allow", "block", "block", "review", "block", "allow"]
     assert got[0].policy_findings == ["policy_satisfied"] and got[2].policy_findings == ["unknown_role"] and got[4].policy_findings == ["classified_data_external_destination"]
     with pytest.raises(Exception, match="unknown classification"):
-        policy.policy_verdicts(spark.createDataFrame([("guest", "x", "read", "odd", None, None)], columns)).collect()
+        policy.policy_verdicts(spark.createDataFrame([("guest", "x", "read", "odd", None, None)], columns), strict=True).collect()
+    odd = policy.policy_verdicts(spark.createDataFrame([("employee", "file_read", "read", "odd", "test", None), rows[0], ("employee", "file_read", "read", None, "test", None)], columns)).collect()
+    assert [(r.policy_decision, r.policy_findings) for r in odd] == [("block", ["unknown_classification"]), ("allow", ["policy_satisfied"]), ("block", ["unknown_classification"])]
     (tmp_path / "p.json").write_text(json.dumps({"role_clearance": {}}))
     with pytest.raises(ValueError, match="policy lacks"):
         policy.read_policy(spark, str(tmp_path / "p.json"))
@@ -231,7 +236,13 @@ def test_session_windows(spark):
     assert got[100].chain_decision == "allow" and got[101].chain_decision == "review" and got[101].prior_class == 0
     other = session_rows()[:2] + [("s", "q", 9, datetime(2026, 1, 2), "x", "file_read", "read", "public", None)]
     with pytest.raises(Exception, match="another principal"):
-        session.session_verdicts(spark.createDataFrame(other, SESSION)).collect()
+        session.session_verdicts(spark.createDataFrame(other, SESSION), strict=True).collect()
+    # A stranger's row is blocked and leaves the session as it was; one of no known class counts as secret.
+    t = datetime(2026, 1, 1)
+    mixed = [("s", who, i, t + timedelta(minutes=i), text, "http_post" if op == "export" else "file_read", op, cls, "https://evil.example" if op == "export" else None) for i, (who, text, op, cls) in enumerate([("p", "hi", "read", "public"), ("q", "密码", "read", "secret"), ("p", "go", "export", "public"), ("p", "hi", "read", "odd"), ("p", "go", "export", "public")])]
+    for hot_rows in (0, 1000):
+        got = {r.event_id: (r.chain_decision, r.chain_rules, r.prior_events) for r in session.session_verdicts(spark.createDataFrame(mixed, SESSION), hot_rows=hot_rows).collect()}
+        assert got[1][:2] == ("block", ["session_of_another_principal"]) and got[2] == ("allow", [], 1) and got[3][:2] == ("block", ["unknown_classification"]) and got[4] == ("block", ["task_chain_classified_read_then_external_write"], 3)
 
 
 def test_streamed_sessions_agree(spark, tmp_path):
@@ -276,8 +287,9 @@ def test_audit_chain(spark, tmp_path):
     assert {(r.day, r.entries, r.valid) for r in audit.verify_chain(held, "day").collect()} == {(0, 6, True), (1, 5, True), (7, 1, True)}
     assert {(r.day, r.sequence, r.entry_hash) for r in held.where("day < 7").collect()} == {(r.day, r.sequence, r.entry_hash) for r in chain.collect()}
     assert audit.tail(chain.where("day = 0"), 2).collect()[0].sequence == 6
-    with pytest.raises(Exception, match="must be an object"):
-        audit.build_chain(spark.createDataFrame([(1, 1, "t", "[1]")], rows.schema), "day", ("n",), "at", "rec").collect()
+    odd = audit.build_chain(spark.createDataFrame([(1, 1, "t", "[1]"), (1, 2, "t", "{"), (1, 3, "t", None), (1, 4, "t", '{"a":1}')], rows.schema), "day", ("n",), "at", "rec")
+    assert [r.record for r in odd.orderBy("sequence").collect()] == ['{"invalid_record":"[1]"}', '{"invalid_record":"{"}', '{"invalid_record":null}', '{"a":1}']
+    assert audit.verify_chain(odd, "day").first().valid
 
 
 def test_streamed_chain_goes_on(spark, tmp_path):
@@ -326,7 +338,11 @@ def test_unified_verdicts(spark):
     got = {r.event_id: r for r in v.collect()}
     assert got["e1"].matched_rules and got["e2"].risk_score == 0 and 0 < got["e1"].risk_score <= 1
     with pytest.raises(Exception, match="invalid verdict"):
-        pipeline.validated(v.withColumn("risk_score", F.lit(2.0))).collect()
+        pipeline.validated(v.withColumn("risk_score", F.lit(2.0)), strict=True).collect()
+    odd = pipeline.validated(v.withColumn("risk_score", F.when(F.col("event_id") == "e2", 2.0).otherwise(F.col("risk_score"))))
+    assert {r.event_id: (r.decision == "block", r.error) for r in odd.collect() if r.event_id == "e2"} == {"e2": (True, "invalid verdict e2")} and odd.where("error IS NULL").count() == 1
+    json_rows = spark.createDataFrame([('{"password":"x"}',), ("not json password=abcdefgh",), (None,), ("[" * 5000,)], "t string").select(T.redacted_json("t").alias("r")).collect()
+    assert "abcdefgh" not in json_rows[1].r and json_rows[1].r[0] == '"' and json_rows[2].r is None and len(json_rows) == 4
     both = v.unionByName(v.withColumn("module", F.lit("tool")).withColumn("decision", F.lit("review")))
     assert {r.decision for r in pipeline.merged(both).collect()} <= {"review", "block"}
 
