@@ -1,5 +1,6 @@
 """WARC bundles and media files."""
 
+import contextlib
 import hashlib
 import zlib
 
@@ -123,6 +124,87 @@ def test_broken_media():
         store(b"abc")
 
 
+def by_hand(kind, *parts):
+    """A box as the standard writes it: size, type, content."""
+    body = b"".join(parts)
+    return (8 + len(body)).to_bytes(4, "big") + kind + body
+
+
+def u(*values, n=4):
+    return b"".join(v.to_bytes(n, "big") for v in values)
+
+
+def movie(tables, version=0, timescale=90_000, duration=9_000, number=1, more=b""):
+    times = u(0, 0, n=8) + u(timescale) + u(duration, n=8) if version else u(0, 0, timescale, duration)
+    dates = u(0, 0, n=8) if version else u(0, 0)
+    mdhd = by_hand(b"mdhd", u(version << 24), times, u(0x55C4, 0, n=2))
+    hdlr = by_hand(b"hdlr", u(0, 0), b"vide", bytes(12), b"\0")
+    stsd = by_hand(b"stsd", u(0, 1), by_hand(b"avc1", bytes(78)))
+    tkhd = by_hand(b"tkhd", u(version << 24), dates, u(number, 0), u(duration, n=8 if version else 4), bytes(60))
+    return by_hand(b"moov", by_hand(b"trak", tkhd, by_hand(b"mdia", mdhd, hdlr, by_hand(b"minf", by_hand(b"stbl", stsd, *tables)))), more)
+
+
+def test_tables_written_by_hand():
+    """Several runs of stsc, stts and ctts, samples of many sizes, 64-bit offsets, headers of version 1."""
+    sizes, data = [3, 5, 2, 7, 1], b"aaabbbbbccdddddddeXX"
+    stts, ctts = by_hand(b"stts", u(0, 2, 3, 1000, 2, 3000)), by_hand(b"ctts", u(0, 1, 5, 0))
+    stsz, stss = by_hand(b"stsz", u(0, 0, 5, *sizes)), by_hand(b"stss", u(0, 2, 1, 4))
+    # Chunks 1 and 2 hold two samples each, chunk 3 one. In the file chunk 3 comes before chunk 2.
+    stsc = by_hand(b"stsc", u(0, 2, 1, 2, 1, 3, 1, 1))
+
+    def file(first):
+        return movie([stts, ctts, stsz, stsc, by_hand(b"co64", u(0, 3), u(first, first + 9, first + 8, n=8)), stss], version=1)
+
+    start = len(file(0)) + 8
+    whole = file(start) + by_hand(b"mdat", data)
+    (t,) = inspect(whole)
+    assert (t.codec, t.handler, t.timescale, t.duration, t.number) == ("avc1", "vide", 90_000, 9_000, 1) and t.sizes == sizes
+    assert [o - start for o in t.offsets] == [0, 3, 9, 11, 8] and t.key_ranges() == [(start, 3), (start + 11, 7)]
+    assert payload(whole, t) == data[0:3] + data[3:8] + data[9:11] + data[11:18] + data[8:9]
+    compact = [(4, bytes([0x35, 0x27, 0x10])), (8, bytes(sizes)), (16, u(*sizes, n=2))]
+    for bits, body in compact:
+        small = movie([stts, by_hand(b"stz2", u(0), bytes([0, 0, 0, bits]), u(5), body), stsc, by_hand(b"stco", u(0, 3, 10, 20, 30))])
+        assert inspect(small)[0].sizes == sizes and inspect(small)[0].keys == [0, 1, 2, 3, 4]
+
+
+def fragmented():
+    empty = [by_hand(b"stts", u(0, 0)), by_hand(b"stsc", u(0, 0)), by_hand(b"stsz", u(0, 0, 0)), by_hand(b"stco", u(0, 0))]
+    head = movie(empty, duration=0, number=7, more=by_hand(b"mvex", by_hand(b"trex", u(0, 7, 1, 500, 4, 0x10000))))
+    # One run with the first sample's flags and sizes of its own; then one that takes all from trex and goes on where the first ended.
+    one = by_hand(b"traf", by_hand(b"tfhd", u(0x20000, 7)), by_hand(b"trun", u(0x000205, 3, 0, 0, 2, 6, 1)), by_hand(b"trun", u(0, 2)))
+    size = 8 + len(one)
+    one = one.replace(u(0x000205, 3, 0), u(0x000205, 3, size + 8))
+    # And one with times and flags for each sample, at an offset from the start of the file.
+    before = len(head) + size + 8 + 17
+    def two(base):
+        return by_hand(b"moof", by_hand(b"traf", by_hand(b"tfhd", u(0x1, 7), u(base, n=8)), by_hand(b"trun", u(0x700, 2, 900, 3, 0x10000, 100, 2, 0))))
+    base = before + len(two(0)) + 8
+    return head + by_hand(b"moof", one) + by_hand(b"mdat", b"11222222344445555") + two(base) + by_hand(b"mdat", b"66677"), len(head) + size + 8, base
+
+
+def test_fragments_written_by_hand():
+    file, first, base = fragmented()
+    (t,) = inspect(file)
+    assert t.sizes == [2, 6, 1, 4, 4, 3, 2] and payload(file, t) == b"1122222234444555566677"
+    assert t.keys == [0, 6] and t.key_ranges() == [(first, 2), (base + 3, 2)] and t.duration == 5 * 500 + 900 + 100
+
+
+def test_a_bad_file_is_a_row(spark):
+    good, (frag, *_) = store(b" " * FRAME), fragmented()
+    deep = b""
+    for _ in range(3000):
+        deep = by_hand(b"moov", deep)
+    bad = [good[:200], b"abc", good.replace(b"stsz", b"xxxx"), deep, frag[:-30].replace(b"tfhd", b"none"), movie([by_hand(b"stsz", u(0, 9, 0xFFFFFFFF))])]
+    rows = [(k, x) for k, x in enumerate([good, *bad, frag, None, b""])]
+    got = {r.doc_id: r for r in media_columns(spark.createDataFrame(rows, "doc_id long, media binary")).collect()}
+    assert got[0].error is None and got[0].frames == 1 and got[7].frames == 7 and got[7].error is None
+    assert all(got[k].error and got[k].codec is None for k in range(1, 7)) and "deep" in got[4].error
+    assert got[8].error is None and got[8].codec is None and got[9].codec is None
+    for k in range(0, len(frag), 7):
+        with contextlib.suppress(ValueError):
+            inspect(frag[:k])
+
+
 def test_media_query(spark, sf):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     for r in op10_media_columns(spark, sf).collect():
