@@ -7,12 +7,13 @@ import json
 import zipfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import audit, packages, policy, report, session, skills
-from ..rules import PROMPT_RULES, merged, merged_table, read_pack, rule_table
-from ..schemas import VERDICT
+from ..rules import merged_table
+from ..schemas import RULE, VERDICT
 from ..sources import readers, sinks
 from ..sources.shared import put, shared_folder
 from ..streaming import sessions
@@ -44,45 +45,49 @@ def jsonl_scan(spark, sf):
 
 @query("SELECT item_id::VARCHAR AS case_id, md5(text) AS md5, CASE item_id % 3 WHEN 0 THEN 'normal' WHEN 1 THEN 'attack' ELSE 'boundary' END AS case_type FROM benchmark")
 def case_library(spark, sf):
+    """Libraries of cases, a document each, written and read by Spark."""
     path = shared_folder(spark, "cases")
     rows = table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("case_id"), pick(("normal", "attack", "boundary"), F.col("item_id") % 3).alias("case_type"), F.struct("text").alias("payload"))
-    # A library is one document, written by hand in practice.
-    put(spark, f"{path}/cases.json", json.dumps({"cases": [r.asDict(recursive=True) for r in rows.collect()]}).encode())
-    held = readers.cases(spark, f"{path}/cases.json", "case_id string, case_type string, payload struct<text:string>", least=10, required=("case_type", "payload"), kinds=("case_type", ("normal", "attack", "boundary")))
+    library = rows.groupBy(F.pmod(F.xxhash64("case_id"), F.lit(64)).alias("library"), F.floor(F.col("case_id").cast("long") / 6400).alias("part")).agg(F.collect_list(F.struct(*rows.columns)).alias("cases"))
+    library.select("library", "part", F.to_json(F.struct("cases")).alias("value")).write.partitionBy("library", "part").text(path)
+    held = readers.cases(spark, path, "case_id string, case_type string, payload struct<text:string>", least=10, required=("case_type", "payload"), kinds=("case_type", ("normal", "attack", "boundary")))
     return held.select("case_id", F.md5("payload.text").alias("md5"), "case_type")
 
 
-_FOLDER = "SELECT event_id % 40 AS part, count(*) AS n FROM events GROUP BY part"
+#: Documents of a folder: one for each so many users.
+_FOLDER = "SELECT user_id % 200 AS part, count(*) AS n FROM events GROUP BY part"
 
 
-def _documents(spark, sf) -> str:
-    path = shared_folder(spark, "records")
-    rows = table(spark, sf, "events").groupBy((F.col("event_id") % 40).alias("part")).agg(F.count("*").alias("n")).collect()
-    for r in rows:
-        text = json.dumps({"event_id": f"EVT-20260101-{r['part']:03d}", "module": str(r["n"]), "risk_score": 0.5, "matched_rules": ["a"]}) if r["part"] % 8 else "{not json"
-        put(spark, f"{path}/EVT-20260101-{r['part']:03d}.json", text.encode())
+def _documents(spark, sf, good: Column, label: str) -> str:
+    """A folder of JSON documents, one for each part, every eighth of them broken, written by Spark."""
+    path = shared_folder(spark, label)
+    rows = table(spark, sf, "events").groupBy((F.col("user_id") % 200).alias("part")).agg(F.count("*").alias("n"))
+    value = F.when(F.col("part") % 8 > 0, F.to_json(good)).otherwise("{not json")
+    rows.select(F.col("part").alias("document"), value.alias("value")).write.partitionBy("document").text(path)
     return path
 
 
-@query(f"WITH d AS ({_FOLDER}) SELECT 'EVT-20260101-' || lpad(part::VARCHAR, 3, '0') || '.json' AS file, CASE WHEN part % 8 = 0 THEN 'json_read_error' ELSE 'missing_fields' END AS issue FROM d")
+def _verdict_documents(spark, sf) -> str:
+    return _documents(spark, sf, F.struct(F.format_string("EVT-20260101-%03d", "part").alias("event_id"), F.col("n").cast("string").alias("module"), F.lit(0.5).alias("risk_score"), F.array(F.lit("a")).alias("matched_rules")), "records")
+
+
+@query(f"WITH d AS ({_FOLDER}) SELECT part AS document, CASE WHEN part % 8 = 0 THEN 'json_read_error' ELSE 'missing_fields' END AS issue FROM d")
 def record_folder_issues(spark, sf):
-    held, broken = readers.records(spark, _documents(spark, sf))
-    return report.quality_issues(held).where("issue = 'missing_fields'").select("file", "issue").unionByName(broken)
+    held, broken = readers.records(spark, _verdict_documents(spark, sf), pattern="part-*")
+    found = report.quality_issues(held).where("issue = 'missing_fields'").select("file", "issue").unionByName(broken)
+    return found.select(F.regexp_extract("file", "document=([0-9]+)", 1).cast("long").alias("document"), "issue")
 
 
 @query(f"WITH d AS ({_FOLDER}) SELECT part, n FROM d WHERE part % 8 > 0")
 def lenient_folder(spark, sf):
-    held = readers.lenient_records(spark, _documents(spark, sf), VERDICT)
+    held = readers.lenient_records(spark, _verdict_documents(spark, sf), VERDICT, "part-*")
     return held.where("event_id IS NOT NULL").select(F.regexp_extract("event_id", "([0-9]+)$", 1).cast("long").alias("part"), F.col("module").cast("long").alias("n"))
 
 
-@query("WITH d AS (SELECT event_id % 40 AS part, count(*) AS n FROM events GROUP BY part) SELECT 'APR-' || part AS approval_id, n::VARCHAR AS requested_by FROM d WHERE part % 3 = 1 AND part % 8 > 0")
+@query(f"WITH d AS ({_FOLDER}) SELECT 'APR-' || part AS approval_id, n::VARCHAR AS requested_by FROM d WHERE part % 3 = 1 AND part % 8 > 0")
 def approval_folder(spark, sf):
-    path = shared_folder(spark, "approvals")
-    for r in table(spark, sf, "events").groupBy((F.col("event_id") % 40).alias("part")).agg(F.count("*").alias("n")).collect():
-        held = {"approval_id": f"APR-{r['part']}", "status": ("pending", "approved", "rejected")[r["part"] % 3], "created_at": f"2026-01-01T00:00:{r['part']:02d}", "requested_by": str(r["n"])}
-        put(spark, f"{path}/APR-{r['part']}.json", json.dumps(held).encode() if r["part"] % 8 else b"{")
-    return readers.approvals(spark, path, "approved").select("approval_id", "requested_by")
+    good = F.struct(F.format_string("APR-%d", "part").alias("approval_id"), pick(("pending", "approved", "rejected"), F.col("part") % 3).alias("status"), F.format_string("2026-01-01T00:00:%02d", F.col("part") % 60).alias("created_at"), F.col("n").cast("string").alias("requested_by"))
+    return readers.approvals(spark, _documents(spark, sf, good, "approvals"), "approved", "part-*").select("approval_id", "requested_by")
 
 
 @query("SELECT event_id, user_id FROM events")
@@ -104,85 +109,86 @@ def csv_cells(spark, sf):
 
 @query("SELECT item_id, md5(text) AS md5, length(text)::BIGINT AS n_chars FROM benchmark")
 def whole_texts(spark, sf):
+    """A file for each text, written and read by Spark. The writer ends each with a line end."""
     path = shared_folder(spark, "texts")
-    for r in table(spark, sf, "benchmark").select("item_id", "text").collect():
-        put(spark, f"{path}/{r['item_id']}.txt", r["text"].encode())
-    return readers.text_files(spark, path).select(F.regexp_extract("file", "([0-9]+)\\.txt$", 1).cast("long").alias("item_id"), F.md5("value").alias("md5"), F.length("value").cast("long").alias("n_chars"))
+    table(spark, sf, "benchmark").select("item_id", F.col("text").alias("value")).write.partitionBy("item_id").text(path)
+    held = readers.text_files(spark, path).select(F.regexp_extract("file", "item_id=([0-9]+)", 1).cast("long").alias("item_id"), F.regexp_replace("value", "\n$", "").alias("value"))
+    return held.select("item_id", F.md5("value").alias("md5"), F.length("value").cast("long").alias("n_chars"))
 
 
 _LINES = ("print(1)", "import os\nos.system('ls')", "import requests as r\nr.post('https://x')", "eval(input())", "open('.env')")
-_PACKS = range(24)
+#: Documents that go into an archive.
+_PACKED = 100
 
 
-def _zips(spark) -> str:
-    """Archives with a file that leaves its folder, a repeated one, a manifest and a source each."""
-    path = shared_folder(spark, "zips")
-    for k in _PACKS:
-        held = io.BytesIO()
-        with zipfile.ZipFile(held, "w") as z:
-            z.writestr("m.py", _LINES[k % 5])
-            z.writestr("requirements.txt", "flask==1.0\n" if k % 2 else "a>=1\n-e .\nb @ https://x/y.whl\n")
-            if k % 3 == 0:
-                z.writestr("../up.txt", "x")
-            if k % 4 == 0:
-                z.writestr("M.PY", "print(2)")
-        put(spark, f"{path}/p{k:02d}.zip", held.getvalue())
-    return path
+def _zips(spark, sf) -> DataFrame:
+    """path and content of archives made of documents, _PACKED each: texts, some of which leave their folder or repeat a name, sources and requirements."""
 
+    def packed(group):
+        held = io.BytesIO()
+        with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+            for i, text in sorted(zip(group["doc_id"], group["text"], strict=True)):
+                z.writestr(f"../d{i}.txt" if i % 19 == 0 else f"d{i}.txt", text or "")
+                if i % 7 == 0:
+                    z.writestr(f"m{i}.py", _LINES[i % 5])
+                if i % 11 == 0:
+                    z.writestr(f"r{i}/requirements.txt", "a>=1\n-e .\nb @ https://x/y.whl\n" if i % 2 else "flask==1.0\n")
+                if i % 23 == 0 and i % 19:
+                    z.writestr(f"D{i}.TXT", "again")
+        return pd.DataFrame({"path": [f"/p{int(group['pack'].iloc[0]):06d}.zip"], "content": [held.getvalue()]})
 
-_WEIGHTED = {1: "high", 2: "medium", 3: "critical", 4: "high"}
+    docs = table(spark, sf, "documents").select("doc_id", "text", F.floor(F.col("doc_id") / _PACKED).alias("pack"))
+    return docs.groupBy("pack").applyInPandas(packed, "path string, content binary")
 
 
-def _zip_rows() -> str:
-    rows = []
-    for k in _PACKS:
-        found = [("archive_path_traversal", "critical", "../up.txt")] * (k % 3 == 0) + [("archive_duplicate_path", "high", "M.PY")] * (k % 4 == 0)
-        found += [("dependency_not_exactly_pinned", "medium", "requirements.txt"), ("dependency_source_override", "high", "requirements.txt"), ("direct_url_dependency", "high", "requirements.txt")] * (k % 2 == 0)
-        found += [("dangerous_python_behavior", _WEIGHTED.get(k % 5), "m.py")] * (k % 5 > 0)
-        rows += [f"('p{k:02d}.zip', '{r}', '{s}', '{f}')" for r, s, f in found]
-    return ", ".join(rows)
+_PACK = f"d AS (SELECT doc_id AS i, 'p' || lpad((doc_id // {_PACKED})::VARCHAR, 6, '0') || '.zip' AS package FROM documents)"
+_FOUND = """f AS (SELECT package, 'archive_path_traversal' AS rule_id, 'critical' AS severity, '../d' || i || '.txt' AS file FROM d WHERE i % 19 = 0
+UNION ALL SELECT package, 'archive_duplicate_path', 'high', 'D' || i || '.TXT' FROM d WHERE i % 23 = 0 AND i % 19 > 0
+UNION ALL SELECT package, 'dangerous_python_behavior', ['high', 'medium', 'critical', 'high'][(i % 5)::INT], 'm' || i || '.py' FROM d WHERE i % 7 = 0 AND i % 5 > 0
+UNION ALL SELECT package, unnest(['dependency_not_exactly_pinned', 'dependency_source_override', 'direct_url_dependency']), unnest(['medium', 'high', 'high']), 'r' || i || '/requirements.txt' FROM d WHERE i % 11 = 0 AND i % 2 = 1)"""
 
 
-@query(f"SELECT * FROM (VALUES {_zip_rows()}) v(package, rule_id, severity, file)")
+@query(f"WITH {_PACK}, {_FOUND} SELECT * FROM f")
 def archive_findings(spark, sf):
-    """Archives made here, so that what is in them is known."""
-    found = packages.package_findings(packages.archive_files(readers.archives(spark, _zips(spark))))
+    """Findings in archives of all documents."""
+    found = packages.package_findings(packages.archive_files(_zips(spark, sf)))
     return found.select(F.regexp_extract("package", "([^/]+)$", 1).alias("package"), "rule_id", "severity", "file")
 
 
 _RANK = "CASE severity WHEN 'critical' THEN 3 WHEN 'high' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END"
 
 
-@query(f"""WITH f AS (SELECT * FROM (VALUES {_zip_rows()}) v(package, rule_id, severity, file)), p AS (SELECT 'p' || lpad(i::VARCHAR, 2, '0') || '.zip' AS package, i FROM range({len(_PACKS)}) r(i)),
-g AS (SELECT p.package, p.i, count(rule_id) AS findings, coalesce(max({_RANK}), 0) AS worst, count(*) FILTER (WHERE severity = 'high') AS n_high, count(*) FILTER (WHERE severity = 'critical') AS n_critical FROM p LEFT JOIN f USING (package) GROUP BY p.package, p.i)
-SELECT package, ['allow', 'warn', 'review', 'block'][worst + 1] AS decision, least(100, [0, 35, 65, 90][worst + 1] + 2 * greatest(findings - 1, 0))::BIGINT AS score, findings, n_high, n_critical, 2::BIGINT AS files FROM g""")
+@query(f"""WITH {_PACK}, {_FOUND}, p AS (SELECT package, count(*) + count(*) FILTER (WHERE i % 7 = 0) + count(*) FILTER (WHERE i % 11 = 0) - count(*) FILTER (WHERE i % 19 = 0) AS files FROM d GROUP BY package),
+g AS (SELECT p.package, p.files, count(rule_id) AS findings, coalesce(max({_RANK}), 0) AS worst, count(*) FILTER (WHERE severity = 'high') AS n_high, count(*) FILTER (WHERE severity = 'critical') AS n_critical FROM p LEFT JOIN f USING (package) GROUP BY p.package, p.files)
+SELECT package, ['allow', 'warn', 'review', 'block'][worst + 1] AS decision, least(100, [0, 35, 65, 90][worst + 1] + 2 * greatest(findings - 1, 0))::BIGINT AS score, findings, n_high, n_critical, files FROM g""")
 def archive_verdicts(spark, sf):
-    df = packages.package_verdicts(packages.archive_files(readers.archives(spark, _zips(spark))))
+    df = packages.package_verdicts(packages.archive_files(_zips(spark, sf)))
     return df.select(F.regexp_extract("package", "([^/]+)$", 1).alias("package"), "decision", F.col("score").cast("long").alias("score"), "findings", "n_high", "n_critical", "files")
 
 
-@query(f"SELECT 'm' || lpad(i::VARCHAR, 2, '0') || '.py' AS file, [0, 65, 30, 85, 65][(i % 5 + 1)::INT]::BIGINT AS score FROM range({len(_PACKS)}) r(i)")
+@query("SELECT module, [0, 65, 30, 85, 65][(module % 5 + 1)::INT]::BIGINT AS score, n FROM (SELECT doc_id % 60 AS module, count(*) AS n FROM documents GROUP BY 1)")
 def python_folder(spark, sf):
+    """Sources written by Spark, a folder for each, that end in a comment of how many documents are theirs."""
     path = shared_folder(spark, "sources")
-    for k in _PACKS:
-        put(spark, f"{path}/sub{k % 3}/m{k:02d}.py", _LINES[k % 5].encode())
-    put(spark, f"{path}/notes.txt", b"eval(1)")
-    df = skills.skill_verdicts(readers.python_tree(spark, path))
-    return df.select(F.regexp_extract("path", "([^/]+)$", 1).alias("file"), F.col("score").cast("long").alias("score"))
+    rows = table(spark, sf, "documents").groupBy((F.col("doc_id") % 60).alias("module")).agg(F.count("*").alias("n"))
+    rows.select("module", F.concat(pick(_LINES, F.col("module") % 5), F.lit("\n# "), F.col("n").cast("string")).alias("value")).write.partitionBy("module").text(path)
+    df = skills.skill_verdicts(readers.python_tree(spark, path, pattern="part-*"))
+    return df.select(F.regexp_extract("path", "module=([0-9]+)", 1).cast("long").alias("module"), F.col("score").cast("long").alias("score"), F.regexp_extract("source", "# ([0-9]+)", 1).cast("long").alias("n"))
 
 
-_CHANGED = PROMPT_RULES[::3]
+def _word_pack(spark, sf, odd: int, weight: float) -> DataFrame:
+    words = table(spark, sf, "conversations").where(F.col("conv_id") % 2 == odd).select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("w")).where("length(w) >= 5").distinct()
+    return words.select(F.col("w").alias("rule_id"), F.lit("jailbreak").alias("category"), F.lit("").alias("description"), F.lit(weight).alias("weight"), F.array("w").alias("patterns"))
 
 
-@query(" UNION ALL ".join([*(f"SELECT '{r.rule_id}' AS rule_id, {50 if r in _CHANGED else r.weight}::BIGINT AS weight" for r in PROMPT_RULES), "SELECT 'own_rule', 40"]))
+@query("""WITH w AS (SELECT DISTINCT conv_id % 2 AS odd, unnest(string_split_regex(lower(text), '[^a-z]+')) AS w FROM conversations), a AS (SELECT w FROM w WHERE odd = 0 AND length(w) >= 5), b AS (SELECT w FROM w WHERE odd = 1 AND length(w) >= 5)
+SELECT coalesce(a.w, b.w) AS rule_id, CASE WHEN b.w IS NULL THEN 40 ELSE 70 END::BIGINT AS weight FROM a FULL JOIN b ON a.w = b.w""")
 def rule_pack_merge(spark, sf):
-    """A pack read from JSON replaces rules of the same id and adds others, as objects and as tables."""
+    """A pack from a folder of JSON replaces rules of the same id and adds others: packs of words of conversations, whole."""
     path = shared_folder(spark, "pack")
-    pack = [{"rule_id": r.rule_id, "category": r.category, "weight": 0.5, "patterns": ["x"]} for r in _CHANGED] + [{"rule_id": "own_rule", "category": "jailbreak", "weight": 0.4, "patterns": ["y"]}]
-    put(spark, f"{path}/rules.json", json.dumps({"rules": pack}).encode())
-    read = read_pack(spark, f"{path}/rules.json")
-    both = merged_table(rule_table(spark, PROMPT_RULES), rule_table(spark, read))
-    return both.join(rule_table(spark, merged(PROMPT_RULES, read)).select("rule_id"), "rule_id").select("rule_id", F.round(F.col("weight") * 100).cast("long").alias("weight"))
+    _word_pack(spark, sf, 1, 0.7).write.json(path)
+    both = merged_table(_word_pack(spark, sf, 0, 0.4), spark.read.schema(RULE).json(path))
+    return both.select("rule_id", F.round(F.col("weight") * 100).cast("long").alias("weight"))
 
 
 @query("SELECT event_id, CASE WHEN user_id % 4 < 3 THEN 'u' || (user_id % 4) END AS user, CASE user_id % 4 WHEN 0 THEN 'guest' WHEN 1 THEN 'employee' WHEN 2 THEN 'manager' END AS role FROM events")

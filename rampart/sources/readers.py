@@ -52,22 +52,23 @@ def _fields(ddl: str) -> str:
     return ",".join(out)
 
 
-def records(spark: SparkSession, folder: str, schema: str = VERDICT) -> tuple[DataFrame, DataFrame]:
-    """JSON documents of a folder, and the issues of those that can't be read. Rows carry `file`."""
-    raw = spark.read.text(f"{folder}/*.json", wholetext=True).select("value", F.col("_metadata.file_name").alias("file"))
+def records(spark: SparkSession, folder: str, schema: str = VERDICT, pattern: str = "*.json") -> tuple[DataFrame, DataFrame]:
+    """JSON documents of a folder and those below it, and the issues of those that can't be read. Rows carry `file`, the path below the folder."""
+    below = F.regexp_replace(F.col("_metadata.file_path"), "^.*?" + re.escape(folder.rstrip("/").rpartition("/")[2]) + "/", "")
+    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(folder, wholetext=True).select("value", below.alias("file"))
     df = raw.select("file", F.from_json("value", f"{schema}, {_BAD} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD}).alias("_r")).select("file", "_r.*")
     broken = df.where(F.col(_BAD).isNotNull()).select("file", F.lit("json_read_error").alias("issue"))
     return df.where(F.col(_BAD).isNull()).drop(_BAD), broken
 
 
-def lenient_records(spark: SparkSession, folder: str, schema: str = VERDICT) -> DataFrame:
+def lenient_records(spark: SparkSession, folder: str, schema: str = VERDICT, pattern: str = "*.json") -> DataFrame:
     """As records(), with unreadable documents left out in silence."""
-    return spark.read.schema(schema).json(f"{folder}/*.json", multiLine=True, mode="DROPMALFORMED")
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).json(folder, multiLine=True, mode="DROPMALFORMED")
 
 
-def approvals(spark: SparkSession, folder: str, status: str | None = None) -> DataFrame:
+def approvals(spark: SparkSession, folder: str, status: str | None = None, pattern: str = "*.json") -> DataFrame:
     """Approval records of a folder, of one status or all, newest first; unreadable documents are left out."""
-    held = lenient_records(spark, folder, "approval_id string, event_id string, status string, created_at string, requested_by string, decided_by string")
+    held = lenient_records(spark, folder, "approval_id string, event_id string, status string, created_at string, requested_by string, decided_by string", pattern)
     held = held.where("approval_id IS NOT NULL")
     return (held if status is None else held.where(F.col("status") == status)).orderBy(F.desc("created_at"), "approval_id")
 
@@ -100,11 +101,13 @@ def file_tree(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root).select("path", "length", "content")
 
 
-def python_tree(spark: SparkSession, root: str, most: int = 2 << 20, allowed: tuple[str, ...] = ()) -> DataFrame:
-    """path and source of Python files up to a size. allowed: roots of which it must lie in one."""
+def python_tree(spark: SparkSession, root: str, most: int = 2 << 20, allowed: tuple[str, ...] = (), pattern: str = "*.py") -> DataFrame:
+    """path, source and finding of Python files. A file over a size has no source and a finding. allowed: roots of which it must lie in one."""
     if allowed and not any(root == a or root.startswith(a.rstrip("/") + "/") for a in allowed):
         raise ValueError(f"{root} is outside the allowed roots")
-    return file_tree(spark, root, "*.py").where(F.col("length") <= most).select("path", F.decode("content", "UTF-8").alias("source"))
+    fine = F.col("length") <= most
+    source = F.make_valid_utf8(F.col("content").cast("string"))
+    return file_tree(spark, root, pattern).select("path", F.when(fine, source).alias("source"), F.when(~fine, "source_too_large").alias("finding"))
 
 
 def archives(spark: SparkSession, path: str) -> DataFrame:
