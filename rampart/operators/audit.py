@@ -28,6 +28,14 @@ def entry_hash(previous: Column, sequence: Column, timestamp: Column, record: Co
     return F.sha2(F.concat(previous, payload), 256)
 
 
+def linked_entry(previous: str, sequence: int, stamp: str | None, text: str | None) -> tuple[str, str]:
+    """The record of an entry as it is kept, and the entry's hash. What isn't an object is on record too, as what it was."""
+    record = parsed(text) if text is not None else None
+    record = masked(record if isinstance(record, dict) else {"invalid_record": text})
+    payload = canonical({"record": record, "sequence": sequence, "timestamp": stamp})
+    return canonical(record), hashlib.sha256((previous + payload).encode()).hexdigest()
+
+
 def _linked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (chain, start sequence, start hash, timestamp, record) in order, one hash carried at a time."""
     at = None
@@ -36,13 +44,10 @@ def _linked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chain, first, start, stamp, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if at is None or at[0] != (chain,):
                 at = ((chain,), first, start)
-            record = parsed(text) if text is not None else None
-            # What isn't an object is on record too, as what it was.
-            record = record if isinstance(record, dict) else {"invalid_record": text}
-            record, sequence, previous = masked(record), at[1] + 1, at[2]
-            payload = canonical({"record": record, "sequence": sequence, "timestamp": stamp})
-            at = (at[0], sequence, hashlib.sha256((previous + payload).encode()).hexdigest())
-            for held, value in zip(out, (sequence, stamp, canonical(record), previous, at[2]), strict=True):
+            sequence, previous = at[1] + 1, at[2]
+            entered, own = linked_entry(previous, sequence, stamp, text)
+            at = (at[0], sequence, own)
+            for held, value in zip(out, (sequence, stamp, entered, previous, own), strict=True):
                 held.append(value)
         kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.string())
         names = ["sequence", "timestamp", "record", "previous_hash", "entry_hash"]

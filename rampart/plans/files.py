@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
+import contextlib
 import io
 import json
 import zipfile
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import audit, packages, policy, report, session, skills
 from ..rules import merged_table
 from ..schemas import RULE, VERDICT
 from ..sources import readers, sinks
-from ..sources.shared import put, shared_folder
-from ..streaming import sessions
+from ..sources.shared import materialised, put, shared_folder
+from ..streaming import chains, sessions
 from .oracles import CHAIN, TAINT
 from .queries import _requests, pick, table
 
@@ -290,29 +291,77 @@ def stream_audit_chain(spark, sf):
     return audit.verify_chain(spark.read.schema(f"{_AUDIT}, user_id long").json(path), "user_id").select("user_id", "entries", "valid")
 
 
+def _in_order(df: DataFrame, by: Column, slices: int, label: str, files: int = 4) -> DataFrame:
+    """df as a stream whose batches come in the order of a number: slices of it, of some files each, written one after the other."""
+    path, spark = shared_folder(df.sparkSession, label), df.sparkSession
+    cuts = df.select(F.percentile_approx(by, [k / slices for k in range(1, slices)], 10_000)).first()[0]
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        part = df.where((F.lit(True) if low is None else by > low) & (F.lit(True) if high is None else by <= high))
+        part.repartition(files, F.rand(7)).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
+@query(f"WITH RECURSIVE {CHAIN} SELECT user_id, seq AS sequence, previous_hash, entry_hash FROM h")
+def stream_chain_state(spark, sf):
+    """Chains of a stream whose heads are kept as state. The first 20 entries of each were there before it."""
+    path, session_ = shared_folder(spark, "chain-out"), _with_rocksdb(spark)
+    rows = table(spark, sf, "events").select("user_id", "event_id", F.col("event_id").cast("string").alias("at"), F.to_json(F.struct("event_type", "props")).alias("record"))
+    placed = rows.withColumn("_k", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")))
+    early, late = (placed.where(c).drop("_k") for c in ("_k <= 20", "_k > 20"))
+    before = materialised(audit.build_chain(early, "user_id", ("event_id",), "at", "record"), "chain-before")
+    with session_:
+        _run(spark, chains.stream_chain(_in_order(late, F.col("event_id"), 3, "chain-in"), "user_id", "event_id", "at", "record", audit.heads(before, "user_id")).writeStream.format("parquet").option("path", path))
+    return before.unionByName(spark.read.schema(f"user_id long, {_AUDIT}").parquet(path)).select("user_id", "sequence", "previous_hash", "entry_hash")
+
+
+@contextlib.contextmanager
+def _with_rocksdb(spark):
+    """State of the streams started here lies in RocksDB; the session's own choice holds afterwards."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    own = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, own) if own else spark.conf.unset(key)
+
+
+@query("SELECT k AS line FROM (SELECT event_id, row_number() OVER (ORDER BY event_id) AS k FROM events) WHERE event_id % 53 = 0 OR event_id % 59 = 0")
+def broken_audit_lines(spark, sf):
+    """Lines of one log that aren't entries, by number, from blocks of 64 KB that are read side by side."""
+    path = shared_folder(spark, "lines")
+    e = table(spark, sf, "events").orderBy("event_id").select("event_id", F.to_json(F.struct(F.col("event_id").alias("sequence"), F.lit("t").alias("timestamp"), F.col("props").alias("record"), F.lit("a").alias("previous_hash"), F.lit("b").alias("entry_hash"))).alias("j"))
+    line = F.when(F.col("event_id") % 53 == 0, F.concat(F.lit("{"), "j")).when(F.col("event_id") % 59 == 0, '{"sequence":1}').otherwise(F.col("j"))
+    e.select(line.alias("value")).coalesce(1).write.text(path)
+    own = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    try:
+        return materialised(readers.broken_lines(spark, path).select("line"), "broken")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", own)
+
+
 _AUDIT = "sequence long, timestamp string, record string, previous_hash string, entry_hash string"
 
 
 @query(TAINT)
 def stream_session_taint(spark, sf):
     """The state of sessions kept from batch to batch gives the rows that windows give."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     path, rows = shared_folder(spark, "taint"), _requests(spark, sf).withColumns({"ts": F.col("ts").cast("timestamp"), "session_id": F.col("session_id").cast("string")})
-    folder = shared_folder(spark, "taint-in")
-    first = rows.select(F.expr("percentile_approx(unix_micros(ts), 0.5)")).first()[0]
-    for early in (True, False):  # in the order of time, as a stream comes
-        part = rows.where((F.unix_micros("ts") <= first) if early else (F.unix_micros("ts") > first))
-        part.coalesce(1).write.mode("append").parquet(folder)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    _run(spark, sessions.stream_sessions(stream).writeStream.format("parquet").option("path", path))
+    with _with_rocksdb(spark):
+        stream = _in_order(rows, F.unix_micros("ts"), 4, "taint-in")
+        _run(spark, sessions.stream_sessions(stream).writeStream.format("parquet").option("path", path))
     df = spark.read.parquet(path)
     return df.select("event_id", F.col("prior_class").cast("long").alias("prior_class"), "prior_credential", "prior_sensitive", F.col("prior_events").cast("long").alias("prior_events"), F.array_join("chain_rules", "|").alias("rules"), F.col("chain_decision").alias("decision"))
 
 
 @query("SELECT event_id FROM events")
 def stream_once(spark, sf):
+    """Ids come twice: some in one batch, others again in the batch after, half an hour of event time later, within the watermark."""
     path, e = shared_folder(spark, "once"), table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
-    _run(spark, sessions.once(_stream(spark, sf, e.unionByName(e), 1)).writeStream.format("parquet").option("path", path))
+    again = e.where("event_id % 3 = 0").withColumn("ts", F.col("ts") + F.expr("INTERVAL 30 MINUTES"))
+    stream = _in_order(e.unionByName(e.where("event_id % 3 = 1")).unionByName(again), F.unix_micros("ts"), 3, "once-in")
+    _run(spark, sessions.once(stream).writeStream.format("parquet").option("path", path))
     return spark.read.parquet(path).select("event_id")
 
 

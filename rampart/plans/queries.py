@@ -32,9 +32,10 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores if it comes in few pieces, as one small file does: of its splits one alone may hold the rows.
-    Rows that cost much are worth the move."""
+    Rows that cost much are worth the move. Never into fewer pieces than there are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < 4 * cores else df
+    pieces = df.rdd.getNumPartitions()
+    return df.repartition(max(cores, pieces)) if pieces < 4 * cores else df
 
 
 def pick(values, at: Column) -> Column:
@@ -258,7 +259,7 @@ def composition_rules(spark, sf):
 
 @query
 def multisource_verdict(spark, sf):
-    rows = _conversation_sources(spark, sf).repartition(spark.sparkContext.defaultParallelism)
+    rows = spread(_conversation_sources(spark, sf))
     df = multisource.multisource_verdicts(rows, "event", full=True)
     return df.select("event.*", "decision", "risk_level", F.col("score").cast("long").alias("score"), F.array_join("matched_rules", "|").alias("rules"), "manifest_sha256", F.col("source_count").cast("long").alias("source_count"))
 

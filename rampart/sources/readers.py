@@ -10,7 +10,7 @@ import zipfile
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schemas import AUDIT, SCAN, VERDICT
@@ -87,6 +87,41 @@ def audit_log(spark: SparkSession, path: str, more: str = "") -> DataFrame:
     return spark.read.schema(f"{AUDIT}, {more}" if more else AUDIT).json(path, mode="FAILFAST")
 
 
+#: Where a line lies: its file, the start of the block that it was read in, and a number that grows within the block.
+_LINE = "_metadata.file_path AS file", "_metadata.file_block_start AS block", "monotonically_increasing_id() AS at"
+
+
+def numbered_lines(spark: SparkSession, path: str, wanted: Column) -> DataFrame:
+    """file, line (from 1) and value of the lines of text files that meet a condition on `value`.
+
+    Files of any size are read in blocks side by side. Lines are counted by block, a row each; the counts before a block
+    in its file, and a line's place in its block, make its number. Only wanted lines are moved.
+    """
+    lines = spark.read.text(path).selectExpr("value", *_LINE)
+    blocks = lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = blocks.select("file", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
+    met = lines.where(wanted).join(ahead, ["file", "block"])
+    return met.select("file", (F.col("ahead") + F.col("at") - F.col("first") + 1).alias("line"), "value")
+
+
+def broken_lines(spark: SparkSession, path: str, schema: str = AUDIT, required: tuple[str, ...] = ("sequence", "entry_hash")) -> DataFrame:
+    """file, line and value of lines that aren't a JSON object of a schema with the required fields. Blank lines are skipped."""
+    read = F.from_json("value", f"{schema}, {_BAD} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD})
+    wrong = read[_BAD].isNotNull()
+    for field in required:
+        wrong = wrong | read[field].isNull()
+    return numbered_lines(spark, path, (F.trim("value") != "") & F.coalesce(wrong, F.lit(True)))
+
+
+def strict_audit_log(spark: SparkSession, path: str) -> DataFrame:
+    """As audit_log(), but what raises names the file and line of the first broken one."""
+    first = broken_lines(spark, path).orderBy("file", "line").limit(1).collect()
+    if first:
+        raise ValueError(f"{first[0]['file']}, line {first[0]['line']}: not an audit entry")
+    return spark.read.schema(AUDIT).json(path)
+
+
 def csv_ids(spark: SparkSession, path: str, key: str = "event_id") -> DataFrame:
     return spark.read.csv(path, header=True, escape='"', multiLine=True).select(key)
 
