@@ -12,14 +12,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.approvals import TTL_MINUTES
 from ..operators import audit, packages, policy, report, session, skills
 from ..rules import merged_table
 from ..schemas import RULE, VERDICT
 from ..sources import readers, sinks
 from ..sources.shared import materialised, put, shared_folder
+from ..streaming import approvals as approvals_stream
 from ..streaming import chains, sessions
-from .oracles import CHAIN, TAINT
-from .queries import _requests, pick, table
+from .oracles import APPROVALS, CHAIN, TAINT
+from .queries import _approval_events, _requests, pick, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -291,10 +293,10 @@ def stream_audit_chain(spark, sf):
     return audit.verify_chain(spark.read.schema(f"{_AUDIT}, user_id long").json(path), "user_id").select("user_id", "entries", "valid")
 
 
-def _in_order(df: DataFrame, by: Column, slices: int, label: str, files: int = 4) -> DataFrame:
-    """df as a stream whose batches come in the order of a number: slices of it, of some files each, written one after the other."""
+def _in_order(df: DataFrame, by: Column, slices: int, label: str, files: int = 4, cuts: list[int] | None = None) -> DataFrame:
+    """df as a stream whose batches come in the order of a number: slices of it (up to each of the cuts), of some files each, written one after the other."""
     path, spark = shared_folder(df.sparkSession, label), df.sparkSession
-    cuts = df.select(F.percentile_approx(by, [k / slices for k in range(1, slices)], 10_000)).first()[0]
+    cuts = cuts or df.select(F.percentile_approx(by, [k / slices for k in range(1, slices)], 10_000)).first()[0]
     for low, high in zip([None, *cuts], [*cuts, None], strict=True):
         part = df.where((F.lit(True) if low is None else by > low) & (F.lit(True) if high is None else by <= high))
         part.repartition(files, F.rand(7)).write.mode("append").parquet(path)
@@ -326,6 +328,30 @@ def _with_rocksdb(spark):
         spark.conf.set(key, own) if own else spark.conf.unset(key)
 
 
+@query(f"SELECT approval_id, CASE WHEN status IN ('pending', 'approved') THEN 'expired' ELSE status END AS status, decided_by, refused FROM ({APPROVALS})")
+def stream_approval_fold(spark, sf):
+    """Approvals by event time, in batches that hold the steps in no order; at the end a step a day later moves the watermark, so that all that is open expires.
+
+    A quarter of the approvals were created before the stream, and are its initial state."""
+    path, rows = shared_folder(spark, "approvals-out"), _approval_events(spark, sf)
+    whole = F.count_if(F.col("seq") == 0).over(Window.partitionBy("approval_id")) > 0
+    before = whole & (F.col("approval_id").cast("long") % 4 == 0)
+    placed = materialised(rows.withColumn("_before", before), "approval-rows")
+    created = placed.where("_before AND seq = 0")
+    snapshot = created.select("approval_id", F.lit("pending").alias("status"), F.col("actor_id").alias("requested_by"), "request_hash", F.lit(None).cast("string").alias("decided_by"), (F.col("at") + F.expr(f"INTERVAL {TTL_MINUTES} MINUTES")).alias("expires_at"))
+    # Both halves of the approvals are there before the watermark moves, each step in one of three batches.
+    steps = placed.where("NOT (_before AND seq = 0)").drop("_before")
+    last = steps.limit(1).select(F.lit("tick").alias("approval_id"), F.lit(0).cast("long").alias("seq"), F.lit("tick").alias("action"), *(F.lit(None).cast("string").alias(c) for c in ("actor_id", "actor_role")), F.lit(False).alias("approve"), (F.col("at") + F.expr("INTERVAL 1 DAY")).alias("at"), F.lit("").alias("request_hash"))
+    turn = F.pmod(F.xxhash64("approval_id", "seq"), F.lit(3))
+    feed = steps.select(*last.columns, turn.alias("_turn")).unionByName(last.withColumn("_turn", F.lit(3).cast("long")))
+    with _with_rocksdb(spark):
+        stream = _in_order(feed, F.col("_turn"), 4, "approvals-in", cuts=[0, 1, 2])
+        _run(spark, approvals_stream.stream_approvals(stream, "3 hours", snapshot).writeStream.format("parquet").option("path", path))
+    done = spark.read.schema(approvals_stream.STEP).parquet(path).where("approval_id <> 'tick'")
+    place = F.struct("at", F.when(F.col("action") == "expire", 0).when(F.col("action") == "create", 1).when(F.col("action") == "decide", 2).otherwise(3), F.col("status") == "consumed")
+    return done.groupBy("approval_id").agg(F.max_by("status", place).alias("status"), F.max("decided_by").alias("decided_by"), F.count_if(~F.col("accepted")).alias("refused"))
+
+
 @query("SELECT k AS line FROM (SELECT event_id, row_number() OVER (ORDER BY event_id) AS k FROM events) WHERE event_id % 53 = 0 OR event_id % 59 = 0")
 def broken_audit_lines(spark, sf):
     """Lines of one log that aren't entries, by number, from blocks of 64 KB that are read side by side."""

@@ -370,16 +370,19 @@ def audit_merkle(spark, sf):
     return audit.merkle_roots(audit.merkle_leaves(_chain(spark, sf), "user_id", 16), "user_id", 4).select("user_id", "entries", "last_hash", "root")
 
 
-@query
-def approval_fold(spark, sf):
+def _approval_events(spark, sf) -> DataFrame:
     e = F.col("event_id")
     group, seq = F.floor(e / 4), e % 4
-    rows = table(spark, sf, "events").select(
+    return table(spark, sf, "events").select(
         group.cast("string").alias("approval_id"), seq.alias("seq"), pick(("create", "decide", "consume", "consume"), seq).alias("action"),
         F.when(seq == 0, "ann").when((seq == 1) & (group % 5 == 0), "ann").otherwise("bob").alias("actor_id"), F.when(group % 7 == 0, "employee").otherwise("manager").alias("actor_role"), (group % 3 != 0).alias("approve"),
         (F.lit("2026-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(mins=(seq * (1 + group % 20)).cast("int"))).alias("at"), F.when((seq == 2) & (group % 11 == 0), "other").otherwise("print").alias("request_hash"),
     )
-    return approvals.approval_states(rows).select("approval_id", "status", "decided_by", F.col("refused").cast("long").alias("refused"))
+
+
+@query
+def approval_fold(spark, sf):
+    return approvals.approval_states(_approval_events(spark, sf)).select("approval_id", "status", "decided_by", F.col("refused").cast("long").alias("refused"))
 
 
 @query

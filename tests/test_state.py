@@ -63,3 +63,44 @@ def test_a_restarted_chain_goes_on_from_its_state(spark, tmp_path):
     assert audit.verify_chain(spark.createDataFrame(got, before.schema), "c").where("valid").count() == 3
     assert not any("secret1" in r[3] for r in got)
     assert spark.createDataFrame(got, before.schema).where(F.col("sequence") == 1).count() == 3
+
+
+EVENTS = "approval_id string, seq long, action string, actor_id string, actor_role string, approve boolean, at timestamp, request_hash string"
+
+
+def test_approvals_by_event_time(spark, tmp_path):
+    """Steps out of order within the delay are taken in the order of their times; what is open expires when the watermark says so; an ended approval's state goes."""
+    from datetime import datetime, timedelta
+
+    from rampart.operators.approvals import approval_states
+    from rampart.streaming.approvals import stream_approvals
+
+    t = lambda m: datetime(2026, 1, 1) + timedelta(minutes=m)
+    step = lambda a, n, action, m, who="bob", role="manager", ok=True, print_="f": (a, n, action, who, role, ok, t(m), print_)
+    batches = [
+        # The decision and the consumption come before the creation; b is decided by its requester; c is never decided.
+        [step("a", 2, "consume", 6), step("a", 1, "decide", 5), step("b", 1, "decide", 3, "ann"), step("c", 0, "create", 2, "ann"), step("old", 1, "decide", 4)],
+        [step("a", 0, "create", 1, "ann"), step("b", 0, "create", 2, "ann"), step("a", 3, "consume", 7), step("d", 0, "create", 8, "ann"), step("d", 1, "decide", 9), (None, 0, "create", "ann", "manager", True, t(3), "f"), ("n", 0, None, None, None, None, t(5), None)],
+        [step("d", 2, "consume", 45), step("tick", 0, "tick", 200)],
+        # Too late: the watermark is at 170.
+        [step("e", 0, "create", 10, "ann"), step("tick", 0, "tick", 30 * 60)],
+    ]
+    old = spark.createDataFrame([("old", "pending", "ann", "f", None, t(20)), ("gone", "pending", "ann", "f", None, t(1)), ("over", "consumed", "ann", "f", "bob", t(1))], "approval_id string, status string, requested_by string, request_hash string, decided_by string, expires_at timestamp")
+    got = []
+    for n, rows in enumerate(batches):
+        spark.createDataFrame(rows, EVENTS).repartition(1).write.mode("append").parquet(str(tmp_path / "in"))
+        out = str(tmp_path / f"out{n}")
+        stream = stream_approvals(spark.readStream.schema(EVENTS).parquet(str(tmp_path / "in")), "30 minutes", old, keep_minutes=60)
+        query = stream.writeStream.foreachBatch(lambda df, _, out=out: df.write.mode("append").parquet(out)).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        assert query.awaitTermination(200)
+        got += [(n, r.approval_id, r.action, r.status, r.accepted, r.at) for r in spark.read.parquet(out).collect()]
+    of = lambda a: [g[2:5] for g in sorted(got, key=lambda g: (g[5], g[2] != "expire")) if g[1] == a]
+    assert of("a") == [("create", "pending", True), ("decide", "approved", True), ("consume", "consumed", True), ("consume", "consumed", False)]
+    assert of("b") == [("create", "pending", True), ("decide", "pending", False), ("expire", "expired", True)] and of("c") == [("create", "pending", True), ("expire", "expired", True)]
+    assert of("d") == [("create", "pending", True), ("decide", "approved", True), ("expire", "expired", True), ("consume", "expired", False)]
+    assert of("old") == [("decide", "approved", True), ("expire", "expired", True)] and of("gone") == [("expire", "expired", True)] and of("over") == of("e") == []
+    assert of(None) == [("create", "pending", True), ("expire", "expired", True)] and of("n") == [(None, None, False)]
+    # The same as the fold of a table, which has all steps but the late one and the approvals from before.
+    whole = spark.createDataFrame([r for b in batches[:3] for r in b if r[0] in ("a", "b", "c", "d")], EVENTS)
+    want = {r.approval_id: r.status for r in approval_states(whole, now="2026-01-02 00:00:00").collect()}
+    assert {a: of(a)[-1][1] for a in "abcd"} == want
