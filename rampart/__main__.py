@@ -1,4 +1,4 @@
-"""Jobs for spark-submit: `report` of stored verdicts, `prompts` and `tools` from JSON lines, `skills` of a folder, `packages` of archives, one `call`."""
+"""Jobs for spark-submit: `report` of stored verdicts, `prompts` and `tools` from JSON lines, `skills` of a folder, `packages` of archives, one `call`, and `stream`, which judges requests as they come."""
 
 from __future__ import annotations
 
@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 from .operators import packages, report, skills
 from .operators.pipeline import unified
+from .operators.policy import Policy
 from .operators.prompt import prompt_verdicts
 from .operators.tool import tool_verdicts
 from .rules import PROMPT_RULES, TOOL_RULES, merged, read_pack
 from .sources import readers, sinks
+from .streaming import requests
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -35,6 +37,10 @@ def _parser() -> argparse.ArgumentParser:
     job.add_argument("--operation", default="read")
     job.add_argument("--target", default="")
     job.add_argument("--arguments", default="{}", help="a JSON object")
+    job = jobs.add_parser("stream")
+    job.add_argument("--input", required=True, help="a folder that JSON lines of requests come to")
+    job.add_argument("--checkpoint", required=True)
+    job.add_argument("--every", help="as 10 seconds; without it, what is there is judged and the job ends")
     for j in jobs.choices.values():
         j.add_argument("--output", required=True)
     return top
@@ -72,6 +78,11 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
     elif a.job == "skills":
         rows = readers.python_tree(spark, a.input).select(F.col("path").alias("file_path"), "source", F.current_timestamp().alias("scanned_at"), F.lit(None).cast("string").alias("related_event_id"))
         sinks.write_json(skills.scan_records(rows), a.output)
+    elif a.job == "stream":
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+        rows = spark.readStream.schema(requests.REQUEST).json(a.input)
+        trigger = {"processingTime": a.every} if a.every else {"availableNow": True}
+        requests.start(rows, a.output, tuple(Policy().tool_risk), a.checkpoint, **trigger).awaitTermination()
     else:
         sinks.write_json(packages.package_verdicts(packages.archive_files(readers.archives(spark, a.input))), a.output)
 

@@ -19,8 +19,8 @@ from ..schemas import RULE, VERDICT
 from ..sources import readers, sinks
 from ..sources.shared import materialised, put, shared_folder
 from ..streaming import approvals as approvals_stream
-from ..streaming import chains, sessions
-from .oracles import APPROVALS, CHAIN, TAINT
+from ..streaming import chains, requests, sessions
+from .oracles import APPROVALS, CHAIN, POLICY, TAINT
 from .queries import _approval_events, _requests, pick, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -352,6 +352,24 @@ def stream_approval_fold(spark, sf):
     return done.groupBy("approval_id").agg(F.max_by("status", place).alias("status"), F.max("decided_by").alias("decided_by"), F.count_if(~F.col("accepted")).alias("refused"))
 
 
+@query(f"SELECT t.event_id, p.decision AS policy_decision, t.decision AS chain_decision, t.prior_events, true AS logged FROM ({TAINT}) t JOIN ({POLICY}) p USING (event_id)")
+def stream_requests(spark, sf):
+    """The continuous job over all requests in batches: each is judged once and has an audit entry in a chain that verifies."""
+    path = shared_folder(spark, "requests-out")
+    rows = _requests(spark, sf).withColumns({"ts": F.col("ts").cast("timestamp"), "session_id": F.col("session_id").cast("string"), "execute": F.lit(True)}).select(*requests.COLUMNS)
+    tools = tuple(policy.Policy().tool_risk)
+    with _with_rocksdb(spark):
+        q = requests.start(_in_order(rows, F.unix_micros("ts"), 3, "requests-in"), path, tools, shared_folder(spark, "requests-state"), availableNow=True)
+        if not q.awaitTermination(600):
+            q.stop()
+            raise TimeoutError("the stream didn't end")
+    entries = requests.finished(spark, path, "audit", f"day string, {_AUDIT}")
+    sound = audit.verify_chain(entries, "day").where("valid").select("day")
+    logged = entries.join(sound, "day").select(F.get_json_object("record", "$.event_id").cast("long").alias("event_id"), F.lit(True).alias("logged"))
+    done = requests.finished(spark, path, "verdicts", requests.VERDICT)
+    return done.join(logged, "event_id", "left").select("event_id", "policy_decision", "chain_decision", "prior_events", F.coalesce("logged", F.lit(False)).alias("logged"))
+
+
 @query("SELECT k AS line FROM (SELECT event_id, row_number() OVER (ORDER BY event_id) AS k FROM events) WHERE event_id % 53 = 0 OR event_id % 59 = 0")
 def broken_audit_lines(spark, sf):
     """Lines of one log that aren't entries, by number, from blocks of 64 KB that are read side by side."""

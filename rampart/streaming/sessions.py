@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType, TimestampType
+from pyspark.sql.types import BooleanType, IntegerType, StringType, StructField, StructType, TimestampType
 
 from ..functions.text import external
 from ..operators.approvals import DECIDERS, TTL_MINUTES
@@ -20,15 +20,20 @@ CHAIN = "session_id string, event_id long, prior_class int, prior_credential boo
 
 
 class SessionTaint(StatefulProcessor):
-    """The state of session_verdicts(), kept by session: highest class read, two flags and the number of rows so far."""
+    """The state of session_verdicts(), kept by session: its owner, highest class read, two flags and the number of rows so far."""
+
+    def __init__(self, carry: bool = False):
+        self.columns = [c.split()[0] for c in CHAIN.split(", ")] + ["payload"] * carry
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("taint", StructType([StructField("highest", IntegerType()), StructField("credential", BooleanType()), StructField("sensitive", BooleanType()), StructField("events", IntegerType())]))
+        self.state = handle.getValueState("taint", StructType([StructField("highest", IntegerType()), StructField("credential", BooleanType()), StructField("sensitive", BooleanType()), StructField("events", IntegerType()), StructField("owner", StringType())]))
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        cls, credential, sensitive, events = tuple(self.state.get()) if self.state.exists() else (0, False, False, 0)
+        cls, credential, sensitive, events, owner = tuple(self.state.get()) if self.state.exists() else (0, False, False, 0, None)
         out = []
         for r in pd.concat(rows).sort_values(["ts", "event_id"]).itertuples():
+            principal = None if pd.isna(r.principal_id) else str(r.principal_id)
+            owner = principal if events == 0 else owner
             rules, decision = [], "allow"
             outbound = r.operation in OUTBOUND or r.tool_name == "http_post"
             if r.outside and outbound and cls >= 1:
@@ -39,28 +44,36 @@ class SessionTaint(StatefulProcessor):
                 rules, decision = [*rules, "task_chain_sensitive_access_then_unscoped_write"], "review"
             if min(events, KEPT) >= LONG_AFTER and r.operation in LONG_CHAIN and decision == "allow":
                 rules, decision = ["long_high_impact_task_chain"], "review"
-            out.append((key[0], r.event_id, cls, credential, sensitive, events, rules, decision))
+            if r.odd:
+                rules, decision = ["unknown_classification", *rules], "block"
+            if principal != owner:
+                rules, decision = ["session_of_another_principal"], "block"
+            out.append((key[0], r.event_id, cls, credential, sensitive, events, rules, decision, *([r.payload] if "payload" in self.columns else [])))
+            if principal != owner:
+                continue
             if r.operation in READS:
                 cls = max(cls, int(r.cls))
             credential, sensitive, events = credential or bool(r.credential), sensitive or bool(r.sensitive), events + 1
-        self.state.update((cls, credential, sensitive, events))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in CHAIN.split(", ")])
+        self.state.update((cls, credential, sensitive, events, owner))
+        yield pd.DataFrame(out, columns=self.columns)
 
     def close(self) -> None:
         pass
 
 
-def stream_sessions(events: DataFrame, suffixes: tuple[str, ...] = (".gov.cn",)) -> DataFrame:
+def stream_sessions(events: DataFrame, suffixes: tuple[str, ...] = (".gov.cn",), carry: tuple[str, ...] = ()) -> DataFrame:
     """session_verdicts() over a stream, in order of arrival by batch and of ts and event_id within one. Patterns are
-    matched before the rows reach Python. Needs the RocksDB state store."""
+    matched before the rows reach Python. carry: columns that come back as JSON in `payload`. Needs the RocksDB state store."""
     text = F.coalesce(F.col("input_text"), F.lit(""))
-    cls = rank(F.lower("classification"), CLASSES)
+    known = rank(F.lower("classification"), CLASSES)
+    cls = F.coalesce(known, F.lit(len(CLASSES) - 1))
     rows = events.select(
+        F.col("principal_id").cast("string").alias("principal_id"), known.isNull().alias("odd"), *([F.to_json(F.struct(*carry)).alias("payload")] if carry else []),
         "session_id", F.col("event_id").cast("long").alias("event_id"), "ts", F.lower("operation").alias("operation"), F.coalesce("tool_name", F.lit("")).alias("tool_name"), cls.alias("cls"),
         external(F.col("destination"), F.array(*map(F.lit, suffixes))).alias("outside"), (F.trim(F.coalesce("destination", F.lit(""))) == "").alias("no_destination"),
         text.rlike(CREDENTIAL).alias("credential"), (text.rlike(SENSITIVE) | (cls >= 1)).alias("sensitive"),
     )
-    return rows.groupBy("session_id").transformWithStateInPandas(SessionTaint(), CHAIN, "Append", "None")
+    return rows.groupBy("session_id").transformWithStateInPandas(SessionTaint(bool(carry)), CHAIN + ", payload string" * bool(carry), "Append", "None")
 
 
 APPROVAL = "approval_id string, action string, status string, accepted boolean"
@@ -70,8 +83,6 @@ class ApprovalLife(StatefulProcessor):
     """An approval's status; a timer ends it when its time is over."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        from pyspark.sql.types import StringType
-
         self.handle = handle
         self.state = handle.getValueState("approval", StructType([StructField("status", StringType()), StructField("requested_by", StringType()), StructField("request_hash", StringType()), StructField("expires_at", TimestampType())]))
 
