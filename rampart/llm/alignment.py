@@ -62,6 +62,8 @@ def piece_path() -> str:
 
 #: Figures of a piece of text: n_a, n_b, n_groups, links (B id << 32 | A id), groups as text.
 Piece = tuple[int, int, int, tuple[int, ...], str]
+#: Stands for a piece whose bytes differ between the sides.
+_NOT_ALIKE: Piece = (-1, 0, 0, (), "")
 _BEYOND = "\n"
 _ATOMS = re.compile(rf"[{_LETTER}]+[!-/:-@[-`{{-~]*(?:\n[{_LETTER}]+[!-/:-@[-`{{-~]*)*")
 _WORD = re.compile(rf" ?[{_LETTER}]+")
@@ -186,6 +188,8 @@ class Aligner:
     def _atoms(self, piece: str) -> list[str]:
         if piece.isalpha() or not self.finer or not _ATOMS.fullmatch(piece):
             return [piece]
+        if piece[:-1].isalpha():
+            return [piece[:-1], piece[-1]] if piece[-2:] not in self.together else [piece]
         atoms = _ATOM.findall(piece)
         if any(x[-1] + y[0] in self.together for x, y in zip(atoms, atoms[1:], strict=False)):
             return [piece]
@@ -231,19 +235,22 @@ class Aligner:
     def of_many(self, texts: list[str | None]) -> list[tuple[int, int, int, int, str, np.ndarray, np.ndarray]]:
         """For each text n_a, n_b, n_groups, n_links, groups_sha256, and the pairs (B id << 32 | A id) in order with their multiplicities."""
         cut = [self.pieces(t) if t else [] for t in texts]
-        at: dict[str, int] = {}
-        codes = np.fromiter((at.setdefault(p, len(at)) for p in chain.from_iterable(cut)), dtype=np.int64, count=sum(map(len, cut)))
+        own = list(dict.fromkeys(chain.from_iterable(cut)))
+        at = dict(zip(own, range(len(own)), strict=True))
+        codes = np.fromiter(map(at.__getitem__, chain.from_iterable(cut)), dtype=np.int64, count=sum(map(len, cut)))
         known, before = self.known, self.before
-        held = [known[p] if p in known else before.get(p, False) for p in at]
-        new = [(k, p) for (p, k), x in zip(at.items(), held, strict=True) if x is False]
-        for (k, _), x in zip(new, self._learn([p for _, p in new]), strict=True):
-            held[k] = x
-        self._keep(dict(zip(at, held, strict=True)))
-        figures = np.array([x[:3] if x is not None else (-1, 0, 0) for x in held], dtype=np.int64).reshape(-1, 3)
-        count = np.array([len(x[3]) if x is not None else 0 for x in held], dtype=np.int64)
-        pairs = np.fromiter(chain.from_iterable([x[3] for x in held if x is not None]), dtype=np.int64, count=count.sum())
+        held = [known.get(p, False) for p in own]
+        rest = [p for p, x in zip(own, held, strict=True) if x is False]
+        found = {p: before[p] for p in rest if p in before}
+        new = [p for p in rest if p not in found]
+        found |= zip(new, self._learn(new), strict=True)
+        self._keep(found)
+        held = [found[p] if x is False else x for p, x in zip(own, held, strict=True)]
+        n_a, n_b, n_groups, links, names = zip(*[_NOT_ALIKE if x is None else x for x in held], strict=True) if held else ((),) * 5
+        figures = np.array([n_a, n_b, n_groups], dtype=np.int64).T
+        count = np.fromiter(map(len, links), dtype=np.int64, count=len(links))
+        pairs = np.fromiter(chain.from_iterable(links), dtype=np.int64, count=count.sum())
         start = np.cumsum(count) - count
-        names = [x[4] if x is not None else "" for x in held]
         out, k = [], 0
         for text, pieces in zip(texts, cut, strict=True):
             own = codes[k : k + len(pieces)]
