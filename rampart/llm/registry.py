@@ -46,6 +46,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_quality_rules": OP5_SQL,
         "op6_mixing": OP6_SQL,
         "op9_warc": OP9_SQL,
-        "op11_alignment": op11_alignment,
         "op12_source_divergence": OP12_SQL,
     }
