@@ -270,9 +270,7 @@ def _stream(spark, sf, df: DataFrame, files: int = 3) -> DataFrame:
 
 def _run(spark, writer) -> None:
     q = writer.option("checkpointLocation", shared_folder(spark, "stream-state")).trigger(availableNow=True).start()
-    if not q.awaitTermination(600):
-        q.stop()
-        raise TimeoutError("the stream didn't end")
+    q.awaitTermination()  # ends with what is there, or raises; a limit of its own would fail larger tables
 
 
 @query("SELECT event_id FROM events")
@@ -360,9 +358,7 @@ def stream_requests(spark, sf):
     tools = tuple(policy.Policy().tool_risk)
     with _with_rocksdb(spark):
         q = requests.start(_in_order(rows, F.unix_micros("ts"), 3, "requests-in"), path, tools, shared_folder(spark, "requests-state"), availableNow=True)
-        if not q.awaitTermination(600):
-            q.stop()
-            raise TimeoutError("the stream didn't end")
+        q.awaitTermination()
     entries = requests.finished(spark, path, "audit", f"day string, {_AUDIT}")
     sound = audit.verify_chain(entries, "day").where("valid").select("day")
     logged = entries.join(sound, "day").select(F.get_json_object("record", "$.event_id").cast("long").alias("event_id"), F.lit(True).alias("logged"))

@@ -15,23 +15,28 @@ from ..functions.text import external
 from ..operators.approvals import DECIDERS, TTL_MINUTES
 from ..operators.session import CREDENTIAL, KEPT, LONG_AFTER, LONG_CHAIN, OUTBOUND, READS, SENSITIVE
 from ..schemas import CLASSES, rank
+from .parts import named, part
 
 CHAIN = "session_id string, event_id long, prior_class int, prior_credential boolean, prior_sensitive boolean, prior_events int, chain_rules array<string>, chain_decision string"
 
 
 class SessionTaint(StatefulProcessor):
-    """The state of session_verdicts(), kept by session: its owner, highest class read, two flags and the number of rows so far."""
+    """The state of session_verdicts(), kept by session in the map of its part: its owner, highest class read, two flags and the number of rows so far."""
 
     def __init__(self, carry: bool = False):
         self.columns = [c.split()[0] for c in CHAIN.split(", ")] + ["payload"] * carry
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("taint", StructType([StructField("highest", IntegerType()), StructField("credential", BooleanType()), StructField("sensitive", BooleanType()), StructField("events", IntegerType()), StructField("owner", StringType())]))
+        self.state = handle.getMapState("taint", StructType([StructField("session", StringType())]), StructType([StructField("highest", IntegerType()), StructField("credential", BooleanType()), StructField("sensitive", BooleanType()), StructField("events", IntegerType()), StructField("owner", StringType())]))
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        cls, credential, sensitive, events, owner = tuple(self.state.get()) if self.state.exists() else (0, False, False, 0, None)
-        out = []
+        out, held = [], {}
         for r in pd.concat(rows).sort_values(["ts", "event_id"]).itertuples():
+            session = None if pd.isna(r.session_id) else r.session_id
+            if session not in held:
+                kept = self.state.getValue(named(session))
+                held[session] = (0, False, False, 0, None) if kept is None else tuple(kept)
+            cls, credential, sensitive, events, owner = held[session]
             principal = None if pd.isna(r.principal_id) else str(r.principal_id)
             owner = principal if events == 0 else owner
             rules, decision = [], "allow"
@@ -48,13 +53,15 @@ class SessionTaint(StatefulProcessor):
                 rules, decision = ["unknown_classification", *rules], "block"
             if principal != owner:
                 rules, decision = ["session_of_another_principal"], "block"
-            out.append((key[0], r.event_id, cls, credential, sensitive, events, rules, decision, *([r.payload] if "payload" in self.columns else [])))
+            out.append((session, r.event_id, cls, credential, sensitive, events, rules, decision, *([r.payload] if "payload" in self.columns else [])))
             if principal != owner:
+                held[session] = (cls, credential, sensitive, events, owner)
                 continue
             if r.operation in READS:
                 cls = max(cls, int(r.cls))
-            credential, sensitive, events = credential or bool(r.credential), sensitive or bool(r.sensitive), events + 1
-        self.state.update((cls, credential, sensitive, events, owner))
+            held[session] = (cls, credential or bool(r.credential), sensitive or bool(r.sensitive), events + 1, owner)
+        for session, kept in held.items():
+            self.state.updateValue(named(session), kept)
         yield pd.DataFrame(out, columns=self.columns)
 
     def close(self) -> None:
@@ -69,11 +76,11 @@ def stream_sessions(events: DataFrame, suffixes: tuple[str, ...] = (".gov.cn",),
     cls = F.coalesce(known, F.lit(len(CLASSES) - 1))
     rows = events.select(
         F.col("principal_id").cast("string").alias("principal_id"), known.isNull().alias("odd"), *([F.to_json(F.struct(*carry)).alias("payload")] if carry else []),
-        "session_id", F.col("event_id").cast("long").alias("event_id"), "ts", F.lower("operation").alias("operation"), F.coalesce("tool_name", F.lit("")).alias("tool_name"), cls.alias("cls"),
+        part("session_id"), F.col("session_id").cast("string").alias("session_id"), F.col("event_id").cast("long").alias("event_id"), "ts", F.lower("operation").alias("operation"), F.coalesce("tool_name", F.lit("")).alias("tool_name"), cls.alias("cls"),
         external(F.col("destination"), F.array(*map(F.lit, suffixes))).alias("outside"), (F.trim(F.coalesce("destination", F.lit(""))) == "").alias("no_destination"),
         text.rlike(CREDENTIAL).alias("credential"), (text.rlike(SENSITIVE) | (cls >= 1)).alias("sensitive"),
     )
-    return rows.groupBy("session_id").transformWithStateInPandas(SessionTaint(bool(carry)), CHAIN + ", payload string" * bool(carry), "Append", "None")
+    return rows.groupBy("part").transformWithStateInPandas(SessionTaint(bool(carry)), CHAIN + ", payload string" * bool(carry), "Append", "None")
 
 
 APPROVAL = "approval_id string, action string, status string, accepted boolean"
