@@ -37,12 +37,14 @@ def append_new(rows: DataFrame, path: str, key: str = "event_id", fmt: str = "pa
 
 
 def append_chain(rows: DataFrame, path: str, chain: str, order: tuple[str, ...], timestamp: str, record: str) -> None:
-    """Entries as JSON lines by chain. A chain that is there goes on from its last entry. One writer at a time."""
+    """Entries as JSON lines, which name their chain. A chain that is there goes on from its last entry. One writer at a time.
+
+    Chains share files, as a folder for each would make as many files as there are chains."""
     after = None
     if _exists(rows.sparkSession, path):
         held = rows.sparkSession.read.schema(f"{AUDIT}, `{chain}` {rows.schema[chain].dataType.simpleString()}").json(path)
         after = audit.heads(held, chain)
-    audit.build_chain(rows, chain, order, timestamp, record, after).write.mode("append").partitionBy(chain).json(path)
+    audit.build_chain(rows, chain, order, timestamp, record, after).write.mode("append").json(path)
 
 
 def chain_writer(path: str, chain: str, order: tuple[str, ...], timestamp: str, record: str) -> Callable[[DataFrame, int], None]:

@@ -9,6 +9,7 @@ import pandas as pd
 import pytest
 
 from rampart import registry
+from rampart.sources import readers, sinks
 
 
 @pytest.fixture
@@ -95,3 +96,11 @@ def test_one_timer_serves_all_approvals_of_a_part():
     assert handle.timers == {100 * minute}
     handle.timers.clear()
     assert fire(100 * minute) is None and not job.state.list and not handle.timers
+
+
+def test_chains_of_a_log_share_files(spark, tmp_path):
+    rows = spark.range(400).selectExpr("id AS c", "id AS n", "CAST(id AS STRING) AS at", "'{}' AS record")
+    for part in ("n % 2 = 0", "n % 2 = 1"):
+        sinks.append_chain(rows.where(part), str(tmp_path / "log"), "c", ("n",), "at", "record")
+    assert len(list((tmp_path / "log").rglob("*.json"))) <= 20
+    assert readers.audit_log(spark, str(tmp_path / "log"), "c long").select("c").distinct().count() == 400
