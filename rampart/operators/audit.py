@@ -5,9 +5,11 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.text import canonical, masked, parsed
 from ..sources.shared import materialised
@@ -28,30 +30,43 @@ def entry_hash(previous: Column, sequence: Column, timestamp: Column, record: Co
     return F.sha2(F.concat(previous, payload), 256)
 
 
-def linked_entry(previous: str, sequence: int, stamp: str | None, text: str | None) -> tuple[str, str]:
-    """The record of an entry as it is kept, and the entry's hash. What isn't an object is on record too, as what it was."""
+def entered(text: str | None) -> str:
+    """The record of an entry as it is kept. What isn't an object is on record too, as what it was."""
     record = parsed(text) if text is not None else None
-    record = masked(record if isinstance(record, dict) else {"invalid_record": text})
-    payload = canonical({"record": record, "sequence": sequence, "timestamp": stamp})
-    return canonical(record), hashlib.sha256((previous + payload).encode()).hexdigest()
+    return canonical(masked(record if isinstance(record, dict) else {"invalid_record": text}))
+
+
+def linked_entry(previous: str, sequence: int, stamp: str | None, text: str | None) -> tuple[str, str]:
+    """The record of an entry as it is kept, and the entry's hash."""
+    record = entered(text)
+    payload = f'{{"record":{record},"sequence":{sequence},"timestamp":{canonical(stamp)}}}'
+    return record, hashlib.sha256((previous + payload).encode()).hexdigest()
+
+
+@F.pandas_udf(StructType([StructField("record", StringType()), StructField("stamp", StringType())]))
+def _entered(stamps: pd.Series, texts: pd.Series) -> pd.DataFrame:
+    """The record of each entry as it is kept, and its timestamp as JSON: all of an entry that doesn't hang on the one before."""
+    pairs = [tuple(None if pd.isna(x) else x for x in pair) for pair in zip(stamps, texts, strict=True)]
+    return pd.DataFrame({"record": [entered(text) for _, text in pairs], "stamp": [canonical(stamp) for stamp, _ in pairs]}, dtype=object)
 
 
 def _linked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (chain, start sequence, start hash, timestamp, record) in order, one hash carried at a time."""
+    """Rows (chain, start sequence, start hash, timestamp, record and timestamp as they are hashed) in order, one hash carried at a time."""
     at = None
     for batch in batches:
-        out: tuple[list, ...] = ([], [], [], [], [])
-        for chain, first, start, stamp, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        sequences, before, hashes = [], [], []
+        chains, firsts, starts, _, records, stamps = (c.to_pylist() for c in batch.columns)
+        for chain, first, start, record, stamp in zip(chains, firsts, starts, records, stamps, strict=True):
             if at is None or at[0] != (chain,):
                 at = ((chain,), first, start)
             sequence, previous = at[1] + 1, at[2]
-            entered, own = linked_entry(previous, sequence, stamp, text)
+            own = hashlib.sha256(f'{previous}{{"record":{record},"sequence":{sequence},"timestamp":{stamp}}}'.encode()).hexdigest()
             at = (at[0], sequence, own)
-            for held, value in zip(out, (sequence, stamp, entered, previous, own), strict=True):
-                held.append(value)
-        kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.string())
-        names = ["sequence", "timestamp", "record", "previous_hash", "entry_hash"]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], names=[batch.schema.names[0], *names])
+            sequences.append(sequence)
+            before.append(previous)
+            hashes.append(own)
+        columns = [batch.column(0), pa.array(sequences, pa.int64()), batch.column(3), batch.column(4), pa.array(before, pa.string()), pa.array(hashes, pa.string())]
+        yield pa.RecordBatch.from_arrays(columns, names=[batch.schema.names[0], "sequence", "timestamp", "record", "previous_hash", "entry_hash"])
 
 
 def heads(entries: DataFrame, chain: str) -> DataFrame:
@@ -63,17 +78,19 @@ def heads(entries: DataFrame, chain: str) -> DataFrame:
 def build_chain(rows: DataFrame, chain: str, order: tuple[str, ...], timestamp: str, record: str, after: DataFrame | None = None) -> DataFrame:
     """chain, sequence (from 1), timestamp, record (canonical, secrets masked), previous_hash and entry_hash.
 
-    record: JSON text of an object; any other text is entered as {"invalid_record": text}. after: heads() of chains that go on. A chain is linked in order by one task, which holds
-    one hash of it; chains by day or partition are linked side by side. Order ties are broken by the order columns given.
+    record: JSON text of an object; any other text is entered as {"invalid_record": text}. after: heads() of chains that go on. Records are
+    parsed, masked and written side by side. A chain is then linked in order by one task, which holds one hash of it and does no more than
+    hash; chains by day or partition are linked side by side. Order ties are broken by the order columns given.
     """
     if after is not None:
         rows = rows.join(after.select(F.col(chain).alias("_chain"), "last_sequence", "last_hash"), F.col(chain).eqNullSafe(F.col("_chain")), "left").drop("_chain")
     else:
         rows = rows.withColumns({"last_sequence": F.lit(0).cast("long"), "last_hash": F.lit(START)})
     start = (F.coalesce("last_sequence", F.lit(0)).cast("long").alias("_first"), F.coalesce("last_hash", F.lit(START)).alias("_start"))
-    sorted_ = rows.repartition(chain).sortWithinPartitions(chain, *order)
+    rows = rows.withColumn("_at", F.col(timestamp).cast("string")).withColumn("_e", _entered("_at", F.col(record)))
+    held = rows.select(chain, *(F.col(o).alias(f"_o{k}") for k, o in enumerate(order)), *start, "_at", F.col("_e.record").alias("_record"), F.col("_e.stamp").alias("_stamp"))
+    held = held.repartition(chain).sortWithinPartitions(chain, *(f"_o{k}" for k in range(len(order)))).drop(*(f"_o{k}" for k in range(len(order))))
     kind = rows.schema[chain].dataType.simpleString()
-    held = sorted_.select(chain, *start, F.col(timestamp).cast("string").alias("_at"), F.col(record).alias("_record"))
     return held.mapInArrow(_linked, f"`{chain}` {kind}, sequence long, timestamp string, record string, previous_hash string, entry_hash string")
 
 

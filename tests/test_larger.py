@@ -9,6 +9,7 @@ import pandas as pd
 import pytest
 
 from rampart import registry
+from rampart.operators import audit
 from rampart.sources import readers, sinks
 
 
@@ -104,3 +105,9 @@ def test_chains_of_a_log_share_files(spark, tmp_path):
         sinks.append_chain(rows.where(part), str(tmp_path / "log"), "c", ("n",), "at", "record")
     assert len(list((tmp_path / "log").rglob("*.json"))) <= 20
     assert readers.audit_log(spark, str(tmp_path / "log"), "c long").select("c").distinct().count() == 400
+
+
+def test_records_are_made_before_a_chain_comes_together(spark):
+    rows = spark.range(3).selectExpr("'all' AS c", "id AS n", "CAST(id AS STRING) AS at", "'{\"password\":\"x\"}' AS record")
+    plan = audit.build_chain(rows, "c", ("n",), "at", "record")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("MapInArrow") < plan.index("RepartitionByExpression") < plan.index("ArrowEvalPython")
