@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import io
 import json
 import time
 import zipfile
@@ -202,6 +203,23 @@ def test_packages(spark, tmp_path):
     assert {("archive_path_traversal", "../up.txt"), ("archive_duplicate_path", "a.txt"), ("archive_entry_compression_bomb", "zero.txt"), ("python_ast_parse_failure", "bad.py")} <= found
 
 
+
+def test_packages_in_pieces(spark):
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
+        for k in range(60):
+            z.writestr(f"d{k}.txt", f"{k} " * 100_000)
+        z.writestr("deep.py", "-" * 100_000 + "1\neval(1)")
+    batches = list(packages._batches(packages._from_archive("p.zip", data.getvalue(), None)))
+    assert max(b.nbytes for b in batches) < 2 * packages.BATCH_BYTES and sum(b.num_rows for b in batches) == 62
+    files = packages.archive_files(spark.createDataFrame([("p.zip", bytearray(data.getvalue()))], "path string, content binary"))
+    # A source too deep to parse fails alone, and its calls are read from its lines.
+    found = {(r.rule_id, r.file) for r in packages.package_findings(files).collect()}
+    assert ("python_ast_parse_failure", "deep.py") in found and ("dangerous_python_behavior", "deep.py") in found
+    [row] = packages.package_verdicts(files).collect()
+    assert row.files == 61 and row.decision != "allow"
+
+
 def test_policy(spark, tmp_path):
     columns = "role string, tool_name string, operation string, classification string, environment string, destination string"
     rows = [("employee", "file_read", "read", "internal", "test", None), ("guest", "file_read", "read", "internal", "test", None), ("nobody", "shell", "delete", "secret", "test", None), ("manager", "http_post", "export", "public", "test", "https://x.example"), ("manager", "http_get", "read", "internal", "test", "x.gov.cn.evil.example"), ("manager", "http_get", "read", "internal", "test", "https://a.gov.cn/x")]
