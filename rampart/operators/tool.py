@@ -61,9 +61,10 @@ def text_verdicts(rows: DataFrame, text: str, rules: Sequence[Rule] | DataFrame
     # ASCII is its own NFKC form and needs no UDF.
     df = rows.withColumn("_nfkc", F.coalesce(nfkc(F.when(source.rlike("[^\\x00-\\x7f]"), source)), source) if full else source).withColumn("_plain", squeezed(F.col("_nfkc")))
     decoded = F.concat(F.array_compact(F.array(squeezed(url_decoded(F.col("_plain"))))), base64_decoded(F.col("_nfkc")))
-    df = df.withColumn("_decoded", F.array_join(decoded, between))
+    df = settled(df.withColumn("_decoded", F.array_join(decoded, between)))
     close = F.when(F.length(compact(F.col("_plain"))) >= 6, compact(F.col("_plain")))
     df = df.withColumn("_all", F.array_join(F.array_distinct(F.array_compact(F.array(F.lower(source), "_plain", close, F.lower("_decoded")))), between))
+    df = settled(df)
     df = df.withColumn("_candidates", index.candidates(F.col("_all")))
     df = settled(df.withColumn("_matching", matching(F.col("_all"), F.col("_candidates"))))
     df = settled(df.withColumn("matches", hits(F.col("_all"), F.col("_matching"), length=140)))
