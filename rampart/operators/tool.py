@@ -56,7 +56,7 @@ def _break(regexes: Iterable[str]) -> str:
 
 def text_verdicts(rows: DataFrame, text: str, rules: Sequence[Rule] | DataFrame = TOOL_RULES, full: bool = False) -> DataFrame:
     """rows with matches, categories, score (hundredths), decision, risk_level and permission_scope of a text column."""
-    index = RuleIndex.of(rows.sparkSession, rules, True)
+    index = RuleIndex.of(rows.sparkSession, rules, True, constant=True)
     source, between = F.coalesce(F.col(text), F.lit("")), _break(index.regexes)
     # ASCII is its own NFKC form and needs no UDF.
     df = rows.withColumn("_nfkc", F.coalesce(nfkc(F.when(source.rlike("[^\\x00-\\x7f]"), source)), source) if full else source).withColumn("_plain", squeezed(F.col("_nfkc")))
@@ -66,9 +66,9 @@ def text_verdicts(rows: DataFrame, text: str, rules: Sequence[Rule] | DataFrame
     df = df.withColumn("_all", F.array_join(F.array_distinct(F.array_compact(F.array(F.lower(source), "_plain", close, F.lower("_decoded")))), between))
     df = settled(df)
     df = df.withColumn("_candidates", index.candidates(F.col("_all")))
-    df = settled(df.withColumn("_matching", matching(F.col("_all"), F.col("_candidates"))))
-    df = settled(df.withColumn("matches", hits(F.col("_all"), F.col("_matching"), length=140)))
-    df = df.withColumn("_in_decoded", (F.size("matches") > 0) & (F.size(matching(F.lower("_decoded"), F.col("_matching"))) > 0))
+    df = settled(df.withColumn("_matching", matching(F.col("_all"), F.col("_candidates"), index.constants)))
+    df = settled(df.withColumn("matches", hits(F.col("_all"), F.col("_matching"), length=140, constants=index.constants)))
+    df = df.withColumn("_in_decoded", (F.size("matches") > 0) & (F.size(matching(F.lower("_decoded"), F.col("_matching"), index.constants)) > 0))
     df = df.withColumn("_maxima", met_maxima(F.col("matches"))).withColumn("categories", active(F.col("_maxima")))
     df = df.withColumn("score", points(F.col("_maxima"), 12, tool_bonus(F.col("categories"), F.col("_in_decoded"))))
     df = df.withColumn("decision", score_decision(F.col("score"))).withColumn("risk_level", level_of(F.col("decision"))).withColumn("permission_scope", scope(F.col("categories")))
