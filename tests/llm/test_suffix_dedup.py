@@ -50,6 +50,16 @@ def test_short_strings_and_crowded_grams(spark):
     assert got_of(dedup_strings(table(spark, rows), length=40, hot=2)) == want
 
 
+def test_bytes_decide_not_words(spark):
+    """Of two passages of over 50 words in two texts each, the one of 399 bytes stays, by contract, and the one of 400 goes."""
+    short, full = prose(3, 90)[:399], prose(5, 90)[:400]
+    assert min(len(p.split()) for p in (short, full)) > 50
+    rows = [(1, f"a{short}b"), (2, f"c{short}d"), (3, f"a{full}b"), (4, f"c{full}d")]
+    want = sorted((i, *x) for (i, _), x in zip(rows, plain([t for _, t in rows], 400), strict=True))
+    got = got_of(dedup_strings(table(spark, rows)))
+    assert got == want and [r[2] for r in got] == [0, 0, 400, 400]
+
+
 def test_nothing_goes_without_the_sort(spark, monkeypatch):
     def blind(length):
         def run(batches):
