@@ -60,6 +60,17 @@ def test_bytes_decide_not_words(spark):
     assert got == want and [r[2] for r in got] == [0, 0, 400, 400]
 
 
+def test_passages_go_by_the_length_asked_for(spark):
+    """A passage of over 50 words and 352 bytes in three texts stays at 400 bytes and goes from all three at 256; a text of its own is left alone."""
+    share = prose(7, 90)[:350]
+    assert len(share.split()) > 50
+    rows = [(k, f"{prose(20 + k, 30)}<{share}>{prose(40 + k, 30)}") for k in range(3)] + [(3, prose(60, 120))]
+    for length, removed in ((400, [0, 0, 0, 0]), (256, [352, 352, 352, 0])):
+        got = got_of(dedup_strings(table(spark, rows), length=length))
+        assert got == sorted((i, *x) for (i, _), x in zip(rows, plain([t for _, t in rows], length), strict=True))
+        assert [r[2] for r in got] == removed
+
+
 def test_nothing_goes_without_the_sort(spark, monkeypatch):
     def blind(length):
         def run(batches):
