@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from rampart import registry
 from rampart.operators import audit, links, session
-from rampart.operators.rule_index import RuleIndex, inverted, literal_table, matching
+from rampart.operators.rule_index import RuleIndex, inverted, literal_table, matching, rule_hits
 from rampart.operators.scans import Fold, scanned
 from rampart.operators.prompt import prompt_verdicts
 from rampart.operators.tool import tool_verdicts
 from rampart.rules import PROMPT_RULES, TOOL_RULES, Rule, rule_table
+from rampart.schemas import RULE
 
 
 def rows_of(df):
@@ -137,3 +140,30 @@ def test_index_of_rules_without_literals(spark):
     assert {r.literal: r.rule_ids for r in inverted(rule_table(spark, pack)).collect()}[None] == ["any"]
     df = spark.createDataFrame([("7",), ("abc",), ("chmod+x",), ("xyzw 1",)], "t string").withColumn("c", RuleIndex.of(spark, pack).candidates(F.col("t")))
     assert {r.t: sorted(m.rule_id for m in r.m) for r in df.select("t", matching(F.col("t"), F.col("c")).alias("m")).collect()} == {"7": ["any"], "abc": ["one"], "chmod+x": ["caps"], "xyzw 1": ["any", "one"]}
+
+
+def test_a_pack_of_words_has_no_bound(spark, sf, monkeypatch):
+    monkeypatch.setattr("rampart.operators.rule_index.MAX_RULES", 100)
+    got = sorted(tuple(r) for r in registry.queries()["rule_pack_hits"](spark, sf).collect())
+    words = {w for r in spark.read.parquet(f"{sf}/conversations.parquet").collect() for w in re.split("[^a-z]+", r.text.lower()) if len(w) >= 10}
+    texts = [(r.doc_id, r.text.lower()) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    assert len(words) > 200
+    assert got == sorted((i, w, f"word_{w[0]}", len(w)) for i, t in texts for w in words if w in t)
+
+
+def test_joined_packs_match_as_their_index(spark):
+    own = (
+        Rule("word", "c", 10, ("needleword",)), Rule("long", "c", 10, ("a" * 40,)), Rule("two", "d", 20, ("needleword", "rm\\s+-rf")), Rule("open", "d", 30, (r"\d{3}-\d{2}",)), Rule("dots", "d", 30, (r"\.\./",)),
+        Rule("caps", "e", 40, (r"CHMOD\S+ 7",)), Rule("short", "e", 40, ("q",)), Rule("marks", "e", 40, ("größe",)), Rule("again", "e", 40, ("nothing",)), Rule("again", "f", 50, ("edlewo",)), Rule("lines", "f", 50, ("start.*needleword",)), Rule("never", "f", 50, ("zzzzzz",)),
+    )
+    # Runs of letters are cut into parts: a word may lie at any place of one, the edges included.
+    texts = ["x" * n + "needleword" + "y" * (n % 7 * 300) for n in (0, 1, *range(950, 1060, 3), 1990, 2000, 2010)] + ["a" * 39, "b" + "a" * 40, "a" * 3000, "rm   -rf /", "rm", "555-12", "../x", "chmod+x 7", "chmod", "die größe", "grösse", "start\nneedleword", None, "", " ", "q", "q", "...", "needlewor d"]
+    df = spark.createDataFrame([(None if n == 3 else n // 2, t) for n, t in enumerate(texts)], "i int, t string").repartition(3)
+    for pack in (own, PROMPT_RULES, own[:1], own[3:5], own[6:7], own[:0]):
+        for dotall in (False, True):
+            table = spark.createDataFrame([(r.rule_id, r.category, "", r.weight / 100, list(r.patterns)) for r in pack] + [("none", "c", "", 0.1, [])], RULE).coalesce(1)
+            index = RuleIndex.of(spark, table, dotall).candidates(F.col("t"))
+            want = df.withColumn("c", index).select("i", F.explode(matching(F.col("t"), F.col("c"))).alias("m")).select("i", "m.rule_id", "m.category", "m.weight")
+            got = rule_hits(df, "t", table, dotall)
+            assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+            assert pack[:1] != own[:1] or got.count() > 30
